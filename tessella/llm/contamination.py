@@ -63,20 +63,23 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle: i
     spread = texts.where("doc_id is not null").select("doc_id", words_of(F.col("text")).alias("w"))
     hits = None
     for k in sorted(sizes):
-        own = windows.where(F.col("k") == k).select(F.dense_rank().over(_by_words()).alias("win_id"), "item_id", "win") if False else windows.where(F.col("k") == k)
+        own = windows.where(F.col("k") == k)
         at = F.explode(F.sequence(F.lit(0), F.size("win") - k)).alias("o")
         parts = own.groupBy("win").agg(F.collect_set("item_id").alias("items")).select("win", "items", at)
         parts = parts.withColumn("key", _key("win", F.col("o"), k))
-        spots = spread.where(F.size("w") >= k).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("p"))
+        # A filter on the size would take the words twice; exploding null gives no rows.
+        places = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k))
+        spots = spread.select("doc_id", "w", F.explode(places).alias("p"))
         spots = spots.select("doc_id", "w", "p", _key("w", F.col("p"), k).alias("key"))
         # How often each of the benchmark's shingles occurs in the corpus.
         seen = spots.select("key").join(small(parts.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count("*").alias("df"))
         rarity = parts.join(seen, "key", "left").withColumn("df", F.coalesce("df", F.lit(0)))
         prefix = rarity.groupBy("win").agg(F.min(F.struct("df", "key", "o")).alias("r"), F.first("items").alias("items"))
-        prefix = prefix.where("r.df > 0").select("win", "items", F.col("r.key").alias("key"), F.col("r.o").alias("o"), F.size("win").alias("n"))
+        prefix = prefix.where("r.df > 0").select(F.array_join("win", " ").alias("joined"), "items", F.col("r.key").alias("key"), F.col("r.o").alias("o"), F.size("win").alias("n"))
         start = F.col("p") - F.col("o")
         inside = (start >= 0) & (start + F.col("n") <= F.size("w"))
-        same = F.transform(F.slice("w", start + 1, F.col("n")), lower_ascii) == F.col("win")
+        # Compared as joined text: all of it is compiled, so no row with its words is ever copied.
+        same = lower_ascii(F.array_join(F.slice("w", start + 1, F.col("n")), " ")) == F.col("joined")
         found = spots.join(small(prefix), "key").where(F.when(inside, same).otherwise(False))
         found = found.select("doc_id", start.alias("s"), (start + F.col("n")).alias("e"), "items")
         hits = found if hits is None else hits.unionByName(found)
