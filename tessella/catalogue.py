@@ -1,10 +1,532 @@
-"""All registered queries by name, and their DuckDB equivalents."""
+"""All registered queries by name, with their DuckDB equivalents from :mod:`tessella.oracles`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from tessella.functions import ids, reltime
+from tessella.functions import text as T
+from tessella.operators import centrality, community, concentration, graph, paths, quality, relational, scoring, stats, text_stats
+from tessella.oracles import ORACLE
+from tessella.plans.questions import QUESTIONS
+from tessella.sources import tables
+
+__all__ = ["ORACLE", "QUERIES"]
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    """Register a query under its function's name."""
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _fc(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tables.participation(spark, d), tables.catalog(spark, d)
+
+
+def _ge(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bipartite_edges(tables.graph_facts(spark, d))
+
+
+def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Item projection of the graph facts: nodes and edges."""
+    e = _ge(spark, d)
+    return e.select(F.col("dst").alias("node_id")).distinct(), graph.projection(e, "dst", "src")
+
+
+def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The bipartite graph as one graph."""
+    e = _ge(spark, d)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    return nodes, e.select("src", "dst", "weight")
+
+
+# Relational summaries, joins, coverage.
+
+
+@query
+def participation_by_item(spark: SparkSession, d: str) -> DataFrame:
+    return relational.by_item(*_fc(spark, d))
+
+
+@query
+def participation_by_channel(spark: SparkSession, d: str) -> DataFrame:
+    return relational.by_channel(*_fc(spark, d))
+
+
+@query
+def author_summary(spark: SparkSession, d: str) -> DataFrame:
+    return relational.by_author(*_fc(spark, d))
+
+
+@query
+def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
+    return relational.catalog_summary(*_fc(spark, d))
+
+
+@query
+def integrated_rows(spark: SparkSession, d: str) -> DataFrame:
+    out = relational.integrate(*_fc(spark, d))
+    return out.select("fact_id", "item_id", "author_id", "likes", "title", "channel_id", "matched")
+
+
+@query
+def join_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return relational.join_coverage(*_fc(spark, d))
+
+
+@query
+def observed_items(spark: SparkSession, d: str) -> DataFrame:
+    f, c = _fc(spark, d)
+    return c.join(f.select("item_id").where("item_id is not null"), "item_id", "left_semi").select("item_id", "title")
+
+
+@query
+def unobserved_items(spark: SparkSession, d: str) -> DataFrame:
+    f, c = _fc(spark, d)
+    return c.join(f.select("item_id"), "item_id", "left_anti").select("item_id", "title")
+
+
+@query
+def counts_of_counts(spark: SparkSession, d: str) -> DataFrame:
+    return relational.counts_of_counts(_fc(spark, d)[0], "author_id")
+
+
+@query
+def top_items(spark: SparkSession, d: str) -> DataFrame:
+    return relational.top_k(participation_by_item(spark, d).select("item_id", "n_rows", "n_authors"), 10, F.desc("n_rows"), F.col("item_id"))
+
+
+@query
+def top_items_per_channel(spark: SparkSession, d: str) -> DataFrame:
+    items = participation_by_item(spark, d).select("channel_id", "item_id", "n_rows")
+    return relational.top_k_per_group(items, "channel_id", 3, F.desc("n_rows"), F.col("item_id"))
+
+
+@query
+def source_by_channel(spark: SparkSession, d: str) -> DataFrame:
+    f, c = _fc(spark, d)
+    joined = f.join(c.select("item_id", "channel_id"), "item_id")
+    return relational.crosstab(joined, "channel_id", "source", ["click", "error", "purchase", "signup", "view"])
+
+
+@query
+def id_set_difference(spark: SparkSession, d: str) -> DataFrame:
+    f, c = _fc(spark, d)
+    a, b = f.select("item_id").where("item_id is not null").distinct(), c.select("item_id").distinct()
+    name = lambda df, x: df.agg(F.count("*").alias("n")).select(F.lit(x).alias("part"), "n")
+    return name(a.intersect(b), "both").unionByName(name(a.subtract(b), "facts_only")).unionByName(name(b.subtract(a), "catalog_only"))
+
+
+@query
+def long_metrics(spark: SparkSession, d: str) -> DataFrame:
+    one = join_coverage(spark, d)
+    return one.select(*(F.col(c).cast("double").alias(c) for c in one.columns)).unpivot([], one.columns, "metric", "value")
+
+
+# Concentration and distributions.
+
+
+def _units(spark: SparkSession, d: str, key: str) -> DataFrame:
+    f, c = _fc(spark, d)
+    if key == "channel_id":
+        f = f.join(c.select("item_id", "channel_id"), "item_id")
+    return f.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_rows"))
+
+
+@query
+def concentration_items(spark: SparkSession, d: str) -> DataFrame:
+    return concentration.concentration(_units(spark, d, "item_id"), "n_rows")
+
+
+@query
+def concentration_channels(spark: SparkSession, d: str) -> DataFrame:
+    return concentration.concentration(_units(spark, d, "channel_id"), "n_rows")
+
+
+@query
+def concentration_authors(spark: SparkSession, d: str) -> DataFrame:
+    return concentration.concentration(_units(spark, d, "author_id"), "n_rows")
+
+
+@query
+def gini_items(spark: SparkSession, d: str) -> DataFrame:
+    return concentration.gini(_units(spark, d, "item_id"), "n_rows")
+
+
+@query
+def lorenz_points(spark: SparkSession, d: str) -> DataFrame:
+    return concentration.lorenz(_units(spark, d, "item_id"), "n_rows")
+
+
+@query
+def degree_ecdf(spark: SparkSession, d: str) -> DataFrame:
+    return concentration.ecdf(graph.degrees(*_whole(spark, d)), "degree")
+
+
+@query
+def value_log_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return concentration.log_histogram(_fc(spark, d)[0], "value")
+
+
+@query
+def distribution_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.distribution(_fc(spark, d)[0], "value", "source")
+
+
+@query
+def outlier_report(spark: SparkSession, d: str) -> DataFrame:
+    return stats.outliers(_fc(spark, d)[0], ["value", "likes"])
+
+
+# Data quality.
+
+
+@query
+def quality_profile(spark: SparkSession, d: str) -> DataFrame:
+    part = tables.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return quality.profile(part, "part", ("p_partkey",))
+
+
+@query
+def duplicate_report(spark: SparkSession, d: str) -> DataFrame:
+    docs = tables.documents(spark, d)
+    return quality.duplicates(docs, "documents", ["doc_id", "text"])
+
+
+@query
+def functional_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    n = tables.table(spark, d, "nation")
+    c = tables.table(spark, d, "customer")
+    return quality.one_to_one(n, "n_nationkey", "n_name").unionByName(quality.one_to_one(c, "c_nationkey", "c_mktsegment"))
+
+
+@query
+def consistency_checks(spark: SparkSession, d: str) -> DataFrame:
+    f, c = _fc(spark, d)
+    x = f.join(c.select("item_id", "title", "channel_id"), "item_id", "left").withColumn("item_text", F.col("item_id").cast("string"))
+    checks = {
+        "item known": F.col("title").isNull(), "likes agree with value": F.col("likes") != F.floor("value"), "author is not item": F.col("author_id") == F.col("item_id"),
+        "source known": ~F.col("source").isin("click", "error", "purchase", "signup", "view"), "source equals channel": quality.differs("source", "channel_id"),
+        "title encoded": quality.encoded("title"),
+    }
+    return quality.violations(x, checks)
+
+
+# Scalar functions on literal cases.
+
+COUNT_CASES = ["29,736 vistas", "2,390 vistas", "1.234.567", "1 234 567", "4", "  12 ", "0", "1.5K", "2.3M vistas", "3B", "1,5 mil", "2 millones", "1.2 millon", "", "   ", "abc", "vistas", "-", None, "1.5", "3kk"]
+KEY_CASES = ["Más", "mas", "  Ñandú   ÇÉ ", "", None, "STRASSE", "a\tb\n c"]
+HANDLE_CASES = ["@quorumgt/videos", "/@quorumgt", "quorumgt", "/@Jos%C3%A9-1", "", None, "nan", "a+b", "100%", "  x  "]
+TIME_CASES = ["hace 2 semanas", "hace 3 meses", "hace 5 dias", "hace 1 año", "Hace 3 años (editado)", "ayer", "", None, "hace 10 minutos"]
+
+
+def _cases(spark: SparkSession, cases: list) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(cases)), "i int, s string")
+
+
+@query
+def parse_count_cases(spark: SparkSession, d: str) -> DataFrame:
+    return _cases(spark, COUNT_CASES).select("i", ids.parse_count(F.col("s")).alias("v"))
+
+
+@query
+def normalize_key_cases(spark: SparkSession, d: str) -> DataFrame:
+    return _cases(spark, KEY_CASES).select("i", ids.normalize_key(F.col("s")).alias("v"))
+
+
+@query
+def handle_cases(spark: SparkSession, d: str) -> DataFrame:
+    return _cases(spark, HANDLE_CASES).select("i", ids.normalize_handle(F.col("s")).alias("v"), ids.is_percent_encoded(F.col("s")).alias("encoded"))
+
+
+@query
+def relative_time_cases(spark: SparkSession, d: str) -> DataFrame:
+    return _cases(spark, TIME_CASES).select("i", reltime.relative_days(F.col("s")).alias("days"), reltime.relative_bucket(F.col("s")).alias("bucket"))
+
+
+# Text.
+
+
+def _clean(spark: SparkSession, d: str) -> DataFrame:
+    return tables.documents(spark, d).select("doc_id", "lang", T.content_tokens(F.col("text")).alias("w"))
+
+
+@query
+def hashtag_counts(spark: SparkSession, d: str) -> DataFrame:
+    return text_stats.term_counts(tables.documents(spark, d), T.extract_hashtags(F.col("text")))
+
+
+@query
+def mention_counts(spark: SparkSession, d: str) -> DataFrame:
+    return text_stats.term_counts(tables.documents(spark, d), T.extract_mentions(F.col("text")))
+
+
+@query
+def url_counts(spark: SparkSession, d: str) -> DataFrame:
+    return text_stats.term_counts(tables.table(spark, d, "pages"), T.extract_urls(F.col("url")))
+
+
+@query
+def emoji_counts(spark: SparkSession, d: str) -> DataFrame:
+    return text_stats.term_counts(tables.documents(spark, d), T.extract_emojis(F.col("text")))
+
+
+@query
+def top_words(spark: SparkSession, d: str) -> DataFrame:
+    return text_stats.top_ngrams(_clean(spark, d), "doc_id", F.col("w"), 1, 60)
+
+
+@query
+def top_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    return text_stats.top_ngrams(_clean(spark, d), "doc_id", F.col("w"), 2, 60)
+
+
+@query
+def top_trigrams(spark: SparkSession, d: str) -> DataFrame:
+    return text_stats.top_ngrams(_clean(spark, d), "doc_id", F.col("w"), 3, 30)
+
+
+@query
+def tfidf_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    return text_stats.tfidf_by_group(_clean(spark, d), "lang", "doc_id", F.col("w"), 12)
+
+
+@query
+def cleaning_effect(spark: SparkSession, d: str) -> DataFrame:
+    return text_stats.cleaning_effect(tables.documents(spark, d), "doc_id", "text")
+
+
+@query
+def model_texts(spark: SparkSession, d: str) -> DataFrame:
+    return tables.documents(spark, d).select("doc_id", F.md5(T.model_text(F.col("text"))).alias("md5"))
+
+
+# Statistics.
+
+
+@query
+def spearman_popularity(spark: SparkSession, d: str) -> DataFrame:
+    return stats.spearman(participation_by_item(spark, d), "views", "n_rows").drop("p")
+
+
+@query
+def pearson_log1p(spark: SparkSession, d: str) -> DataFrame:
+    return stats.pearson_log1p(participation_by_item(spark, d), "views", "n_rows").drop("p")
+
+
+@query
+def kendall_tau(spark: SparkSession, d: str) -> DataFrame:
+    return stats.kendall(participation_by_item(spark, d), "views", "n_rows").drop("p")
+
+
+@query
+def mann_whitney_u(spark: SparkSession, d: str) -> DataFrame:
+    return stats.mann_whitney(catalog_summary(spark, d), "views", ~F.col("observed")).drop("p")
+
+
+@query
+def kruskal_h(spark: SparkSession, d: str) -> DataFrame:
+    return stats.kruskal(_fc(spark, d)[0], "value", "source").drop("p")
+
+
+@query
+def chi2_cramers_v(spark: SparkSession, d: str) -> DataFrame:
+    f, c = _fc(spark, d)
+    return stats.chi_square(f.join(c.select("item_id", "channel_id"), "item_id"), "channel_id", "source").drop("p")
+
+
+@query
+def nmi_ari(spark: SparkSession, d: str) -> DataFrame:
+    return stats.agreement(tables.documents(spark, d), "lang", "source")
+
+
+# Graph.
+
+
+@query
+def bipartite_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _ge(spark, d)
+
+
+@query
+def bipartite_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bipartite_nodes(_ge(spark, d), tables.catalog(spark, d)).select("node_id", "node_type", "degree", "strength", "likes", "channel_id", "views")
+
+
+@query
+def bipartite_invariants(spark: SparkSession, d: str) -> DataFrame:
+    f, e = tables.graph_facts(spark, d), _ge(spark, d)
+    return graph.invariants(f, e, graph.bipartite_nodes(e, tables.catalog(spark, d)))
+
+
+@query
+def author_projection(spark: SparkSession, d: str) -> DataFrame:
+    return graph.projection(_ge(spark, d), "src", "dst")
+
+
+@query
+def item_projection(spark: SparkSession, d: str) -> DataFrame:
+    return graph.projection(_ge(spark, d), "dst", "src")
+
+
+@query
+def projection_verification(spark: SparkSession, d: str) -> DataFrame:
+    e = _ge(spark, d)
+    return graph.verify_projection(e, graph.projection(e, "dst", "src"), "dst", "src")
+
+
+@query
+def item_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(*_items(spark, d))
+
+
+@query
+def item_topology(spark: SparkSession, d: str) -> DataFrame:
+    return graph.topology(*_items(spark, d))
+
+
+@query
+def item_clustering(spark: SparkSession, d: str) -> DataFrame:
+    return graph.clustering(*_items(spark, d))
+
+
+@query
+def latapy_clustering(spark: SparkSession, d: str) -> DataFrame:
+    return graph.latapy(_ge(spark, d), "dst", "src")
+
+
+@query
+def bipartite_density(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bipartite_density(_ge(spark, d))
+
+
+@query
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(*_whole(spark, d))
+
+
+@query
+def component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.component_sizes(*_whole(spark, d))
+
+
+@query
+def peripheral_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.peripheral(*_whole(spark, d))
+
+
+@query
+def core_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    return graph.core_subgraph(_ge(spark, d)).select("src", "dst", "weight")
+
+
+@query
+def modularity_of_channels(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _items(spark, d)
+    c = tables.catalog(spark, d).select(graph.item_node("item_id").alias("node_id"), F.col("channel_id").alias("community"))
+    return graph.modularity(edges, nodes.join(c, "node_id"))
+
+
+@query
+def bridge_authors(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bridge_authors(_ge(spark, d), tables.catalog(spark, d)).drop("n_communities")
+
+
+@query
+def articulation_removal(spark: SparkSession, d: str) -> DataFrame:
+    return paths.articulation_removal(*_whole(spark, d))
+
+
+@query
+def graph_bridges(spark: SparkSession, d: str) -> DataFrame:
+    return paths.bridges(*_whole(spark, d))
+
+
+@query
+def cohesion(spark: SparkSession, d: str) -> DataFrame:
+    return paths.cohesion(*_items(spark, d))
+
+
+@query
+def path_centralities(spark: SparkSession, d: str) -> DataFrame:
+    out = paths.path_measures(*_items(spark, d))
+    return paths.ranked(out, ["betweenness", "closeness"])
+
+
+@query
+def giant_paths(spark: SparkSession, d: str) -> DataFrame:
+    return paths.giant_paths(*_items(spark, d))
+
+
+@query
+def pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return centrality.pagerank(*_items(spark, d))
+
+
+@query
+def k_core(spark: SparkSession, d: str) -> DataFrame:
+    return centrality.k_core(*_items(spark, d))
+
+
+@query
+def eigenvector(spark: SparkSession, d: str) -> DataFrame:
+    return centrality.eigenvector(*_items(spark, d))
+
+
+@query
+def louvain_communities(spark: SparkSession, d: str) -> DataFrame:
+    return community.detect(*_items(spark, d))
+
+
+@query
+def community_controls(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _items(spark, d)
+    out = None
+    for method in ("louvain", "greedy", "propagation"):
+        one = graph.modularity(edges, community.detect(nodes, edges, method)).withColumn("method", F.lit(method))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def community_profile(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _items(spark, d)
+    c = tables.catalog(spark, d)
+    by_category = nodes.join(c.select(graph.item_node("item_id").alias("node_id"), F.col("category").alias("community")), "node_id")
+    return graph.community_profile(_ge(spark, d), edges, by_category, c)
+
+
+# Scores.
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.score_texts(tables.documents(spark, d), "text")
+
+
+@query
+def score_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", "prob_NEG", "prob_NEU", "prob_POS", "predicted", "confidence", "margin", "entropy", "low_confidence")
+
+
+@query
+def label_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.label_distribution(_scored(spark, d))
+
+
+@query
+def group_comparison_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+    return relational.group_comparison(_scored(spark, d), {"lang": "lang", "source": "source"}, "predicted", scoring.LABELS, "confidence")
+
+
+@query
+def representative_examples(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.representative_examples(_scored(spark, d), "doc_id")
+
+
+QUERIES |= QUESTIONS

@@ -1,0 +1,306 @@
+"""Measures that need single-source paths: closeness, harmonic, betweenness, eccentricity, removal.
+
+Work is spread over sources (or candidates): every task walks from its own nodes over one copy of
+the graph. That copy is broadcast only behind a check of its size; a larger graph is refused with
+a message rather than collected, as exact all-pairs measures of it are out of reach anyway.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Largest graph, in edges, that is sent along with tasks (about 100 bytes each in a worker).
+MOST_EDGES = 500_000
+Adjacency = dict[str, dict[str, float]]
+
+
+def shared_graph(nodes: DataFrame, edges: DataFrame) -> Broadcast:
+    """Adjacency as a broadcast variable, if the graph is small enough."""
+    m, n = edges.count(), nodes.count()
+    if max(m, n) > MOST_EDGES:
+        raise ValueError(f"exact path measures are for graphs of up to {MOST_EDGES} edges and nodes; this one has {m} and {n}")
+    adjacency: Adjacency = {r[0]: {} for r in nodes.select("node_id").toLocalIterator()}
+    for a, b, w in edges.select("src", "dst", F.col("weight").cast("double")).toLocalIterator():
+        adjacency.setdefault(a, {})[b] = w
+        adjacency.setdefault(b, {})[a] = w
+    return nodes.sparkSession.sparkContext.broadcast({k: dict(sorted(v.items())) for k, v in sorted(adjacency.items())})
+
+
+def shortest(graph: Adjacency, source: str, weighted: bool) -> tuple[list[str], dict[str, float], dict[str, float], dict[str, list[str]]]:
+    """Nodes by distance, distances, path counts and predecessors; a weight w is a distance 1 / w.
+
+    Distances that differ by less than 1e-12 are equal.
+    """
+    dist, count, before, order = {source: 0.0}, {source: 1.0}, {source: []}, []
+    if not weighted:
+        queue = deque([source])
+        while queue:
+            v = queue.popleft()
+            order.append(v)
+            for u in graph[v]:
+                if u not in dist:
+                    dist[u], count[u], before[u] = dist[v] + 1, 0.0, []
+                    queue.append(u)
+                if dist[u] == dist[v] + 1:
+                    count[u] += count[v]
+                    before[u].append(v)
+        return order, dist, count, before
+    heap, done = [(0.0, source)], set()
+    while heap:
+        d, v = heapq.heappop(heap)
+        if v in done:
+            continue
+        done.add(v)
+        order.append(v)
+        for u, w in graph[v].items():
+            far = d + 1 / max(w, 1e-12)
+            if u not in dist or far < dist[u] - 1e-12:
+                dist[u], count[u], before[u] = far, count[v], [v]
+                heapq.heappush(heap, (far, u))
+            elif u not in done and abs(far - dist[u]) <= 1e-12:
+                count[u] += count[v]
+                before[u].append(v)
+    return order, dist, count, before
+
+
+def path_measures(nodes: DataFrame, edges: DataFrame, spread: int = 16) -> DataFrame:
+    """``node_id, closeness, harmonic, eccentricity, reached, distance_sum, betweenness, weighted_betweenness``.
+
+    Closeness (scaled by the reached share), harmonic and betweenness use whole-graph node counts;
+    closeness and harmonic use the weights as inverse distances, eccentricity counts steps.
+    """
+    shared = shared_graph(nodes, edges)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = shared.value
+        n = len(graph)
+        carried: dict[str, list[float]] = {}
+        own = []
+        for pdf in batches:
+            for source in pdf["node_id"]:
+                for k, weighted in enumerate((False, True)):
+                    order, dist, count, before = shortest(graph, source, weighted)
+                    flow = dict.fromkeys(order, 0.0)
+                    for v in reversed(order):
+                        for u in before[v]:
+                            flow[u] += count[u] / count[v] * (1 + flow[v])
+                        if v != source:
+                            carried.setdefault(v, [0.0, 0.0])[k] += flow[v]
+                    if not weighted:
+                        steps, total = max(dist.values()), sum(dist.values())
+                    else:
+                        far = sum(dist.values())
+                        close = (len(dist) - 1) / (n - 1) * (len(dist) - 1) / far if far > 0 else 0.0
+                        near = sum(1 / d for d in dist.values() if d > 0) / (n - 1) if n > 1 else 0.0
+                own.append((source, close, near, steps, len(dist), total, 0.0, 0.0))
+        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+        own += [(v, 0.0, 0.0, 0.0, 0, 0.0, a * scale, b * scale) for v, (a, b) in carried.items()]
+        yield pd.DataFrame(own, columns=_PATH)
+
+    rows = nodes.select("node_id").repartition(spread, "node_id").mapInPandas(walk, ", ".join(f"{c} {'string' if c == 'node_id' else 'long' if c == 'reached' else 'double'}" for c in _PATH))
+    total = lambda c, d: F.round(F.sum(c), d).alias(c)
+    return rows.groupBy("node_id").agg(
+        total("closeness", 6), total("harmonic", 6), F.sum("eccentricity").cast("long").alias("eccentricity"), F.sum("reached").alias("reached"),
+        F.sum("distance_sum").cast("long").alias("distance_sum"), total("betweenness", 6), total("weighted_betweenness", 6),
+    )
+
+
+_PATH = ["node_id", "closeness", "harmonic", "eccentricity", "reached", "distance_sum", "betweenness", "weighted_betweenness"]
+
+
+def giant_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row ``size, diameter, radius, mean_distance`` of the largest component, in steps."""
+    p = path_measures(nodes, edges).select("eccentricity", "reached", "distance_sum")
+    top = p.agg(F.max("reached").alias("reached"))  # one row
+    big = p.join(F.broadcast(top), "reached")
+    pairs = F.nullif(F.count("*") * (F.max("reached") - 1), F.lit(0))
+    return big.agg(F.max("reached").alias("size"), F.max("eccentricity").alias("diameter"), F.min("eccentricity").alias("radius"), F.round(F.sum("distance_sum") / pairs, 4).alias("mean_distance"))
+
+
+def cut_points(graph: Adjacency) -> tuple[set[str], list[tuple[str, str]]]:
+    """Articulation points and bridges by low links, without recursion."""
+    seen: dict[str, int] = {}
+    low: dict[str, int] = {}
+    cuts, bridges = set(), []
+    for root in graph:
+        if root in seen:
+            continue
+        seen[root] = low[root] = len(seen)
+        stack, children = [(root, "", iter(graph[root]))], 0
+        while stack:
+            v, parent, rest = stack[-1]
+            for u in rest:
+                if u == parent:
+                    continue
+                if u in seen:
+                    low[v] = min(low[v], seen[u])
+                    continue
+                seen[u] = low[u] = len(seen)
+                stack.append((u, v, iter(graph[u])))
+                break
+            else:
+                stack.pop()
+                if parent:
+                    low[parent] = min(low[parent], low[v])
+                    if low[v] > seen[parent]:
+                        bridges.append((min(v, parent), max(v, parent)))
+                    if parent == root:
+                        children += 1
+                    elif low[v] >= seen[parent]:
+                        cuts.add(parent)
+        if children > 1:
+            cuts.add(root)
+    return cuts, bridges
+
+
+def parts_without(graph: Adjacency, gone: str, within: set[str] | None = None) -> list[int]:
+    """Sizes of the components that a node leaves behind, among the nodes of its own component."""
+    left = within if within is not None else set(shortest(graph, gone, False)[1])
+    left = left - {gone}
+    sizes = []
+    while left:
+        queue, n = [left.pop()], 0
+        while queue:
+            v = queue.pop()
+            n += 1
+            new = [u for u in graph[v] if u in left]
+            left.difference_update(new)
+            queue += new
+        sizes.append(n)
+    return sizes
+
+
+def articulation_removal(nodes: DataFrame, edges: DataFrame, spread: int = 16) -> DataFrame:
+    """Per node of degree two or more that splits its component: what removing it does.
+
+    ``node_id, degree, components_before, components_after, giant_after, isolates_after``; only
+    verified articulation points are returned.
+    """
+    shared = shared_graph(nodes, edges)
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = shared.value
+        home: dict[str, int] = {}
+        groups: list[set[str]] = []
+        for v in graph:
+            if v not in home:
+                groups.append(set(shortest(graph, v, False)[1]))
+                home.update(dict.fromkeys(groups[-1], len(groups) - 1))
+        cuts, _ = cut_points(graph)
+        lone = sum(len(g) == 1 for g in groups)
+        for pdf in batches:
+            out = []
+            for v in (x for x in pdf["node_id"] if x in cuts):
+                sizes = parts_without(graph, v, groups[home[v]])
+                if len(sizes) > 1:
+                    rest = max((len(g) for i, g in enumerate(groups) if i != home[v]), default=0)
+                    out.append((v, len(graph[v]), len(groups), len(groups) - 1 + len(sizes), max(rest, *sizes), lone + sizes.count(1)))
+            yield pd.DataFrame(out, columns=["node_id", "degree", "components_before", "components_after", "giant_after", "isolates_after"])
+
+    schema = "node_id string, degree long, components_before long, components_after long, giant_after long, isolates_after long"
+    return nodes.select("node_id").repartition(spread, "node_id").mapInPandas(test, schema)
+
+
+def whole_graph(nodes: DataFrame, edges: DataFrame, measure: Callable[[Adjacency], list[tuple]], schema: str) -> DataFrame:
+    """A measure that one task takes of a whole graph of checked size."""
+    shared = shared_graph(nodes, edges)
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            yield pd.DataFrame(measure(shared.value), columns=columns)
+
+    return nodes.sparkSession.range(0, 1, 1, 1).mapInPandas(run, schema)
+
+
+def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``src, dst`` of edges whose removal splits a component."""
+    return whole_graph(nodes, edges, lambda g: cut_points(g)[1], "src string, dst string")
+
+
+def _flow(capacity: dict, source, sink, most: int) -> int:
+    """Unit flow by breadth-first augmenting paths, up to ``most``."""
+    residual = {v: dict(out) for v, out in capacity.items()}
+    for v, out in capacity.items():
+        for u in out:
+            residual.setdefault(u, {}).setdefault(v, 0)
+    total = 0
+    while total < most:
+        came, queue = {source: None}, deque([source])
+        while queue and sink not in came:
+            v = queue.popleft()
+            for u, c in residual[v].items():
+                if c > 0 and u not in came:
+                    came[u] = v
+                    queue.append(u)
+        if sink not in came:
+            break
+        v = sink
+        while came[v] is not None:
+            residual[came[v]][v] -= 1
+            residual[v][came[v]] += 1
+            v = came[v]
+        total += 1
+    return total
+
+
+def connectivity(graph: Adjacency) -> tuple[int, int]:
+    """Node and edge connectivity of a connected graph; a cut point or bridge settles them at one."""
+    n = len(graph)
+    if n < 2:
+        return 0, 0
+    cuts, bridge = cut_points(graph)
+    least = min(map(len, graph.values()))
+    if all(len(x) == n - 1 for x in graph.values()):
+        return n - 1, n - 1
+    edge = 1
+    if not bridge:
+        capacity = {v: dict.fromkeys(out, 1) for v, out in graph.items()}
+        first, *rest = graph
+        edge = least
+        for other in rest:
+            edge = min(edge, _flow(capacity, first, other, edge))
+    if cuts:
+        return 1, edge
+    split = {}
+    for v, out in graph.items():
+        split[v, 0] = {(v, 1): 1}
+        split[v, 1] = {(u, 0): 1 for u in out}
+    v = min(graph, key=lambda x: (len(graph[x]), x))
+    node = least
+    pairs = [(v, u) for u in graph if u != v and u not in graph[v]]
+    pairs += [(a, b) for a in graph[v] for b in graph[v] if a < b and b not in graph[a]]
+    for a, b in pairs:
+        node = min(node, _flow(split, (a, 1), (b, 0), node))
+    return node, edge
+
+
+def cohesion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: connectivity of the graph (0 if it is in parts) and of its largest component."""
+
+    def measure(graph: Adjacency) -> list[tuple]:
+        groups, seen = [], set()
+        for v in graph:
+            if v not in seen:
+                groups.append(sorted(shortest(graph, v, False)[1]))
+                seen.update(groups[-1])
+        giant = max(groups, key=lambda g: (len(g), [-ord(c) for c in g[0]])) if groups else []
+        k, e = connectivity({v: graph[v] for v in giant})
+        cuts, bridge = cut_points(graph)
+        whole = len(groups) == 1
+        return [(len(groups), len(giant), k if whole else 0, e if whole else 0, k, e, len(cuts), len(bridge))]
+
+    schema = "components long, giant long, node_connectivity long, edge_connectivity long, giant_node_connectivity long, giant_edge_connectivity long, articulation_points long, bridges long"
+    return whole_graph(nodes, edges, measure, schema)
+
+
+def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Places of each column from the largest, ties sharing the smallest place."""
+    return df.withColumns({f"rank_{c}": F.rank().over(Window.orderBy(F.col(c).desc_nulls_last())) for c in columns})
