@@ -32,7 +32,7 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
             tag = f"{label}-{v.replace(' ', '.')}"
             full = rf"(?:gnu )?{name} license (?:as published by the free software foundation )?(?:either )?(?:version |v ?)?{v}(?: 0)?"
             out += [
-                ("license", rf"{full} or (?:at your option )?any later version", f"{tag}-or-later", 3, 0.99),
+                ("license", rf"{full} or (?:(?:at your option )?any later version|later)", f"{tag}-or-later", 3, 0.99),
                 ("license", rf"{full} only", f"{tag}-only", 3, 0.99),
                 ("license", full, tag, 2, 0.95),
                 (short, rf"{short} ?v? ?{v}(?: 0)? or later", f"{tag}-or-later", 3, 0.95),

@@ -1,102 +1,6 @@
-"""Pieces that several corpus operators use: the shared scratch folder and connected components."""
+"""What several corpus operators use of the library: scratch tables and connected components."""
 
-from __future__ import annotations
+from tessella.operators.components import connected_components
+from tessella.scratch import new_path, remove, shared_root, written
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests on one machine) a temporary folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder name below the shared root; it is removed when the driver ends."""
-    path = f"{shared_root(spark)}/tessella/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_quietly_remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Hadoop's file system API."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _quietly_remove(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the JVM may have gone first
-        return
-
-
-def written(df: DataFrame, tag: str, keep: list[str] | None = None) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, and survives lost executors.
-
-    ``keep`` collects the path, for a later :func:`remove`.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    if keep is not None:
-        keep.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
-    """Label every node of an undirected edge list with the smallest node of its component.
-
-    ``edges(a, b)``: long ids. Returns ``(node, label)`` for nodes that stand in some edge with
-    ``a <> b``. Each round hooks every node onto its smallest neighbour, flattens the hooks by
-    pointer jumping, and contracts the edges; the edge list at least halves each round. All
-    state lives in written tables, so a hub is only ever a skewed join side that can be split.
-    """
-    spark = edges.sparkSession
-    edges = written(
-        edges.where(F.col("a") != F.col("b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct(),
-        tag,
-    )
-    labels = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), tag)
-        while True:
-            up = hook.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            jumped = hook.join(up, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved"))
-            jumped = written(jumped, tag)
-            moved = not jumped.where("moved").isEmpty()
-            hook = jumped.select("a", "p")
-            if not moved:
-                break
-        if labels is None:
-            labels = hook.select(F.col("a").alias("node"), F.col("p").alias("label"))
-        else:
-            to = hook.select(F.col("a").alias("label"), "p")
-            labels = written(
-                labels.join(to, "label", "left").select("node", F.coalesce("p", "label").alias("label")), tag
-            )
-        ends = edges
-        for end in ("a", "b"):
-            ends = ends.join(hook.select(F.col("a").alias(end), F.col("p").alias(f"p{end}")), end)
-        edges = written(
-            ends.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(),
-            tag,
-        )
-    if labels is None:
-        return spark.createDataFrame([], "node long, label long")
-    return labels
+__all__ = ["connected_components", "new_path", "remove", "shared_root", "written"]
