@@ -191,13 +191,8 @@ def _side(reps: DataFrame, x: str) -> DataFrame:
     return reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("nibbles").alias(f"f{x}"))
 
 
-def _confirmed(likely: DataFrame, texts: DataFrame, p: MinMaxParams) -> DataFrame:
+def _confirmed(likely: DataFrame, bodies: DataFrame, p: MinMaxParams) -> DataFrame:
     """Of likely pairs (a, b), those that are links on their full shingle sets."""
-    likely = written(likely, "likely")
-    if likely.isEmpty():
-        return likely
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bodies = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
     body = lambda x: bodies.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     full = likely.join(body("a"), "a").join(body("b"), "b").select("a", "b", "ta", "tb")
     return written(full.mapInArrow(_confirm(p), "a long, b long"), "links")
@@ -217,8 +212,12 @@ def _links(reps: DataFrame, texts: DataFrame, p: MinMaxParams) -> DataFrame:
     members = written(buckets.join(lead, "key"), "members")
     pairs = members.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     likely = pairs.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").where(_may_link(p)).select("a", "b")
-    links = _confirmed(likely, texts, p)
+    likely = written(likely, "likely")
     wide = members.where("n > 2")
+    # Texts move once: those of likely pairs, and those that may be looked at again.
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(wide.select("doc_id")).distinct()
+    bodies = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
+    links = _confirmed(likely, bodies, p)
     if wide.isEmpty():
         return links
     label = connected_components(links).withColumnRenamed("node", "doc_id")
@@ -238,4 +237,5 @@ def _links(reps: DataFrame, texts: DataFrame, p: MinMaxParams) -> DataFrame:
     first = F.array_position(F.zip_with("wa", "wb", lambda x, y: x == y), True) == F.col("band") + 1
     once = (F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))
     cross = minor.join(other, (minor["key"] == other["key"]) & (F.col("ca") != F.col("cb")) & once & F.when(_may_link(p), first).otherwise(False))
-    return written(links.unionByName(_confirmed(cross.select("a", "b").distinct(), texts, p)), "links")
+    cross = written(cross.select("a", "b").distinct(), "likely")
+    return links.unionByName(_confirmed(cross, bodies, p))
