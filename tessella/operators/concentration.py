@@ -42,7 +42,7 @@ def concentration(units: DataFrame, value: str, tops: tuple[int, ...] = (1, 3, 5
     mass_over = F.col("total") - F.col("cv")
     # Units whose running share from the largest stays below s: all above, and some of this value.
     below = lambda s: F.sum(
-        F.greatest(F.least(F.ceil((s * F.col("total") - mass_over) / F.nullif("v", F.lit(0.0)) - 1e-9) - 1, F.col("m")), F.lit(0))
+        F.when(F.col("v") > 0, F.greatest(F.least(F.ceil((s * F.col("total") - mass_over) / F.col("v") - 1e-9) - 1, F.col("m")), F.lit(0))).otherwise(0)
     )
     parts = x.agg(*(top(k).alias(f"top{k}_n") for k in tops), *(below(s).alias(f"b{int(100 * s)}") for s in shares))
     out = whole.crossJoin(F.broadcast(parts))

@@ -50,10 +50,10 @@ def list_column(text: Column) -> Column:
     """A list from JSON text, from a Python-style literal, or from text split at ``|``."""
     strict = F.from_json(text, "array<string>")
     loose = F.from_json(text, "array<string>", {"allowSingleQuotes": "true"})
-    split = F.filter(F.transform(F.split(text, r"\|"), F.trim), lambda x: x != "")
+    split = F.filter(F.transform(F.split(text, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     bracketed = F.coalesce(text.rlike(r"^\s*\["), F.lit(False))
     found = F.when(bracketed, F.coalesce(strict, loose, split)).otherwise(split)
-    return F.coalesce(F.filter(F.transform(found, F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def write_metrics(df: DataFrame, path: str) -> None:

@@ -57,7 +57,7 @@ def test_report(spark):
 
 
 def test_streams(spark):
-    events = participation.read_events(spark, "/root/testdata/sf0.001/events.parquet")
+    events = participation.read_events(spark, "/root/testdata/sf0.001", "events.parquet")
     q = participation.tumbling_counts(events).writeStream.outputMode("complete").format("memory").queryName("tumbling").start()
     q.processAllAvailable()
     q.stop()

@@ -64,7 +64,8 @@ def test_chi_square_and_agreement(spark):
 
 
 def test_moments_and_outliers(spark):
-    x = [random.Random(1).gauss(0, 1) for _ in range(50)] + [40.0]
+    rng = random.Random(1)
+    x = [rng.gauss(0, 1) for _ in range(50)] + [40.0]
     got = stats.outliers(frame(spark, [(v, 1.0) for v in x], "v double, c double"), ["v", "c"])
     by = {r["variable"]: r for r in got.collect()}
     assert by["v"]["n_robust"] >= 1 and by["c"]["n_robust"] == 0 and by["c"]["mad"] == 0
