@@ -63,15 +63,21 @@ class Lattice:
         ways: list[list[tuple[int, float]]] = [[]]
         forward = [0.0] * (n + 1)
         for end in range(1, n + 1):
-            # A single character always has its bytes as one more way.
-            here = [(end - 1, self.byte * len(text[end - 1].encode("utf-8", "surrogatepass")))]
+            here = []
             for start in range(end - longest if end > longest else 0, end):
                 p = get(text[start:end])
                 if p is not None:
                     here.append((start, p))
-            logs = [forward[start] + p for start, p in here]
-            top = max(logs)
-            forward[end] = top + log(sum([exp(x - top) for x in logs])) if len(logs) > 1 else top
+            # A character that is no piece has its bytes instead.
+            if not here or here[-1][0] != end - 1:
+                here.append((end - 1, self.byte * len(text[end - 1].encode("utf-8", "surrogatepass"))))
+            if len(here) == 1:
+                start, p = here[0]
+                forward[end] = forward[start] + p
+            else:
+                logs = [forward[start] + p for start, p in here]
+                top = max(logs)
+                forward[end] = top + log(sum([exp(x - top) for x in logs]))
             ways.append(here)
         return ways, forward
 
