@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from struct import pack
 from zlib import crc32
 
 import numpy as np
@@ -51,21 +53,29 @@ class TextEncoder:
         self.pattern = regex.compile(PRE_TOKENS)
         self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, without an end id."""
-        if any(a in text for a in self.added):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        pieces, known = self.pattern.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, without end ids.
+
+        What the texts have in new pre-tokens goes to the library in one batch.
+        """
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({p for p in pieces if p not in known})
+        whole = [any(a in t for a in self.added) for t in texts]
+        pieces = [[] if w else self.pattern.findall(t) for t, w in zip(texts, whole, strict=True)]
+        new = list(set(chain.from_iterable(pieces)).difference(known))
         for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+            known[piece] = _packed(found.ids)
+        get = known.__getitem__
+        return [
+            _packed(self.library.encode(t, add_special_tokens=False).ids) if w else b"".join(map(get, p))
+            for t, w, p in zip(texts, whole, pieces, strict=True)
+        ]
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
@@ -92,7 +102,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, pa
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids = [own.encode(t) + end for t in part.column(1).to_pylist()]
+                ids = [i + end for i in own.encode(part.column(1).to_pylist())]
                 sizes = np.array([len(i) // 4 for i in ids], dtype=np.int64)
                 before = np.concatenate(([0], np.cumsum(sizes)))
                 flat = np.frombuffer(b"".join(ids), dtype="<u4").view("<i4")
