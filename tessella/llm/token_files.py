@@ -52,26 +52,45 @@ class TextEncoder:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(PRE_TOKENS)
         self.known: dict[str, bytes] = {}
+        self.line = self.library.encode("\n", add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without end ids.
 
-        What the texts have in new pre-tokens goes to the library in one batch.
+        What the texts have in new pre-tokens goes to the library as one text of lines.
         """
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         whole = [any(a in t for a in self.added) for t in texts]
         pieces = [[] if w else self.pattern.findall(t) for t, w in zip(texts, whole, strict=True)]
-        new = list(set(chain.from_iterable(pieces)).difference(known))
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = _packed(found.ids)
+        new = set(chain.from_iterable(pieces)).difference(known)
+        self._learn([p for p in new if not p.isspace()], [p for p in new if p.isspace()])
         get = known.__getitem__
         return [
             _packed(self.library.encode(t, add_special_tokens=False).ids) if w else b"".join(map(get, p))
             for t, w, p in zip(texts, whole, pieces, strict=True)
         ]
 
+    def _learn(self, lines: list[str], spaces: list[str]) -> None:
+        """Encode new pre-tokens; those with other than white space share one call.
+
+        A line break between two of them is a pre-token by itself, and no other has its id, so
+        the ids of the lines are cut there.
+        """
+        if lines:
+            ids = np.array(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else ids
+            if len(cuts) != len(lines) - 1:  # a vocabulary without a break of its own
+                spaces = spaces + lines
+            else:
+                data, at = ids.tobytes(), 0
+                for piece, cut in zip(lines, [*cuts.tolist(), ids.size], strict=True):
+                    self.known[piece] = data[4 * at : 4 * cut]
+                    at = cut + 1
+        for piece, found in zip(spaces, self.library.encode_batch_fast(spaces, add_special_tokens=False), strict=True):
+            self.known[piece] = _packed(found.ids)
+
 
 def _packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
