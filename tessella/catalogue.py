@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,23 +26,30 @@ def query(f: Query) -> Query:
     return f
 
 
+def graph_query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Register a graph query over the subset that its SQL names and, as ``*_all_rows``, over all rows."""
+    QUERIES[f.__name__] = f
+    QUERIES[f"{f.__name__}_all_rows"] = partial(f, facts=tables.participation)
+    return f
+
+
 def _fc(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tables.participation(spark, d), tables.catalog(spark, d)
 
 
-def _ge(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bipartite_edges(tables.graph_facts(spark, d))
+def _ge(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.bipartite_edges(facts(spark, d))
 
 
-def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Item projection of the graph facts: nodes and edges."""
-    e = _ge(spark, d)
+def _items(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> tuple[DataFrame, DataFrame]:
+    """Item projection of the graph: nodes and edges."""
+    e = _ge(spark, d, facts)
     return e.select(F.col("dst").alias("node_id")).distinct(), graph.projection(e, "dst", "src")
 
 
-def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _whole(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> tuple[DataFrame, DataFrame]:
     """The bipartite graph as one graph."""
-    e = _ge(spark, d)
+    e = _ge(spark, d, facts)
     nodes = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     return nodes, e.select("src", "dst", "weight")
 
@@ -164,9 +172,9 @@ def lorenz_points(spark: SparkSession, d: str) -> DataFrame:
     return concentration.lorenz(_units(spark, d, "item_id"), "n_rows")
 
 
-@query
-def degree_ecdf(spark: SparkSession, d: str) -> DataFrame:
-    return concentration.ecdf(graph.degrees(*_whole(spark, d)), "degree")
+@graph_query
+def degree_ecdf(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return concentration.ecdf(graph.degrees(*_whole(spark, d, facts)), "degree")
 
 
 @query
@@ -349,144 +357,144 @@ def nmi_ari(spark: SparkSession, d: str) -> DataFrame:
 # Graph.
 
 
-@query
-def bipartite_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _ge(spark, d)
+@graph_query
+def bipartite_edges(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return _ge(spark, d, facts)
 
 
-@query
-def bipartite_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bipartite_nodes(_ge(spark, d), tables.catalog(spark, d)).select("node_id", "node_type", "degree", "strength", "likes", "channel_id", "views")
+@graph_query
+def bipartite_nodes(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.bipartite_nodes(_ge(spark, d, facts), tables.catalog(spark, d)).select("node_id", "node_type", "degree", "strength", "likes", "channel_id", "views")
 
 
-@query
-def bipartite_invariants(spark: SparkSession, d: str) -> DataFrame:
-    f, e = tables.graph_facts(spark, d), _ge(spark, d)
+@graph_query
+def bipartite_invariants(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    f, e = facts(spark, d), _ge(spark, d, facts)
     return graph.invariants(f, e, graph.bipartite_nodes(e, tables.catalog(spark, d)))
 
 
-@query
-def author_projection(spark: SparkSession, d: str) -> DataFrame:
-    return graph.projection(_ge(spark, d), "src", "dst")
+@graph_query
+def author_projection(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.projection(_ge(spark, d, facts), "src", "dst")
 
 
-@query
-def item_projection(spark: SparkSession, d: str) -> DataFrame:
-    return graph.projection(_ge(spark, d), "dst", "src")
+@graph_query
+def item_projection(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.projection(_ge(spark, d, facts), "dst", "src")
 
 
-@query
-def projection_verification(spark: SparkSession, d: str) -> DataFrame:
-    e = _ge(spark, d)
+@graph_query
+def projection_verification(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    e = _ge(spark, d, facts)
     return graph.verify_projection(e, graph.projection(e, "dst", "src"), "dst", "src")
 
 
-@query
-def item_degrees(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(*_items(spark, d))
+@graph_query
+def item_degrees(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.degrees(*_items(spark, d, facts))
 
 
-@query
-def item_topology(spark: SparkSession, d: str) -> DataFrame:
-    return graph.topology(*_items(spark, d))
+@graph_query
+def item_topology(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.topology(*_items(spark, d, facts))
 
 
-@query
-def item_clustering(spark: SparkSession, d: str) -> DataFrame:
-    return graph.clustering(*_items(spark, d))
+@graph_query
+def item_clustering(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.clustering(*_items(spark, d, facts))
 
 
-@query
-def latapy_clustering(spark: SparkSession, d: str) -> DataFrame:
-    return graph.latapy(_ge(spark, d), "dst", "src")
+@graph_query
+def latapy_clustering(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.latapy(_ge(spark, d, facts), "dst", "src")
 
 
-@query
-def bipartite_density(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bipartite_density(_ge(spark, d))
+@graph_query
+def bipartite_density(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.bipartite_density(_ge(spark, d, facts))
 
 
-@query
-def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components(*_whole(spark, d))
+@graph_query
+def connected_components(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.components(*_whole(spark, d, facts))
 
 
-@query
-def component_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.component_sizes(*_whole(spark, d))
+@graph_query
+def component_sizes(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.component_sizes(*_whole(spark, d, facts))
 
 
-@query
-def peripheral_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.peripheral(*_whole(spark, d))
+@graph_query
+def peripheral_nodes(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.peripheral(*_whole(spark, d, facts))
 
 
-@query
-def core_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    return graph.core_subgraph(_ge(spark, d)).select("src", "dst", "weight")
+@graph_query
+def core_subgraph(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.core_subgraph(_ge(spark, d, facts)).select("src", "dst", "weight")
 
 
-@query
-def modularity_of_channels(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _items(spark, d)
+@graph_query
+def modularity_of_channels(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    nodes, edges = _items(spark, d, facts)
     c = tables.catalog(spark, d).select(graph.item_node("item_id").alias("node_id"), F.col("channel_id").alias("community"))
     return graph.modularity(edges, nodes.join(c, "node_id"))
 
 
-@query
-def bridge_authors(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bridge_authors(_ge(spark, d), tables.catalog(spark, d)).drop("n_communities")
+@graph_query
+def bridge_authors(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return graph.bridge_authors(_ge(spark, d, facts), tables.catalog(spark, d)).drop("n_communities")
 
 
-@query
-def articulation_removal(spark: SparkSession, d: str) -> DataFrame:
-    return paths.articulation_removal(*_whole(spark, d))
+@graph_query
+def articulation_removal(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return paths.articulation_removal(*_whole(spark, d, facts))
 
 
-@query
-def graph_bridges(spark: SparkSession, d: str) -> DataFrame:
-    return paths.bridges(*_whole(spark, d))
+@graph_query
+def graph_bridges(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return paths.bridges(*_whole(spark, d, facts))
 
 
-@query
-def cohesion(spark: SparkSession, d: str) -> DataFrame:
-    return paths.cohesion(*_items(spark, d))
+@graph_query
+def cohesion(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return paths.cohesion(*_items(spark, d, facts))
 
 
-@query
-def path_centralities(spark: SparkSession, d: str) -> DataFrame:
-    out = paths.path_measures(*_items(spark, d))
+@graph_query
+def path_centralities(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    out = paths.path_measures(*_items(spark, d, facts))
     return paths.ranked(out, ["betweenness", "closeness"])
 
 
-@query
-def giant_paths(spark: SparkSession, d: str) -> DataFrame:
-    return paths.giant_paths(*_items(spark, d))
+@graph_query
+def giant_paths(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return paths.giant_paths(*_items(spark, d, facts))
 
 
-@query
-def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return centrality.pagerank(*_items(spark, d))
+@graph_query
+def pagerank(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return centrality.pagerank(*_items(spark, d, facts))
 
 
-@query
-def k_core(spark: SparkSession, d: str) -> DataFrame:
-    return centrality.k_core(*_items(spark, d))
+@graph_query
+def k_core(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return centrality.k_core(*_items(spark, d, facts))
 
 
-@query
-def eigenvector(spark: SparkSession, d: str) -> DataFrame:
-    return centrality.eigenvector(*_items(spark, d))
+@graph_query
+def eigenvector(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return centrality.eigenvector(*_items(spark, d, facts))
 
 
-@query
-def louvain_communities(spark: SparkSession, d: str) -> DataFrame:
-    return community.detect(*_items(spark, d))
+@graph_query
+def louvain_communities(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    return community.detect(*_items(spark, d, facts))
 
 
-@query
-def community_controls(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _items(spark, d)
+@graph_query
+def community_controls(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    nodes, edges = _items(spark, d, facts)
     out = None
     for method in ("louvain", "greedy", "propagation"):
         one = graph.modularity(edges, community.detect(nodes, edges, method)).withColumn("method", F.lit(method))
@@ -494,12 +502,12 @@ def community_controls(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query
-def community_profile(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _items(spark, d)
+@graph_query
+def community_profile(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
+    nodes, edges = _items(spark, d, facts)
     c = tables.catalog(spark, d)
     by_category = nodes.join(c.select(graph.item_node("item_id").alias("node_id"), F.col("category").alias("community")), "node_id")
-    return graph.community_profile(_ge(spark, d), edges, by_category, c)
+    return graph.community_profile(_ge(spark, d, facts), edges, by_category, c)
 
 
 # Scores.

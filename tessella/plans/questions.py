@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from tessella.operators.concentration import concentration
 from tessella.operators.scoring import score_texts
 from tessella.sources import tables
 
+Source = Callable[[SparkSession, str], DataFrame]
+
 
 def _beside(*rows: DataFrame) -> DataFrame:
     """Single rows side by side."""
@@ -30,9 +33,9 @@ def m1_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.top_k(channels, 5, F.desc("n_rows"), F.col("channel_id")).select("channel_id", "n_rows", "n_items", "n_authors", "pct").crossJoin(F.broadcast(whole))
 
 
-def m2_shared_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
+def m2_shared_audience(spark: SparkSession, sf_dir: str, source: Source = tables.graph_facts) -> DataFrame:
     """How much audience items share: authors of several items and channels, and projected density."""
-    facts, catalog = tables.graph_facts(spark, sf_dir), tables.catalog(spark, sf_dir)
+    facts, catalog = source(spark, sf_dir), tables.catalog(spark, sf_dir)
     authors = relational.by_author(facts, catalog).agg(
         F.count("*").alias("n_authors"), F.count(F.when(F.col("n_items") > 1, 1)).alias("multi_item"), F.count(F.when(F.col("n_channels") > 1, 1)).alias("multi_channel")
     )
@@ -43,9 +46,9 @@ def m2_shared_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beside(authors, items, pairs).withColumn("density", density)
 
 
-def m3_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def m3_bridges(spark: SparkSession, sf_dir: str, source: Source = tables.graph_facts) -> DataFrame:
     """Authors without whom the item network falls apart further."""
-    edges = graph.bipartite_edges(tables.graph_facts(spark, sf_dir))
+    edges = graph.bipartite_edges(source(spark, sf_dir))
     found = graph.bridge_authors(edges, tables.catalog(spark, sf_dir)).where("is_bridge")
     return found.select("author", "n_items", "n_channels", "delta_components", "lost_edges")
 
@@ -75,9 +78,9 @@ def m6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beside(cover, top)
 
 
-def a1_recurrent_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a1_recurrent_authors(spark: SparkSession, sf_dir: str, source: Source = tables.graph_facts) -> DataFrame:
     """Do authors who come back cross channels."""
-    facts, catalog = tables.graph_facts(spark, sf_dir), tables.catalog(spark, sf_dir)
+    facts, catalog = source(spark, sf_dir), tables.catalog(spark, sf_dir)
     back = relational.by_author(facts, catalog).where("n_rows > 1")
     return back.agg(
         F.count("*").alias("recurrent"), F.count(F.when(F.col("n_items") > 1, 1)).alias("several_items"), F.count(F.when(F.col("n_channels") > 1, 1)).alias("several_channels"),
@@ -105,9 +108,9 @@ def a4_tone_and_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beside(stats.kruskal(scored, "len", "predicted").drop("p"), medians.select(*(F.col(x).alias(f"median_{x}") for x in ("NEG", "NEU", "POS"))))
 
 
-def a5_visibility_and_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a5_visibility_and_position(spark: SparkSession, sf_dir: str, source: Source = tables.graph_facts) -> DataFrame:
     """Does visibility predict an item's place in the network: two rank correlations."""
-    facts, catalog = tables.graph_facts(spark, sf_dir), tables.catalog(spark, sf_dir)
+    facts, catalog = source(spark, sf_dir), tables.catalog(spark, sf_dir)
     edges = graph.bipartite_edges(facts)
     nodes = edges.select(F.col("dst").alias("node_id"), "item_id").distinct()
     pos = graph.degrees(nodes, graph.projection(edges, "dst", "src")).join(nodes, "node_id").join(catalog.select("item_id", "views"), "item_id")
@@ -118,3 +121,5 @@ QUESTIONS = {
     "q_m1": m1_concentration, "q_m2": m2_shared_audience, "q_m3": m3_bridges, "q_m4": m4_tone_by_language, "q_m5": m5_visibility, "q_m6": m6_coverage,
     "q_a1": a1_recurrent_authors, "q_a2": a2_likes_and_diversity, "q_a3": a3_source_and_channel, "q_a4": a4_tone_and_length, "q_a5": a5_visibility_and_position,
 }
+#: Those on the graph, over all rows instead of the subset that their SQL names.
+QUESTIONS |= {f"{k}_all_rows": partial(QUESTIONS[k], source=tables.participation) for k in ("q_m2", "q_m3", "q_a1", "q_a5")}

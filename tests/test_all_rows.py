@@ -1,0 +1,26 @@
+"""Graph queries over all rows against the subset's SQL without its filter."""
+
+import pytest
+
+from tessella import catalogue
+from tests.test_queries import SF, con, table  # noqa: F401
+
+FILTER = "source = 'purchase' AND value > 100 AND "
+NAMES = sorted(k for k in catalogue.ORACLE if f"{k}_all_rows" in catalogue.QUERIES)
+
+
+def test_every_graph_query_has_one_over_all_rows():
+    assert {k for k, v in catalogue.ORACLE.items() if FILTER in v} <= set(NAMES)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_all_rows(spark, con, name):  # noqa: F811
+    df = catalogue.QUERIES[f"{name}_all_rows"](spark, SF)
+    want = con.sql(catalogue.ORACLE[name].replace(FILTER, ""))
+    assert table(df.columns, [tuple(r) for r in df.collect()]) == table(want.columns, want.fetchall())
+
+
+def test_edges_hold_every_known_row(spark, con):  # noqa: F811
+    known = con.sql("select count(*) from events where user_id is not null and json_extract_string(props, '$.k') is not null").fetchall()[0][0]
+    rows = catalogue.QUERIES["bipartite_edges_all_rows"](spark, SF).collect()
+    assert sum(r["weight"] for r in rows) == known > sum(r["weight"] for r in catalogue.QUERIES["bipartite_edges"](spark, SF).collect())
