@@ -120,6 +120,21 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
+def mixture(counted: float, share: float, lattice_log10: float | None) -> float:
+    """Log10 of ``counted + share * 10 ** lattice_log10``, in log space, so no word is too long.
+
+    The end token has no lattice (None) and uses its count alone; if that is 0, as without training
+    rows, it gets ``share``, all the mass of what was not seen.
+    """
+    if lattice_log10 is None:
+        return log(counted or share) / LN10
+    unseen = log(share) + lattice_log10 * LN10
+    if counted <= 0:
+        return unseen / LN10
+    seen = log(counted)
+    return (max(seen, unseen) + log1p(exp(-abs(seen - unseen)))) / LN10
+
+
 def _count_words(data: bytes) -> dict[bytes, int]:
     counts: dict[bytes, int] = {}
     for w in data.lower().split():  # bytes: A-Z alone are lowered, and these six characters split
@@ -162,10 +177,9 @@ def score_texts(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFra
     once = words.where("c = 1").count()
     share = min(max(once / max(total, 1), 0.001), 0.5)
 
-    def logs(c: float, lattice_log10: float) -> tuple[float, float]:
+    def logs(c: float, lattice_log10: float | None) -> tuple[float, float]:
         base = log((c + 1) / (total + distinct + 1)) / LN10
-        mixed = (1 - share) * c / max(total, 1) + share * 10.0 ** max(lattice_log10, -300)
-        return base, log(mixed) / LN10 if mixed > 0 else log(share) / LN10 + lattice_log10
+        return base, mixture((1 - share) * c / max(total, 1), share, lattice_log10)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(path).learned(learned)
@@ -180,7 +194,7 @@ def score_texts(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFra
     weighed = written(words.mapInArrow(weigh, "word binary, c long, n long, base double, model double"), "words")
     top = weighed.orderBy(F.desc("n"), "word").limit(frequent).collect()
     known = {bytes(r["word"]): (r["base"], r["model"], int(r["c"] > 0)) for r in top}
-    end_base, end_model = logs(ends, -300.0)
+    end_base, end_model = logs(ends, None)
     shared = docs.sparkSession.sparkContext.broadcast((known, (end_base, end_model, int(ends > 0))))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

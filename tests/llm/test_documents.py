@@ -149,6 +149,29 @@ def test_lattice_sums_all_segmentations():
         assert sum(len(k) * v for k, v in uses.items()) == pytest.approx(len(word) + 1, abs=1e-3)
 
 
+def test_long_unseen_word_has_no_floor(docs_of):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    learned = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2)
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(learned, "the cat the end cat once")]
+    word = "é日q7/" * 2000
+    got = {r["doc_id"]: r["score"] for r in lattice.score_texts(docs_of([*rows, (held, word)]), path).collect()}
+    uses = {}
+    for w in ("the", "cat", "end", "once"):
+        lattice.lattice(path).expect(w, uses)
+    own = lattice.lattice(path).learned({k: round(v, 3) for k, v in uses.items()})
+    share = 2 / 7  # 'end' and 'once', of six words and the end token
+    want = log10(share) + own.word(word) + log10((1 - share) / 7)
+    assert got[held] == pytest.approx(want, abs=1e-6 * abs(want)) and got[held] < -5000
+
+
+def test_mixture_of_count_and_lattice():
+    assert lattice.mixture(0.25, 0.5, -1.0) == pytest.approx(log10(0.25 + 0.05))
+    assert lattice.mixture(0.25, 0.5, -9000.0) == pytest.approx(log10(0.25))
+    assert lattice.mixture(0.0, 0.5, -9000.0) == pytest.approx(log10(0.5) - 9000)
+    assert lattice.mixture(0.25, 0.5, None) == pytest.approx(log10(0.25))
+
+
 def brute_hits(text, items):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     words, hit, found = find(text), set(), set()
