@@ -65,7 +65,8 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
         ("apache", r"apache(?: software)? license", "apache", ["1 0", "1 1", "2 0"]),
         ("mozilla", r"mozilla public license", "mpl", ["1 0", "1 1", "2 0"]),
         ("eclipse", r"eclipse public license", "epl", ["1 0", "2 0"]),
-        ("cddl", r"(?:common development and distribution license|cddl)", "cddl", ["1 0", "1 1"]),
+        ("common development", r"common development and distribution license", "cddl", ["1 0", "1 1"]),
+        ("cddl", r"cddl", "cddl", ["1 0", "1 1"]),
         ("artistic", r"artistic license", "artistic", ["1 0", "2 0"]),
         ("academic", r"academic free license", "afl", ["1 1", "2 0", "2 1", "3 0"]),
         ("european", r"european union public licen[cs]e", "eupl", ["1 0", "1 1", "1 2"]),

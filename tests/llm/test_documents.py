@@ -231,6 +231,39 @@ def test_license_scan(docs_of, odd, none):
     assert len(licenses.rules()) > 200
 
 
+def written_out(parsed):
+    """The shortest texts of an expression, one for each choice of alternatives and optional parts."""
+    texts = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                more = [chr(arg)]
+            case "BRANCH":
+                more = [t for x in arg[1] for t in written_out(x)]
+            case "SUBPATTERN":
+                more = written_out(arg[-1])
+            case "MAX_REPEAT":
+                once = written_out(arg[2])
+                more = ([""] if arg[0] == 0 else []) + once
+            case "IN":
+                more = [chr(x) for kind, x in arg if str(kind) == "LITERAL"] or ["x"]
+        texts = [a + b for a in texts for b in more]
+    return texts
+
+
+def test_license_keyword_in_every_alternative():
+    for _, keyword, expression, *_ in licenses.rules():
+        for text in written_out(re._parser.parse(expression)):
+            assert re.fullmatch(expression, text) and keyword in text, (keyword, text)
+
+
+def test_license_full_name_without_short(docs_of):
+    name = "Common Development and Distribution License"
+    texts = {1: f"Under the {name} 1.0", 2: f"licensed under {name}, version 1.1.", 3: f"the {name}", 4: "CDDL 1.1", 5: f"{name} (CDDL) 1.0"}
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs_of(texts.items())).collect()}
+    assert got == {1: "cddl-1.0", 2: "cddl-1.1", 3: "cddl", 4: "cddl-1.1", 5: "cddl,cddl-1.0"}
+
+
 def test_quality(spark, docs_of, odd, none):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randrange(5, 80)) if i % 3 else " ".join(w + "###" for w in prose(rng, 30).split())) for i in range(500)]
