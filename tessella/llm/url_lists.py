@@ -32,15 +32,30 @@ def keys_of(host: Column, segment: Column) -> Column:
     return F.when(host != "", F.array_distinct(F.concat(own, parents))).otherwise(F.array().cast("array<string>"))
 
 
+def path_prefixes(url: Column) -> Column:
+    """The path up to each of its segments, case and file names kept, without query and fragment."""
+    path = F.regexp_extract(F.trim(F.coalesce(url, F.lit(""))), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)", 1)
+    parts = F.split(path, "/")
+    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return F.filter(upto, lambda p: (p != "") & ~p.endswith("/"))
+
+
+def covering(host: Column, url: Column) -> Column:
+    """All entries that could cover a URL: those of :func:`keys_of`, and the host with every path prefix."""
+    keys = keys_of(host, first_segment(url))
+    return F.when(host != "", F.array_union(keys, F.transform(path_prefixes(url), lambda p: F.concat_ws("/", host, p)))).otherwise(keys)
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """``(entry, list, since, until)`` from dated events ``(entry, list, day, action)``.
 
     An ``add`` holds from its day until the next event of the same entry and list (exclusive; null:
-    for good). On one day a ``remove`` comes after an ``add``, so it wins. Events that lack an
+    for good). Hosts are lowered, paths keep their case. On one day a ``remove`` comes after an ``add``, so it wins. Events that lack an
     entry, a day or a known action are ignored; repeated events change nothing.
     """
+    host = F.substring_index("entry", "/", 1)
     known = entries.where("entry is not null and day is not null and action in ('add', 'remove')").select(
-        F.lower("entry").alias("entry"), F.coalesce("list", F.lit("")).alias("list"), F.col("day").cast("date").alias("day"), "action"
+        F.concat(F.lower(host), F.expr("substring(entry, length(substring_index(entry, '/', 1)) + 1)")).alias("entry"), F.coalesce("list", F.lit("")).alias("list"), F.col("day").cast("date").alias("day"), "action"
     )
     daily = known.groupBy("entry", "list", "day").agg(F.max("action").alias("action"))  # 'remove' > 'add'
     after = F.lead("day").over(Window.partitionBy("entry", "list").orderBy("day"))
@@ -63,9 +78,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"),
         F.col("day").cast("date").alias("day"),
         host_of(F.col("url")).alias("host"),
-        first_segment(F.col("url")).alias("segment"),
+        F.col("url").cast("string").alias("url"),
     )
-    keys = rows.select("uid", "page_id", "day", "host", F.explode_outer(keys_of(F.col("host"), F.col("segment"))).alias("entry"))
+    keys = rows.select("uid", "page_id", "day", "host", F.explode_outer(covering(F.col("host"), F.col("url"))).alias("entry"))
     spans = validity(entries)
     active = (keys["entry"] == spans["entry"]) & (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
     met = keys.join(spans, active, "left").select("uid", "page_id", "day", "host", spans["entry"].alias("entry"), "list", "since")

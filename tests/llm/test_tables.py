@@ -60,6 +60,27 @@ def test_url_lists(spark):
     assert url_lists.filter_urls(pages.limit(0), events).count() == 0 and url_lists.filter_urls(pages, events.limit(0)).where("listed").count() == 0
 
 
+def test_url_paths_against_brute_force(spark):
+    rng = random.Random(4)
+    some = lambda: "/".join(rng.choice(["Ads", "ads", "a", "B", "x.html", "x", ""]) for _ in range(rng.randrange(5)))
+    hosts = ["Ex.org", "ex.org", "sub.ex.org"]
+    urls = [(i, f"https://{rng.choice(hosts)}/{some()}{rng.choice(['', '?q/z', '#f/z'])}", "2024-02-01") for i in range(150)]
+    urls += [(900, "http://ex.org", "2024-02-01"), (901, "  http://Ex.org/Ads/x.html  ", "2024-02-01")]
+    entries = sorted({f"{rng.choice(hosts)}/{some()}".rstrip("/") for _ in range(60)} | {"Ex.org/Ads", "ex.org/Ads/x.html"})
+    pages = spark.createDataFrame(urls, "page_id long, url string, day string")
+    events = spark.createDataFrame([(e, "a", "2024-01-01", "add") for e in entries], "entry string, list string, day string, action string")
+    active = {e.split("/", 1)[0].lower() + e[len(e.split("/", 1)[0]) :] for e in entries}
+    got = {r["page_id"]: r for r in url_lists.filter_urls(pages, events).collect()}
+    for i, url, _ in urls:
+        host, _, path = url.strip().split("://")[1].split("?")[0].split("#")[0].partition("/")
+        host, parts = host.lower(), path.split("/")
+        keys = {host, "ex.org"} | {f"{host}/{'/'.join(parts[:k])}" for k in range(1, len(parts) + 1) if parts[k - 1]}
+        keys |= {f"{host}/{parts[0].split('.')[0]}"} if parts[0] else set()
+        met = sorted(keys & active, key=lambda e: (-len(e), e))
+        assert (got[i]["n_active"], got[i]["entry"]) == (len(met), met[0] if met else None), url
+    assert got[901]["entry"] == "ex.org/Ads/x.html"
+
+
 def test_preferences(spark):
     rng = random.Random(3)
     turns, convs = [], {}
