@@ -33,6 +33,13 @@ def graph_query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return f
 
 
+def score_query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Register a query of text scores up to the hits that its SQL counts and, as ``*_all_hits``, with all."""
+    QUERIES[f.__name__] = f
+    QUERIES[f"{f.__name__}_all_hits"] = partial(f, most=None)
+    return f
+
+
 def _fc(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tables.participation(spark, d), tables.catalog(spark, d)
 
@@ -513,28 +520,28 @@ def community_profile(spark: SparkSession, d: str, facts: Query = tables.graph_f
 # Scores.
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.score_texts(tables.documents(spark, d), "text")
+def _scored(spark: SparkSession, d: str, most: int | None = scoring.SQL_HITS) -> DataFrame:
+    return scoring.score_texts(tables.documents(spark, d), "text", most)
 
 
-@query
-def score_texts(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("doc_id", "prob_NEG", "prob_NEU", "prob_POS", "predicted", "confidence", "margin", "entropy", "low_confidence")
+@score_query
+def score_texts(spark: SparkSession, d: str, most: int | None = scoring.SQL_HITS) -> DataFrame:
+    return _scored(spark, d, most).select("doc_id", "prob_NEG", "prob_NEU", "prob_POS", "predicted", "confidence", "margin", "entropy", "low_confidence")
 
 
-@query
-def label_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.label_distribution(_scored(spark, d))
+@score_query
+def label_distribution(spark: SparkSession, d: str, most: int | None = scoring.SQL_HITS) -> DataFrame:
+    return scoring.label_distribution(_scored(spark, d, most))
 
 
-@query
-def group_comparison_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
-    return relational.group_comparison(_scored(spark, d), {"lang": "lang", "source": "source"}, "predicted", scoring.LABELS, "confidence")
+@score_query
+def group_comparison_grouping_sets(spark: SparkSession, d: str, most: int | None = scoring.SQL_HITS) -> DataFrame:
+    return relational.group_comparison(_scored(spark, d, most), {"lang": "lang", "source": "source"}, "predicted", scoring.LABELS, "confidence")
 
 
-@query
-def representative_examples(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.representative_examples(_scored(spark, d), "doc_id")
+@score_query
+def representative_examples(spark: SparkSession, d: str, most: int | None = scoring.SQL_HITS) -> DataFrame:
+    return scoring.representative_examples(_scored(spark, d, most), "doc_id")
 
 
 QUERIES |= QUESTIONS

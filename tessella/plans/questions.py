@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessella.functions.text import tokens
 from tessella.operators import graph, relational, stats
 from tessella.operators.concentration import concentration
-from tessella.operators.scoring import score_texts
+from tessella.operators.scoring import SQL_HITS, score_texts
 from tessella.sources import tables
 
 Source = Callable[[SparkSession, str], DataFrame]
@@ -53,9 +53,9 @@ def m3_bridges(spark: SparkSession, sf_dir: str, source: Source = tables.graph_f
     return found.select("author", "n_items", "n_channels", "delta_components", "lost_edges")
 
 
-def m4_tone_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+def m4_tone_by_language(spark: SparkSession, sf_dir: str, most: int | None = SQL_HITS) -> DataFrame:
     """Tone of the corpus by group."""
-    scored = score_texts(tables.documents(spark, sf_dir), "text")
+    scored = score_texts(tables.documents(spark, sf_dir), "text", most)
     return relational.group_comparison(scored, {"lang": "lang"}, "predicted", ["NEG", "NEU", "POS"], "confidence")
 
 
@@ -101,9 +101,9 @@ def a3_source_and_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.agreement(facts.join(catalog.select("item_id", "channel_id"), "item_id"), "source", "channel_id")
 
 
-def a4_tone_and_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a4_tone_and_length(spark: SparkSession, sf_dir: str, most: int | None = SQL_HITS) -> DataFrame:
     """Tone against length: Kruskal-Wallis over the classes, and median lengths."""
-    scored = score_texts(tables.documents(spark, sf_dir), "text").withColumn("len", F.size(tokens(F.col("text"))))
+    scored = score_texts(tables.documents(spark, sf_dir), "text", most).withColumn("len", F.size(tokens(F.col("text"))))
     medians = scored.groupBy().pivot("predicted", ["NEG", "NEU", "POS"]).agg(F.median("len"))
     return _beside(stats.kruskal(scored, "len", "predicted").drop("p"), medians.select(*(F.col(x).alias(f"median_{x}") for x in ("NEG", "NEU", "POS"))))
 
@@ -123,3 +123,5 @@ QUESTIONS = {
 }
 #: Those on the graph, over all rows instead of the subset that their SQL names.
 QUESTIONS |= {f"{k}_all_rows": partial(QUESTIONS[k], source=tables.participation) for k in ("q_m2", "q_m3", "q_a1", "q_a5")}
+#: Those on text scores, with all hits instead of as many as their SQL counts.
+QUESTIONS |= {f"{k}_all_hits": partial(QUESTIONS[k], most=None) for k in ("q_m4", "q_a4")}

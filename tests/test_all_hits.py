@@ -1,0 +1,32 @@
+"""Text scores count every lexicon hit; those over all hits equal the SQL without its bound."""
+
+import re
+
+import pytest
+
+from tessella import catalogue
+from tessella.operators.scoring import score_texts
+from tests.test_queries import SF, con, table  # noqa: F401
+
+NAMES = sorted(k for k in catalogue.ORACLE if f"{k}_all_hits" in catalogue.QUERIES)
+
+
+def unbounded(sql):
+    """The SQL with all hits."""
+    return re.sub(r"least\((len\(list_filter\(w, lambda x: x IN \([^)]*\)\)\)), 6\)", r"\1", sql)
+
+
+def test_long_texts_keep_their_majority(spark):
+    rows = [(1, "bad " * 6 + "good " * 40), (2, "bad " * 40 + "good " * 41), (3, "bad " * 5000), (4, "bad good"), (5, None)]
+    got = {r["i"]: r for r in score_texts(spark.createDataFrame(rows, "i int, text string"), "text").collect()}
+    assert [got[i]["predicted"] for i in range(1, 6)] == ["POS", "POS", "NEG", "NEG", "NEU"]
+    assert got[3]["prob_NEG"] == 1 and got[4]["prob_NEG"] == got[4]["prob_POS"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_all_hits(spark, con, name):  # noqa: F811
+    sql = catalogue.ORACLE[name]
+    assert unbounded(sql) != sql
+    df, want = catalogue.QUERIES[f"{name}_all_hits"](spark, SF), con.sql(unbounded(sql))
+    zeros = lambda rows: [tuple(0.0 if x == 0 and isinstance(x, float) else x for x in r) for r in rows]  # noqa: E731  # an entropy of -0.0 is 0.0
+    assert table(df.columns, zeros(df.collect())) == table(want.columns, zeros(want.fetchall()))
