@@ -32,8 +32,8 @@ class Lattice:
     """Log10 probabilities of a vocabulary's pieces, and the forward recursion over a word.
 
     BPE vocabularies store minus the merge rank as score; ranks fall off as word frequencies do,
-    so a piece of rank r has a mass of 1 / (r + 10), normalised. Characters outside the
-    vocabulary cost one byte piece for each of their bytes.
+    so a piece of rank r has a mass of 1 / (r + 10), normalised. Every
+    character, piece or not, can also be spelled by one byte piece for each of its bytes.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,14 +63,13 @@ class Lattice:
         ways: list[list[tuple[int, float]]] = [[]]
         forward = [0.0] * (n + 1)
         for end in range(1, n + 1):
-            here = []
+            # The first way of a character is by its bytes, whether it is a piece or not.
+            last = text[end - 1]
+            here = [(end - 1, self.byte if last < "\x80" else self.byte * len(last.encode("utf-8", "surrogatepass")))]
             for start in range(end - longest if end > longest else 0, end):
                 p = get(text[start:end])
                 if p is not None:
                     here.append((start, p))
-            # A character that is no piece has its bytes instead.
-            if not here or here[-1][0] != end - 1:
-                here.append((end - 1, self.byte * len(text[end - 1].encode("utf-8", "surrogatepass"))))
             if len(here) == 1:
                 start, p = here[0]
                 forward[end] = forward[start] + p
@@ -94,10 +93,10 @@ class Lattice:
         whole = forward[n]
         for end in range(n, 0, -1):
             after = backward[end]
-            for start, p in ways[end]:
+            for k, (start, p) in enumerate(ways[end]):
                 x, y = p + after, backward[start]
                 backward[start] = x if y < -1e299 else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
-                share = exp(forward[start] + x - whole)
+                share = exp(forward[start] + x - whole) if k else 0.0  # bytes are no use of the piece
                 if share > 1e-6:
                     piece = text[start:end]
                     into[piece] = into.get(piece, 0.0) + share

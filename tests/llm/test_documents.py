@@ -149,6 +149,19 @@ def test_lattice_sums_all_segmentations():
         assert sum(len(k) * v for k, v in uses.items()) == pytest.approx(len(word) + 1, abs=1e-3)
 
 
+def test_lattice_has_bytes_beside_pieces():
+    own = lattice.lattice(public_tokenizers.path("piece_bpe_32k.model"))
+
+    def ways(text):
+        if not text:
+            return 1.0
+        total = np.exp(own.byte * len(text[0].encode())) * ways(text[1:])
+        return total + sum(np.exp(own.logs[text[:k]]) * ways(text[k:]) for k in range(1, len(text) + 1) if text[:k] in own.logs)
+
+    for word in ("z", "zqj", "é~", "the"):
+        assert own.word(word) == pytest.approx(log10(ways("▁" + word)), rel=1e-12)
+
+
 def test_long_unseen_word_has_no_floor(docs_of):
     path = public_tokenizers.path("piece_bpe_32k.model")
     learned = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2)
