@@ -27,8 +27,8 @@ WORD = f"[^{_BREAKS}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Broadcast the benchmark's side up to so many windows (some 200 bytes each); beyond, shuffle.
 BROADCAST_WINDOWS = 200_000
-#: Broadcast candidate texts' digests and their hits up to so many texts; beyond, shuffle.
-BROADCAST_TEXTS = 20_000
+#: Broadcast texts' candidate places and hits up to so many places (some 100 bytes each); beyond, shuffle.
+BROADCAST_PLACES = 200_000
 #: Rows of documents pass the join with the benchmark's shingles under so many keys of their own.
 SALTS = 1024
 
@@ -85,7 +85,7 @@ def _spots(rows: DataFrame, keys: DataFrame, widths: list[int], small) -> DataFr
     return spots.join(small(passes), "key", "left_semi").select("doc_id", "n_words", "text_id", "p", "key")
 
 
-def _hits(docs: DataFrame, items: DataFrame, window: int, shingle: int, broadcast_windows: int, broadcast_texts: int) -> tuple[DataFrame, DataFrame]:
+def _hits(docs: DataFrame, items: DataFrame, window: int, shingle: int, broadcast_windows: int, broadcast_places: int) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, n_words, text_id)`` of every row, and ``(text_id, n_hit, items)`` of texts with hits."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     windows = item_windows(items, window, shingle).groupBy("win", "k").agg(F.collect_set("item_id").alias("items"))
@@ -108,11 +108,13 @@ def _hits(docs: DataFrame, items: DataFrame, window: int, shingle: int, broadcas
     start = F.col("p") - F.col("o")
     tried = spots.join(small(prefix), "key").where(start >= 0).groupBy("text_id").agg(F.collect_set(F.struct(start.alias("s"), "n", "joined")).alias("c"))
     tried = written(tried, "candidates")
-    close = F.broadcast if tried.count() <= broadcast_texts else (lambda df: df)
+    places = tried.agg(F.sum(F.size("c")).alias("n")).first()["n"] or 0
+    close = F.broadcast if places <= broadcast_places else (lambda df: df)
     # Of equal texts, that of the smallest id is compared.
     one = heads.join(close(tried), "text_id").groupBy("text_id").agg(F.min("doc_id").alias("one"), F.first("c").alias("c"))
     texts = rows.withColumn("own_id", _digest(F.col("text"))).join(close(one), F.col("own_id").eqNullSafe(F.col("text_id")) & F.col("doc_id").eqNullSafe(F.col("one")))
-    compared = texts.select("text_id", words_of(lower_ascii(F.col("text"))).alias("w"), F.explode("c").alias("c"))
+    # Words first, then candidates: in one select the words would be taken anew for every candidate.
+    compared = texts.select("text_id", words_of(lower_ascii(F.col("text"))).alias("w"), "c").select("text_id", "w", F.explode("c").alias("c"))
     end = F.col("c.s") + F.col("c.n")
     same = F.array_join(F.slice("w", F.col("c.s") + 1, F.col("c.n")), " ") == F.col("c.joined")
     hits = compared.where(F.when(end <= F.size("w"), same).otherwise(False)).select("text_id", F.col("c.s").alias("s"), end.alias("e"), F.col("c.joined").alias("joined"))
@@ -123,7 +125,7 @@ def _hits(docs: DataFrame, items: DataFrame, window: int, shingle: int, broadcas
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_texts: int = BROADCAST_TEXTS
+    docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_places: int = BROADCAST_PLACES
 ) -> DataFrame:
     """Find benchmark windows inside documents.
 
@@ -134,7 +136,7 @@ def contaminated(
     id hit, but are not counted; repeated items count by their id. Every row is judged by its own
     text, whether its ``doc_id`` is null or repeated. Empty tables give no hits.
     """
-    heads, hits = _hits(docs, items, window, shingle, broadcast_windows, broadcast_texts)
+    heads, hits = _hits(docs, items, window, shingle, broadcast_windows, broadcast_places)
     none = F.array().cast("array<string>")
     return heads.join(hits, "text_id", "left").select(
         "doc_id",
@@ -158,5 +160,5 @@ def _covered(spans: str) -> Column:
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any hit, with all their columns; null and repeated ids are kept apart."""
-    _, hits = _hits(docs, items, window, 3, BROADCAST_WINDOWS, BROADCAST_TEXTS)
+    _, hits = _hits(docs, items, window, 3, BROADCAST_WINDOWS, BROADCAST_PLACES)
     return docs.join(hits.select(F.col("text_id").alias("__hit")), _digest(docs["text"]) == F.col("__hit"), "left_anti")
