@@ -15,31 +15,43 @@ Parquet writer: a lost executor's task is written again, and only committed file
 
 from __future__ import annotations
 
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from struct import pack
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a worker remembers, about 200 bytes each.
-REMEMBERED = 500_000
+#: Chunks (twice as many at most) and pre-tokens whose ids a worker remembers, and the longest of them in characters.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 40
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1000
+#: Rows that are encoded at a time.
+BLOCK = 1536
 #: The byte-level format's own pre-token pattern (fixed value).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Stands for the ids of a chunk that no cut is allowed before; ids have four bytes each.
+NO_CUT = b"-"
+#: Where a text is cut besides spaces, and the mark of such a cut after the space that is put there.
+LETTER_STOP, JOINT = "([A-Za-zÀ-ÖØ-öø-ɏ])([,.])", "\x1f"
+LAYOUT = [f"<{n}I" for n in range(40)]
 ROWS = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
 class TextEncoder:
-    """Encodes with the tokenizers library; each distinct pre-token is encoded once and remembered.
-
-    Pre-tokens of a byte-level tokenizer don't influence each other, so a text's ids are those of
-    its pre-tokens in order. A text with an added token's string goes to the library as a whole.
+    """Encodes with the tokenizers library; each distinct piece of text is encoded once and remembered.
+
+    Pre-tokens of a byte-level tokenizer don't influence each other, and none reaches over a space
+    that is followed by other than white space, as such a space starts a pre-token. Arrow cuts all
+    texts at such spaces, and between a Latin letter and a comma or full stop, where no pre-token
+    reaches over either, and numbers the distinct chunks; only chunks not seen before meet the
+    pre-token pattern and the library's model. Texts in which white space follows a space, or that
+    hold an added token's string or the mark of a cut, are encoded by themselves.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,52 +61,141 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(PRE_TOKENS)
-        self.known: dict[str, bytes] = {}
-        self.line = self.library.encode("\n", add_special_tokens=False).ids
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        #: Ids by chunk: as the first of a text, and after a space.
+        #: The dictionary that grows, and the full one before it.
+        self.chunks: list[tuple[dict[str, bytes], dict[str, bytes]]] = [({}, {}), ({}, {})]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, without end ids.
+    def encode(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one row of unsigned 32-bit integers, and where each text begins.
 
-        What the texts have in new pre-tokens goes to the library as one text of lines.
+        ``end``, ids in bytes, follows every text.
         """
-        known = self.known
+        pa_texts = pa.array(texts, pa.large_string())
+        parts = pc.split_pattern(pc.replace_substring_regex(pa_texts, LETTER_STOP, rf"\1 {JOINT}\2"), " ")
+        edges = parts.offsets.to_numpy()
+        first = np.zeros(int(edges[-1]), dtype=bool)
+        first[edges[:-1]] = True
+        at = np.empty(first.size, dtype=np.int32)
+        found: list[bytes] = []
+        for spaced, mask in ((0, first), (1, ~first)):
+            coded = parts.values.filter(pa.array(mask)).dictionary_encode()
+            at[mask] = coded.indices.to_numpy() + len(found)
+            found += self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), spaced)
+        # Texts that can't be cut at every space have one piece: all their ids.
+        odd = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) == len(NO_CUT)
+        alone = np.logical_or.reduceat(odd[at], edges[:-1]) if texts else np.zeros(0, dtype=bool)
+        for a in (JOINT, *self.added):
+            alone |= pc.match_substring(pa_texts, a).to_numpy(zero_copy_only=False)
+        n_parts = np.where(alone, 1, np.diff(edges)) + 1
+        begins = np.concatenate(([0], np.cumsum(n_parts)))
+        use = np.empty(int(begins[-1]), dtype=np.int32)
+        is_end = np.zeros(use.size, dtype=bool)
+        is_end[begins[1:] - 1] = True
+        is_own = np.zeros(use.size, dtype=bool)
+        is_own[begins[:-1][alone]] = True
+        use[is_end] = len(found)
+        use[is_own] = len(found) + 1 + np.arange(int(alone.sum()))
+        use[~is_end & ~is_own] = at[~np.repeat(alone, np.diff(edges))]
+        found.append(end)
+        found += [self._whole(texts[i]) for i in np.flatnonzero(alone)]
+        return _laid_out([b"" if x == NO_CUT else x for x in found] if odd.any() else found, use, begins)
+
+    def _ids(self, chunks: list[str], spaced: int) -> list[bytes]:
+        """Ids of distinct chunks, each with its space before it if ``spaced``; NO_CUT where none is allowed there."""
+        known, older = self.chunks[spaced]
+        out = list(map(known.get, chunks))
+        words, other, aged = [], [], older.get
+        for i, x in enumerate(out):
+            if x is None:
+                chunk = chunks[i]
+                x = aged(chunk)
+                if x is not None:
+                    out[i] = known[chunk] = x
+                elif spaced and chunk.isalpha():
+                    words.append(i)
+                elif spaced and (not chunk or chunk[0].isspace()) and chunk[:1] != JOINT:
+                    out[i] = NO_CUT
+                else:
+                    other.append(i)
+        fresh = [chunks[i] for i in words]
+        found = self._words(fresh)
+        if found is None:  # the pattern's letters are not those of isalpha()
+            other += words
+        else:
+            known.update(zip(fresh, found, strict=True))
+            for i, x in zip(words, found, strict=True):
+                out[i] = x
+        for i in other:
+            chunk = chunks[i]
+            out[i] = x = self._cut(chunk[1:] if chunk[:1] == JOINT else " " + chunk if spaced else chunk)
+            if len(chunk) <= REMEMBERED_LENGTH:
+                known[chunk] = x
         if len(known) > REMEMBERED:
-            known.clear()
-        whole = [any(a in t for a in self.added) for t in texts]
-        pieces = [[] if w else self.pattern.findall(t) for t, w in zip(texts, whole, strict=True)]
-        new = set(chain.from_iterable(pieces)).difference(known)
-        self._learn([p for p in new if not p.isspace()], [p for p in new if p.isspace()])
-        get = known.__getitem__
-        return [
-            _packed(self.library.encode(t, add_special_tokens=False).ids) if w else b"".join(map(get, p))
-            for t, w, p in zip(texts, whole, pieces, strict=True)
-        ]
-
-    def _learn(self, lines: list[str], spaces: list[str]) -> None:
-        """Encode new pre-tokens; those with other than white space share one call.
-
-        A line break between two of them is a pre-token by itself, and no other has its id, so
-        the ids of the lines are cut there.
-        """
-        if lines:
-            ids = np.array(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else ids
-            if len(cuts) != len(lines) - 1:  # a vocabulary without a break of its own
-                spaces = spaces + lines
-            else:
-                data, at = ids.tobytes(), 0
-                for piece, cut in zip(lines, [*cuts.tolist(), ids.size], strict=True):
-                    self.known[piece] = data[4 * at : 4 * cut]
-                    at = cut + 1
-        for piece, found in zip(spaces, self.library.encode_batch_fast(spaces, add_special_tokens=False), strict=True):
-            self.known[piece] = _packed(found.ids)
-
-
-def _packed(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit integers."""
-    return pack(f"<{len(ids)}I", *ids)
+            self.chunks[spaced] = ({}, known)
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes] | None:
+        """Ids of words, each with a space before it; None if one of them is not a single pre-token."""
+        if not words:
+            return []
+        text = " " + " ".join(words)
+        if len(self.pattern.findall(text)) != len(words):
+            return None
+        tokenize, layout, space = self.model.tokenize, LAYOUT, self.letters[32]
+        out = []
+        for word in charmap_decode(text.encode(), "strict", self.letters)[0].replace(space, "\n" + space).split("\n")[1:]:
+            ids = [t.id for t in tokenize(word)]
+            out.append(pack(layout[len(ids)] if len(ids) < len(layout) else f"<{len(ids)}I", *ids))
+        return out
+
+    def _cut(self, text: str) -> bytes:
+        """Ids of a text by its pre-tokens."""
+        known, out = self.pieces, []
+        for piece in self.pattern.findall(text):
+            x = known.get(piece)
+            if x is None:
+                ids = [t.id for t in self.model.tokenize(charmap_decode(piece.encode(), "strict", self.letters)[0])]
+                x = pack(f"<{len(ids)}I", *ids)
+                if len(known) > REMEMBERED:
+                    known.clear()
+                if len(piece) <= REMEMBERED_LENGTH:
+                    known[piece] = x
+            out.append(x)
+        return b"".join(out)
+
+    def _whole(self, text: str) -> bytes:
+        """Ids of one text: by the library itself where it holds an added token's string."""
+        if any(a in text for a in self.added):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return pack(f"<{len(ids)}I", *ids)
+        return self._cut(text)
+
+
+def _laid_out(found: list[bytes], use: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of ``found[use]`` in a row, and the places of ``begins`` in it."""
+    pool = np.frombuffer(b"".join(found), dtype="<u4")
+    sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4
+    starts = np.cumsum(sizes, dtype=np.int32) - sizes
+    n = sizes[use]
+    ends = np.cumsum(n, dtype=np.int32)
+    places = np.repeat(starts[use] - ends + n, n)
+    places += np.arange(places.size, dtype=np.int32)
+    return pool[places], np.concatenate(([0], ends))[begins].astype(np.int64)
+
+
+def _byte_letters() -> str:
+    """The letters that stand for the 256 bytes in a byte-level vocabulary.
+
+    Printable bytes stand for themselves, the others for the letters from U+0100 on, in order.
+    """
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)).difference(shown))
+    return "".join(chr(0x100 + hidden.index(b)) if b in hidden else chr(b) for b in range(256))
 
 
 @lru_cache(maxsize=2)
@@ -103,31 +204,44 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
+def blocks(texts: pa.Array, rows: int = BLOCK, size: int = 5 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of blocks of up to ``rows`` rows and, past a first row, ``size`` bytes."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)), dtype=np.int64)
+    k = 0
+    while k < len(ends):
+        limit = size + (ends[k - 1] if k else 0)
+        n = max(min(int(np.searchsorted(ends, limit, "right")) - k, rows), 1)
+        yield k, n
+        k += n
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, parts: int | None = None) -> None:
     """Encode ``docs(doc_id, text)`` in ascending ``doc_id`` order and write a token set.
 
     Null and empty texts have the end id alone. Rows that repeat a ``doc_id`` are written one after
-    the other, ordered by their text; null ids come first. ``parts`` bounds the number of files.
+    the other, ordered by a hash of their text, then by it; null ids come first. Other columns are
+    ignored; an empty table gives an empty set. ``parts`` bounds the number of files.
+
+    Files are ranges of id and hash: no text is among the samples that the driver gets, and rows
+    that share an id can be dealt out, unless their texts are the same too.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = rows.repartitionByRange(n, F.asc_nulls_first("doc_id"), F.asc("text"))
-    ranged = ranged.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    ranged = rows.repartitionByRange(n, F.asc_nulls_first("doc_id"), F.asc("tie"))
+    ranged = ranged.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc("tie"), F.asc("text"))
     ranged = ranged.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at, end = encoder(tokenizer), 0, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids = [i + end for i in own.encode(part.column(1).to_pylist())]
-                sizes = np.array([len(i) // 4 for i in ids], dtype=np.int64)
-                before = np.concatenate(([0], np.cumsum(sizes)))
-                flat = np.frombuffer(b"".join(ids), dtype="<u4").view("<i4")
+            for k, size in blocks(batch.column(1)):
+                part = batch.slice(k, size)
+                ids, before = own.encode(part.column(1).to_pylist(), end)
+                lists = pa.ListArray.from_arrays(before.astype(np.int32), ids.view("<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(at + before[:-1]), pa.array(sizes), pa.ListArray.from_arrays(before.astype(np.int32), flat)],
-                    names=["doc_id", "part", "at", "n_tokens", "ids"],
+                    [part.column(0), part.column(2), pa.array(at + before[:-1]), pa.array(np.diff(before)), lists], names=["doc_id", "part", "at", "n_tokens", "ids"]
                 )
                 at += int(before[-1])
 
@@ -139,6 +253,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, pa
         "parquet.block.size": str(ROW_GROUP_BYTES),
         "parquet.page.size": str(PAGE_BYTES),
         "parquet.page.row.count.limit": str(PAGE_ROWS),
+        "parquet.compression.codec.zstd.level": "1",
     }.items():
         writer = writer.option(key, value)
     writer.parquet(f"{path}/tokens")
@@ -172,7 +287,7 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
             lists = batch.column(3)
             flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
             edges = lists.offsets.to_numpy()
-            sums = [crc32(flat[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            sums = [crc32(flat[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
