@@ -3,13 +3,15 @@
 A word's symbols are held as one array of part boundaries beside one array of the ranks of
 adjacent parts. The minimum rank is found by scanning the array, its boundary is deleted, and the
 ranks of the two neighbours are looked up again, until no adjacent parts can merge. Words are
-short, so the scan beats any heap. Each worker keeps the ids of words it has met, in a bounded
-memory, and joins them per text.
+short, so the scan beats any heap. A word of more than ``SHORT`` bytes, for which scanning would
+cost the square of its length, takes its merges in the same order from a heap over linked parts.
+Each worker keeps the ids of short words it has met, in a bounded memory, and joins them per text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -22,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CODES = "doc_id long, ids binary, decoded string"
-#: Words whose ids a worker remembers, about 150 bytes each.
+#: Words whose ids a worker remembers, about 150 bytes each; only those of up to SHORT bytes.
 REMEMBERED = 600_000
+#: The longest word in bytes that is merged by scanning.
+SHORT = 64
 _NO_RANK = 1 << 60
 
 
@@ -66,6 +70,10 @@ class WordCodec:
         data = word.encode("utf-8")
         parts = [self.first[b] for b in data[:-1]] + [self.last[data[-1]]]
         parts = [p for p in parts if p is not None]  # a byte that the vocabulary lacks has no id
+        return self._scanned(parts) if len(parts) <= SHORT else self._heaped(parts)
+
+    def _scanned(self, parts: list[int]) -> list[int]:
+        """Merges by scanning the array of ranks, which lies beside that of the parts."""
         pairs = self.ranks
         at = [pairs.get(pair, (_NO_RANK, 0)) for pair in zip(parts, parts[1:])]
         while at:
@@ -81,6 +89,28 @@ class WordCodec:
                 at[i - 1] = pairs.get((parts[i - 1], parts[i]), (_NO_RANK, 0))
         return parts
 
+    def _heaped(self, parts: list[int]) -> list[int]:
+        """The same merges from a heap of (rank, place); entries whose pair is gone are passed over."""
+        pairs, n = self.ranks, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*pairs[pair], i, pair) for i, pair in enumerate(zip(parts, parts[1:])) if pair in pairs]
+        heap = [(rank, i, new, pair) for rank, new, i, pair in heap]
+        heapq.heapify(heap)
+        while heap:
+            _, i, new, pair = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or parts[i] != pair[0] or parts[j] != pair[1]:
+                continue
+            parts[i], parts[j] = new, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (parts[a], parts[b]) in pairs:
+                    rank, merged = pairs[parts[a], parts[b]]
+                    heapq.heappush(heap, (rank, a, merged, (parts[a], parts[b])))
+        return [p for p in parts if p >= 0]
+
     def _plain(self, text: str) -> bytes:
         text = lower(unicodedata.normalize("NFC", text) if not text.isascii() else text)
         words = self.words.findall(text)
@@ -91,10 +121,16 @@ class WordCodec:
             pass
         if len(known) > REMEMBERED:
             known.clear()
+        long = []
         for word in words:
             if word not in known:
                 known[word] = np.array(self.encode_word(word), dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+                if len(word) > SHORT:
+                    long.append(word)
+        out = b"".join(map(known.__getitem__, words))
+        for word in long:
+            del known[word]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -159,7 +195,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` from the operator's own output.
 
     Digests are taken in the worker, so that ids and decoded texts don't travel back only to be
-    reduced to 64 characters.
+    reduced to 64 characters. Nulls, empty texts, repeats and further columns are as above; an
+    empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
