@@ -37,8 +37,8 @@ class MinMaxParams:
     den: int = 100
     rows: int = 6
     groups: int = 32
-    #: Further groups whose values only sharpen the estimate that precedes the exact check.
-    spare: int = 32
+    #: Members of one bucket that meet others in one task; larger buckets are cut into blocks.
+    block: int = 2048
 
     @property
     def most_bits(self) -> int:
@@ -48,7 +48,7 @@ class MinMaxParams:
     @property
     def most_nibbles(self) -> int:
         """Differing nibbles that a pair at the threshold exceeds about three times in 100,000."""
-        return self._most(2 * self.rows * (self.groups + self.spare), (1 - self.num / self.den) * 15 / 16, 4.0)
+        return self._most(2 * self.rows * self.groups, (1 - self.num / self.den) * 15 / 16, 4.0)
 
     @staticmethod
     def _most(n: int, rate: float, sigmas: float) -> int:
@@ -75,7 +75,7 @@ def signature(hashes: np.ndarray, p: MinMaxParams, perms: np.ndarray) -> tuple[n
     """Band keys; a sketch, one bit of each of 384 values; and four bits of each value."""
     low, high = (mix(x) for x in min_max(hashes, perms))
     weights = odd_numbers(p.rows, 31)
-    banded = [x[: p.groups * p.rows].reshape(p.groups, p.rows) for x in (low, high)]
+    banded = [x.reshape(p.groups, p.rows) for x in (low, high)]
     bands = np.concatenate([(x * weights).sum(axis=1, dtype=np.uint64) for x in banded])
     bands = mix(bands + odd_numbers(2 * p.groups, 47))
     values = np.concatenate((low, high)).astype(np.uint8)
@@ -85,7 +85,7 @@ def signature(hashes: np.ndarray, p: MinMaxParams, perms: np.ndarray) -> tuple[n
 
 
 def _sign(p: MinMaxParams):
-    perms = odd_numbers((p.groups + p.spare) * p.rows, 9)
+    perms = odd_numbers(p.groups * p.rows, 9)
     empty = np.empty(0, np.int64)
     whole = odd_numbers(2, 63)
 
@@ -203,8 +203,8 @@ def _links(reps: DataFrame, texts: DataFrame, p: MinMaxParams) -> DataFrame:
 
     First each member of a bucket meets the bucket's smallest. Then, in buckets whose members
     still stand in several components, the members outside the bucket's main component meet
-    those of other components; sketches are compared inside the join, and a pair comes out of
-    its first shared band only. No pair of one component is looked at, and none across is left out.
+    those of other components, in blocks where the bucket is large; sketches are compared inside
+    the join, and a pair comes out of its first shared band only. No pair of one component is looked at, and none across is left out.
     """
     buckets = reps.select(F.posexplode("bands").alias("band", "key"), "doc_id")
     lead = buckets.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
@@ -221,7 +221,7 @@ def _links(reps: DataFrame, texts: DataFrame, p: MinMaxParams) -> DataFrame:
     if wide.isEmpty():
         return links
     label = connected_components(links).withColumnRenamed("node", "doc_id")
-    placed = wide.join(label, "doc_id", "left").select("key", "band", "doc_id", F.coalesce("label", "doc_id").alias("c"))
+    placed = wide.join(label, "doc_id", "left").select("key", "band", "doc_id", "n", F.coalesce("label", "doc_id").alias("c"))
     placed = written(placed, "placed")
     shares = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1")
@@ -232,10 +232,13 @@ def _links(reps: DataFrame, texts: DataFrame, p: MinMaxParams) -> DataFrame:
         F.col(old).alias(new + x)
         for old, new in (("doc_id", ""), ("c", "c"), ("n_shingles", "n"), ("sketch", "s"), ("nibbles", "f"), ("bands", "w"), ("main", "m"))
     ]
-    minor = rest.where("c <> main").select("key", "band", *cols("a"))
-    other = rest.select("key", *cols("b"))
+    blocks = F.ceil(F.col("n") / p.block).cast("int")
+    rest = rest.withColumn("blocks", blocks).drop("n")
+    minor = rest.where("c <> main").select("key", "band", F.pmod(F.hash("doc_id"), "blocks").alias("part"), *cols("a"))
+    other = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), *cols("b"))
     first = F.array_position(F.zip_with("wa", "wb", lambda x, y: x == y), True) == F.col("band") + 1
     once = (F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))
-    cross = minor.join(other, (minor["key"] == other["key"]) & (F.col("ca") != F.col("cb")) & once & F.when(_may_link(p), first).otherwise(False))
+    met = (minor["key"] == other["key"]) & (minor["part"] == other["part"])
+    cross = minor.join(other, met & (F.col("ca") != F.col("cb")) & once & F.when(_may_link(p), first).otherwise(False))
     cross = written(cross.select("a", "b").distinct(), "likely")
     return links.unionByName(_confirmed(cross, bodies, p))
