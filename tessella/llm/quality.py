@@ -9,6 +9,7 @@ largest and mean response of every filter, and a logistic layer turns these into
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ class NetParams:
     strip: int = 128
     #: Labelled documents of each class that are learned from, at most, in order of a hash.
     sample: int = 1500
-    #: Bytes of each of them that an epoch sees, drawn from the whole text.
+    #: Bytes of each of them that an epoch sees; the epochs' pieces are spread over the whole text.
     piece: int = 2048
     epochs: int = 8
     rate: float = 0.01
@@ -78,12 +79,27 @@ def probability(text: bytes, net: Net, p: NetParams) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(texts: list[bytes], labels: list[int], odds: float = 1.0, p: NetParams = NetParams()) -> Net:
+def pieces(text: bytes, p: NetParams) -> list[bytes]:
+    """What training sees of a text: the whole if it is short, else a piece for each epoch, spread over it.
+
+    Starts are drawn from even parts of the text, by its checksum, so the pieces reach its end.
+    """
+    if len(text) <= p.piece:
+        return [text]
+    rng = np.random.default_rng(zlib.crc32(text))
+    room = len(text) - p.piece + 1
+    starts = ((np.arange(p.epochs) + rng.random(p.epochs)) * room / p.epochs).astype(int)
+    return [text[s : s + p.piece] for s in rng.permutation(starts)]
+
+
+def train(texts: list[bytes | list[bytes]], labels: list[int], odds: float = 1.0, p: NetParams = NetParams()) -> Net:
     """Adam on the logistic loss; deterministic for a given input.
 
     Classes count the same while learning; ``odds`` (label 1 to label 0, among all labels) then
-    shift the last layer, so that a text that shows nothing gets the share of label 1.
+    shift the last layer, so that a text that shows nothing gets the share of label 1. A text is
+    given whole or as the pieces that the epochs take in turn.
     """
+    texts = [pieces(t, p) if isinstance(t, bytes) else t for t in texts]
     rng = np.random.default_rng(p.seed)
     weights = {
         "table": rng.normal(0, 0.3, (p.width, 256, p.filters)).astype(np.float32),
@@ -106,7 +122,7 @@ def train(texts: list[bytes], labels: list[int], odds: float = 1.0, p: NetParams
             grads = {k: np.zeros_like(v) for k, v in weights.items()}
             chosen = order[lo : lo + batch]
             for i in chosen:
-                _learn(texts[i], y[i], balance[i] / len(chosen), weights, grads, p, rng)
+                _learn(texts[i][epoch % len(texts[i])], y[i], balance[i] / len(chosen), weights, grads, p)
             step += 1
             for k, g in grads.items():
                 first[k] += 0.1 * (g - first[k])
@@ -115,12 +131,9 @@ def train(texts: list[bytes], labels: list[int], odds: float = 1.0, p: NetParams
     return Net(weights["table"], weights["bias"], weights["out"], float(weights["shift"][0]) + float(np.log(odds)))
 
 
-def _learn(text: bytes, y: float, weight: float, w: dict, grads: dict, p: NetParams, rng: np.random.Generator) -> None:
-    """Add one document's gradient; a long text shows another piece in each epoch."""
+def _learn(text: bytes, y: float, weight: float, w: dict, grads: dict, p: NetParams) -> None:
+    """Add one document's gradient."""
     data = np.frombuffer(text, dtype=np.uint8)
-    if data.size > p.piece:
-        start = int(rng.integers(0, data.size - p.piece + 1))
-        data = data[start : start + p.piece]
     if data.size < p.width:
         data = np.concatenate((data, np.zeros(p.width - data.size, np.uint8)))
     n = data.size - p.width + 1
@@ -153,8 +166,17 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, p: NetParams = NetParams()) -> Net:
     """Train on at most ``p.sample`` documents of each class among those not held out.
 
-    Ids are chosen by a hash from the labels alone; only then are their texts fetched.
+    Ids are chosen by a hash from the labels alone; only then are their texts fetched, cut to
+    ``p.epochs`` pieces of ``p.piece`` bytes before they leave the executors: 16 KB a document with
+    the default parameters, however long it is. Of rows that repeat an id, the least text counts;
+    a label that is given twice is 1 if either is. Without labels of both classes nothing is learned.
     """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pieces((t.as_py() or "").encode(), p) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.binary())), batch.column(2)], names=["doc_id", "pieces", "y"])
+
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     rows = rows.where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
@@ -162,31 +184,39 @@ def fit(docs: DataFrame, labels: DataFrame, p: NetParams = NetParams()) -> Net:
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * p.sample rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = texts.join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    found = sorted((r["doc_id"], (r["text"] or "").encode(), r["y"]) for r in sample.toLocalIterator())
+    sample = sample.mapInArrow(cut, "doc_id long, pieces array<binary>, y int")
+    found = sorted((r["doc_id"], [bytes(x) for x in r["pieces"]], r["y"]) for r in sample.collect())
     shares = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     odds = max(shares.get(1, 0), 1) / max(shares.get(0, 0), 1)
     return train([t for _, t, _ in found], [y for _, _, y in found], odds, p)
 
 
-def score(docs: DataFrame, net: Net, p: NetParams = NetParams()) -> DataFrame:
-    """``docs`` with a column ``quality_score`` (replaced if it exists), from ``text`` alone.
+def score(docs: DataFrame, net: Net, p: NetParams = NetParams(), into: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``into``, from ``text`` alone.
 
-    Null and empty texts are scored as zero bytes; rows may repeat. All other columns stay.
+    Null and empty texts are scored as zero bytes; rows may repeat. All other columns stay; one that
+    is named ``into`` already is an error, not replaced. An empty table gives an empty one.
     """
-    base = docs.drop("quality_score")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema)}, quality_score double".lstrip(", ")
+    if into.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {into!r} already")
+    base = docs
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), f"`{into}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             found = [probability((t.as_py() or "").encode(), net, p) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, into])
 
     return base.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p: NetParams = NetParams()) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document; empty texts are scored too."""
+    """``doc_id, held_out, score, predicted`` of every row of ``docs``; other columns are ignored.
+
+    Rows that repeat a ``doc_id`` are scored each by itself, and held out or not by their id; rows
+    without one are held out. Empty and null texts are scored too; an empty table gives an empty one.
+    """
     net = fit(docs, labels, p)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = score(rows, net, p)
