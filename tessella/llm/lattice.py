@@ -2,13 +2,13 @@
 
 The pieces of an existing vocabulary and their scores weight every segmentation of a text; a
 forward recursion in log space adds them up. White space always starts a piece, so the lattice of
-a text falls apart into the lattices of its words and its log probability is their sum. Words are
-therefore scored once for the whole corpus, not once per place.
+a text falls apart into the lattices of its words and its log probability is their sum, plus that
+of its end. Words are therefore scored once for the whole corpus, not once per place.
 
-The vocabulary's own scores weight the segmentations of all distinct training words once; the
-expected uses of its pieces (at most one number a piece) then re-estimate the scores. A word's
-probability is a mixture of its share of the training tokens and of its lattice marginal, which
-gets the mass that Good and Turing give to unseen words: the share of words seen once.
+The installed vocabularies store merge ranks, not unigram scores. A piece's score is therefore its
+share of the pieces that the vocabulary's own segmentation gives for all training tokens, each
+piece, byte piece and the end counted once more (add-one); an ill-fitting vocabulary shows in the
+score alone, not in the recursion.
 """
 
 from __future__ import annotations
@@ -17,128 +17,180 @@ from collections.abc import Iterator
 from functools import lru_cache
 from math import exp, log, log1p
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import written
+from tessella.llm.token_files import blocks
 
 LN10 = log(10)
-#: Most frequent words, counted in workers without a join; about 10 MB in a worker. The rest is joined.
-FREQUENT = 60_000
+#: Most frequent words, counted in workers without a join: about 40 bytes each. The rest is joined.
+FREQUENT = 400_000
+#: Words that go through the recursion side by side, at most, and numbers in their largest array.
+ABREAST, CELLS = 4096, 2_000_000
+MARK = "▁"
+#: Odd multipliers of the polynomial hash of a piece and of its place in the table.
+STEP, SPREAD, PLACES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 18
 
 
 class Lattice:
-    """Log10 probabilities of a vocabulary's pieces, and the forward recursion over a word.
+    """A vocabulary's pieces with natural logs of their probabilities, and the forward recursion.
 
-    BPE vocabularies store minus the merge rank as score; ranks fall off as word frequencies do,
-    so a piece of rank r has a mass of 1 / (r + 10), normalised. Every
-    character, piece or not, can also be spelled by one byte piece for each of its bytes.
+    Every character, piece or not, can also be spelled by one byte piece for each of its bytes.
+    Without ``uses`` all pieces weigh the same. ``ends`` are the training texts.
     """
 
-    def __init__(self, path: str) -> None:
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids = range(model.get_piece_size())
-        masses: dict[str, float] = {}
-        byte_mass = 0.0
-        for i in ids:
-            if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                continue
+    def __init__(self, path: str, uses: dict[int, int] | None = None, ends: int = 0) -> None:
+        model, uses = processor(path), uses or {}
+        names, bytes_ = {}, {}
+        for i in range(model.get_piece_size()):
             if model.is_byte(i):
-                byte_mass = 1e-6
-                continue
-            masses[model.id_to_piece(i)] = 1 / (10 - model.get_score(i))
-        total = sum(masses.values()) + 256 * byte_mass
-        # Lower-cased texts never use a piece with A-Z: their mass stays unspent, none is invented.
-        self.logs = {k: log(v / total) for k, v in masses.items()}
-        self.byte = log(max(byte_mass, 1e-9) / total)
+                bytes_[int(model.id_to_piece(i)[3:5], 16)] = i
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+                names[model.id_to_piece(i)] = i
+        total = sum(uses.get(i, 0) for i in (*names.values(), *bytes_.values())) + ends + len(names) + 256 + 1
+        self.logs = {name: log((uses.get(i, 0) + 1) / total) for name, i in names.items()}
+        self.bytes = np.array([log((uses.get(bytes_.get(b, -1), 0) + 1) / total) for b in range(256)])
+        self.end = log((ends + 1) / total)
         self.longest = max(map(len, self.logs))
-        self.mark = "▁"
-
-    def _ways(self, text: str) -> tuple[list[list[tuple[int, float]]], list[float]]:
-        """For every end: the (start, log) of pieces that end there, and the forward log sums."""
-        n, get, longest = len(text), self.logs.get, self.longest
-        ways: list[list[tuple[int, float]]] = [[]]
-        forward = [0.0] * (n + 1)
-        for end in range(1, n + 1):
-            # The first way of a character is by its bytes, whether it is a piece or not.
-            last = text[end - 1]
-            here = [(end - 1, self.byte if last < "\x80" else self.byte * len(last.encode("utf-8", "surrogatepass")))]
-            for start in range(end - longest if end > longest else 0, end):
+        self._place()
+
+    def _place(self) -> None:
+        """Lay pieces out by hash, the next free place where one is taken."""
+        size = 1 << PLACES
+        self.keys, self.masses = np.zeros(size, dtype=np.uint64), np.zeros(size)
+        for name, value in self.logs.items():
+            key = np.zeros(1, dtype=np.uint64)
+            for c in name:
+                key = key * STEP + np.uint64(ord(c) + 1)
+            at = int(((key * SPREAD) >> np.uint64(64 - PLACES))[0])
+            while self.keys[at] != 0:
+                if self.keys[at] == key[0]:
+                    raise ValueError(f"two pieces have one hash: {name!r}")
+                at = (at + 1) % size
+            self.keys[at], self.masses[at] = key[0], exp(value)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Probabilities of pieces by hash; zero where no piece has it."""
+        flat = keys.ravel()
+        at = ((flat * SPREAD) >> np.uint64(64 - PLACES)).astype(np.int64)
+        found = self.keys[at]
+        out = np.where(found == flat, self.masses[at], 0.0)
+        left = np.flatnonzero((found != flat) & (found != 0))
+        while left.size:
+            at[left] = (at[left] + 1) % len(self.keys)
+            found = self.keys[at[left]]
+            hit = found == flat[left]
+            out[left[hit]] = self.masses[at[left[hit]]]
+            left = left[~hit & (found != 0)]
+        return out.reshape(keys.shape)
+
+    def _spelled(self, codes: np.ndarray) -> np.ndarray:
+        """Log of each character's spelling in bytes."""
+        c, low, own = codes.astype(np.int64), 0x3F, self.bytes
+        one = own[c & 0x7F]
+        two = own[0xC0 | (c >> 6 & 0x1F)] + own[0x80 | c & low]
+        three = own[0xE0 | (c >> 12 & 0xF)] + own[0x80 | (c >> 6 & low)] + own[0x80 | c & low]
+        four = own[0xF0 | (c >> 18 & 7)] + own[0x80 | (c >> 12 & low)] + own[0x80 | (c >> 6 & low)] + own[0x80 | c & low]
+        return np.where(c < 0x80, one, np.where(c < 0x800, two, np.where(c < 0x10000, three, four)))
+
+    def word(self, word: str) -> float:
+        """Natural log of the summed probability of all segmentations of one word, however long."""
+        text = MARK + word
+        get, longest = self.logs.get, self.longest
+        spelled = self._spelled(_codes(text)).tolist()
+        forward = [0.0] * (len(text) + 1)
+        for end in range(1, len(text) + 1):
+            logs = [forward[end - 1] + spelled[end - 1]]
+            for start in range(max(end - longest, 0), end):
                 p = get(text[start:end])
                 if p is not None:
-                    here.append((start, p))
-            if len(here) == 1:
-                start, p = here[0]
-                forward[end] = forward[start] + p
+                    logs.append(forward[start] + p)
+            top = max(logs)
+            forward[end] = top + log(sum([exp(x - top) for x in logs])) if len(logs) > 1 else top
+        return forward[-1]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """``word()`` of each: words of about one length go through the recursion side by side."""
+        out = np.empty(len(words))
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        order = np.argsort(sizes, kind="stable")
+        at, rising = 0, sizes[order]
+        while at < len(order):
+            stop = int(np.searchsorted(rising, rising[at] * 1.2, "right"))
+            part = order[at : min(stop, at + ABREAST)]
+            at += len(part)
+            if len(part) < 3:
+                found = np.full(len(part), np.nan)
             else:
-                logs = [forward[start] + p for start, p in here]
-                top = max(logs)
-                forward[end] = top + log(sum([exp(x - top) for x in logs]))
-            ways.append(here)
-        return ways, forward
-
-    def word(self, word: str) -> float:
-        """Log10 of the summed probability of all segmentations of one word."""
-        return self._ways(self.mark + word)[1][-1] / LN10
-
-    def expect(self, word: str, into: dict[str, float]) -> None:
-        """Add the expected number of uses of each piece over all segmentations of a word."""
-        text = self.mark + word
-        ways, forward = self._ways(text)
-        n = len(text)
-        backward = [-1e300] * n + [0.0]
-        whole = forward[n]
-        for end in range(n, 0, -1):
-            after = backward[end]
-            for k, (start, p) in enumerate(ways[end]):
-                x, y = p + after, backward[start]
-                backward[start] = x if y < -1e299 else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
-                share = exp(forward[start] + x - whole) if k else 0.0  # bytes are no use of the piece
-                if share > 1e-6:
-                    piece = text[start:end]
-                    into[piece] = into.get(piece, 0.0) + share
-
-    def learned(self, uses: dict[str, float]) -> "Lattice":
-        """The same vocabulary with its scores re-estimated; one part in a hundred stays as it was."""
-        own = {k: v for k, v in uses.items() if k in self.logs}
-        total = sum(own.values())
-        if not total:
-            return self
-        new = object.__new__(Lattice)
-        new.__dict__ |= self.__dict__
-        new.logs = {k: log(0.01 * exp(p) + 0.99 * own.get(k, 0.0) / total) for k, p in self.logs.items()}
-        return new
+                longest = int(sizes[part[-1]])
+                codes = _codes("".join([(MARK + words[i]).ljust(longest, "\0") for i in part])).reshape(len(part), longest)
+                found = self._side_by_side(codes, sizes[part])
+            for k in np.flatnonzero(np.isnan(found)):
+                found[k] = self.word(words[part[k]])
+            out[part] = found
+        return out
+
+    def _side_by_side(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The recursion over the rows of ``codes``, words by ascending size, filled up with zeros.
+
+        Sums are kept as numbers and scaled as they shrink; a word in which neighbouring sums lie too
+        far apart for that gets no number, and is left to the recursion over logs.
+        """
+        rows, n = codes.shape
+        reach = min(n, self.longest)
+        chars = np.zeros((n + reach - 1, rows), dtype=np.uint32)  # a place of all words lies together
+        chars[reach - 1 :] = codes.T
+        forward = np.zeros((n + reach + 1, rows))  # the sum for an end is at that place plus reach
+        forward[reach] = 1
+        scale, least, out, done = np.zeros(rows), np.ones(rows), np.full(rows, np.nan), 0
+        step = max(CELLS // (reach * rows), 1)
+        for lo in range(0, n, step):
+            hi = min(lo + step, n)
+            m, region = hi - lo, chars[lo : hi + reach - 1]
+            ways = np.empty((m, reach, rows))  # by end, then start
+            keys, wide = np.zeros((len(region) + 1, rows), dtype=np.uint64), region.astype(np.uint64) + np.uint64(1)
+            for length in range(1, reach + 1):
+                keys = keys[: len(region) - length + 1] * STEP + wide[length - 1 :]
+                ways[:, reach - length] = self._find(keys[reach - length : reach - length + m])
+            ways[:, reach - 1] += np.exp(self._spelled(region[reach - 1 : reach - 1 + m]))
+            for i in range(m):
+                end = lo + i + 1
+                here = np.einsum("ij,ij->j", forward[end : end + reach], ways[i])
+                forward[end + reach] = here
+                np.minimum(least, here, out=least)
+                while done < rows and sizes[done] == end:
+                    if least[done] > 1e-280:
+                        out[done] = np.log(here[done]) + scale[done]
+                    done += 1
+                if end % 4 == 0:
+                    window = forward[end + 1 : end + reach + 1]
+                    top = window.max(axis=0)
+                    top[top == 0] = 1
+                    window /= top
+                    scale += np.log(top)
+        return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
 @lru_cache(maxsize=2)
-def lattice(path: str) -> Lattice:
-    """One lattice a worker and file."""
-    return Lattice(path)
+def processor(path: str):
+    """One sentencepiece model a worker and file."""
+    import sentencepiece
 
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
-def mixture(counted: float, share: float, lattice_log10: float | None) -> float:
-    """Log10 of ``counted + share * 10 ** lattice_log10``, in log space, so no word is too long.
 
-    The end token has no lattice (None) and uses its count alone; if that is 0, as without training
-    rows, it gets ``share``, all the mass of what was not seen.
-    """
-    if lattice_log10 is None:
-        return log(counted or share) / LN10
-    unseen = log(share) + lattice_log10 * LN10
-    if counted <= 0:
-        return unseen / LN10
-    seen = log(counted)
-    return (max(seen, unseen) + log1p(exp(-abs(seen - unseen)))) / LN10
-
-
-def _count_words(data: bytes) -> dict[bytes, int]:
-    counts: dict[bytes, int] = {}
-    for w in data.lower().split():  # bytes: A-Z alone are lowered, and these six characters split
-        counts[w] = counts.get(w, 0) + 1
-    return counts
+def mixture(counted: np.ndarray, share: float, lattice: np.ndarray) -> np.ndarray:
+    """Natural log of ``counted + share * exp(lattice)``, in log space, so no word is too long."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(counted), log(share) + lattice)
 
 
 def training(doc_id: Column) -> Column:
@@ -146,140 +198,169 @@ def training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 != 2, F.lit(False))
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words of all texts, lower-cased, and the texts' words as their numbers with edges."""
+    # Taken, not sliced: pyarrow's lower-casing reads the wrong bytes of an array that starts inside another.
+    own = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    words = pc.ascii_split_whitespace(pc.ascii_lower(own))
+    flat = words.flatten()
+    real = pc.not_equal(pc.binary_length(flat), 0)  # white space at an edge of a text leaves empty words
+    kept = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    edges = words.offsets.to_numpy() - words.offsets[0].as_py()
+    coded = flat.filter(real).dictionary_encode()
+    return coded, kept[edges]
+
+
 def score_texts(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     """Score every document; ``path`` is a sentencepiece model that every executor can read.
 
     ``docs(doc_id, text)``; other columns are ignored. Words are runs without ASCII white space of
     the text with A-Z lowered, followed by one end token. Returns per row ``doc_id, held_out,
-    n_tokens, n_known, train_tokens, base_score`` (add-one unigram) and ``score``, both log10.
+    n_tokens, n_known, train_tokens, base_score`` (add-one unigram), ``score`` (the lattice) and
+    ``mixed_score`` (a word's share of the training tokens beside its lattice, which has the mass of
+    words seen once), all log10.
 
     Null and empty texts consist of the end token. Rows that repeat a ``doc_id`` are scored each
-    by itself; rows without ``doc_id`` are held out. Without any training row no word is known.
+    by itself; rows without ``doc_id`` are held out. Without any training row no word is known and
+    all pieces weigh the same. An empty table gives an empty one.
 
-    Counting pre-aggregates in workers and shuffles one row for each word and task. Scoring sends
+    Counting pre-aggregates in workers and shuffles one row for each word and block. Scoring sends
     nothing for the ``frequent`` words, whose scores go along with the tasks, and one row for each
     document and rarer word otherwise; those meet the word table in a join that can be split.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(training(F.col("doc_id")), F.lit(False)).alias("learn"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
+        training(F.col("doc_id")).alias("learn"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     counts = rows.mapInArrow(_word_counts, "word binary, c long, n long")
-    counts = written(counts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "counts")
-    words = counts.where("word is not null")
-    sums = words.agg(F.sum("c").alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("distinct")).first()
-    ends = counts.where("word is null").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()["c"]
-    total, distinct = (sums["tokens"] or 0) + ends, (sums["distinct"] or 0) + (ends > 0)
-
-    learned = _learned(words.where("c > 0"), path)
-    once = words.where("c = 1").count()
-    share = min(max(once / max(total, 1), 0.001), 0.5)
-
-    def logs(c: float, lattice_log10: float | None) -> tuple[float, float]:
-        base = log((c + 1) / (total + distinct + 1)) / LN10
-        return base, mixture((1 - share) * c / max(total, 1), share, lattice_log10)
+    words = written(counts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "counts")
+    ends = rows.where("learn").count()
+    sums = words.agg(F.sum("c").alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("distinct"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
+    total, distinct = (sums["tokens"] or 0) + ends, sums["distinct"] + (ends > 0)
+    share = min(max(sums["once"] / max(total, 1), 0.001), 0.5)
+    uses = _uses(words.where("c > 0"), path)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lattice(path).learned(learned)
-        for batch in batches:
+        own = Lattice(path, uses, ends)
+        for batch in _joined(batches, 250_000):
             names = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            found = [logs(c, own.word(w)) for w, c in zip(names, batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([b for b, _ in found], pa.float64()), pa.array([s for _, s in found], pa.float64())],
-                names=["word", "c", "n", "base", "model"],
-            )
-
-    weighed = written(words.mapInArrow(weigh, "word binary, c long, n long, base double, model double"), "words")
-    top = weighed.orderBy(F.desc("n"), "word").limit(frequent).collect()
-    known = {bytes(r["word"]): (r["base"], r["model"], int(r["c"] > 0)) for r in top}
-    end_base, end_model = logs(ends, None)
-    shared = docs.sparkSession.sparkContext.broadcast((known, (end_base, end_model, int(ends > 0))))
+            c, lattice = batch.column(1).to_numpy(), own.words(names)
+            base = np.log((c + 1) / (total + distinct + 1))
+            mixed = mixture((1 - share) * c / max(total, 1), share, lattice)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x / LN10) for x in (base, lattice, mixed))], names=WEIGHED)
+
+    weighed = written(words.mapInArrow(weigh, WEIGHED_SCHEMA), "words")
+    top = weighed.where(F.col("n") >= _threshold(words, frequent)).select("word", "c", "base", "model", "mixed").toArrow().combine_chunks()
+    sure = [top.column("word").combine_chunks(), *(top.column(x).to_numpy() for x in ("base", "model", "mixed"))] + [top.column("c").to_numpy() > 0]
+    own_end = (log((ends + 1) / (total + distinct + 1)) / LN10, Lattice(path, uses, ends).end / LN10, log((1 - share) * ends / max(total, 1) or share) / LN10, int(ends > 0))
+    shared = docs.sparkSession.sparkContext.broadcast((sure, own_end))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per document: one row of sums over frequent words, one for each rarer word."""
-        sure, end = shared.value
+        (names, *weights, known), end = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                out: list[list] = [[] for _ in range(8)]
-                for uid, doc, learn, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    base, model, n_known = end
-                    n, rare = 1, []
-                    for word, f in _count_words(text).items():
-                        n += f
-                        found = sure.get(word)
-                        if found is None:
-                            rare.append((word, f))
-                        else:
-                            base += f * found[0]
-                            model += f * found[1]
-                            n_known += f * found[2]
-                    for row in ((uid, doc, learn, None, n, n_known, base, model), *((uid, None, None, w, f, 0, 0.0, 0.0) for w, f in rare)):
-                        for into, x in zip(out, row, strict=True):
-                            into.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=TALLY)
+            for k, size in blocks(batch.column(3), 4096, 8 << 20):
+                part = batch.slice(k, size)
+                coded, edges = _split(part.column(3))
+                words, at = coded.dictionary.cast(pa.large_binary()).cast(pa.binary()), coded.indices.to_numpy()
+                doc = np.repeat(np.arange(size), np.diff(edges))
+                found = pc.index_in(words, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)[at] if len(words) else np.zeros(0, dtype=np.int64)
+                is_sure = found >= 0
+                here, hit = doc[is_sure], found[is_sure]
+                base, model, mixed = (np.bincount(here, weights=w[hit], minlength=size) + e for w, e in zip(weights, end, strict=False))
+                n_known = np.bincount(here, weights=known[hit], minlength=size).astype(np.int64) + end[3]
+                pairs, n = np.unique(doc[~is_sure].astype(np.int64) * max(len(words), 1) + at[~is_sure], return_counts=True)
+                uid, zeros = part.column(0).to_numpy(), np.zeros(pairs.size)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.nulls(size, pa.binary()), pa.array(np.diff(edges) + 1), pa.array(n_known), pa.array(base), pa.array(model), pa.array(mixed)],
+                    names=TALLY,
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(uid[pairs // max(len(words), 1)]), pa.nulls(pairs.size, pa.int64()), pa.nulls(pairs.size, pa.bool_()),
+                        words.take(pa.array(pairs % max(len(words), 1))), pa.array(n), pa.array(zeros.astype(np.int64)), *[pa.array(zeros)] * 3,
+                    ],
+                    names=TALLY,
+                )
 
     # A row has a number of its own, as doc_id may repeat or be null; it stays in the written table.
     numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "learn", "text")
     tallies = written(numbered.mapInArrow(tally, TALLY_SCHEMA), "tallies")
     rare = tallies.where("word is not null").select("uid", "word", "n")
-    rare = rare.join(weighed.select("word", "c", "base", "model"), "word").groupBy("uid").agg(
+    rare = rare.join(weighed.select("word", "c", "base", "model", "mixed"), "word").groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("n") * F.col("base")).alias("rare_base"),
-        F.sum(F.col("n") * F.col("model")).alias("rare_model"),
+        *(F.sum(F.col("n") * F.col(x)).alias(f"rare_{x}") for x in ("base", "model", "mixed")),
     )
-    heads = tallies.where("word is null").select("uid", "doc_id", "learn", "n", "n_known", "base", "model")
+    heads = tallies.where("word is null").select("uid", "doc_id", "learn", "n", "n_known", "base", "model", "mixed")
     out = heads.join(rare, "uid", "left")
+    both = {x: F.col(x) + F.coalesce(f"rare_{x}", F.lit(0.0)) for x in ("base", "model", "mixed")}
     return out.select(
         "doc_id",
         (~F.col("learn")).alias("held_out"),
         F.col("n").alias("n_tokens"),
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("model") + F.coalesce("rare_model", F.lit(0.0))).alias("score"),
+        both["base"].alias("base_score"),
+        both["model"].alias("score"),
+        both["mixed"].alias("mixed_score"),
     )
 
 
-def _learned(words: DataFrame, path: str) -> dict[str, float]:
-    """Expected uses of each vocabulary piece over the distinct training words."""
+def _threshold(words: DataFrame, frequent: int) -> int:
+    """The smallest count for which no more than ``frequent`` words occur as often."""
+    step = F.floor(F.log2("n") * 8)  # a few hundred steps at most
+    left, least = frequent, None
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r["step"]):
+        if r["k"] > left:
+            break
+        left, least = left - r["k"], r["n"]
+    return (1 << 62) if least is None else least
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, uses = lattice(path), {}
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                own.expect(w.decode("utf-8", "replace"), uses)
-        uses = {k: v for k, v in uses.items() if k in own.logs}
-        yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.float64())], names=["piece", "uses"])
 
-    found = words.select("word").mapInArrow(expect, "piece string, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    return {r["piece"]: round(r["uses"], 3) for r in found.collect()}  # as many rows as the vocabulary has pieces
+def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
 
+def _uses(words: DataFrame, path: str) -> dict[int, int]:
+    """How often the vocabulary's own segmentation of all training tokens uses each piece, by its id."""
 
-TALLY = ["uid", "doc_id", "learn", "word", "n", "n_known", "base", "model"]
-TALLY_SCHEMA = "uid long, doc_id long, learn boolean, word binary, n long, n_known long, base double, model double"
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = processor(path)
+        uses = np.zeros(model.get_piece_size(), dtype=np.int64)
+        for batch in batches:
+            found = model.encode([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()], num_threads=1)
+            times = np.repeat(batch.column(1).to_numpy(), [len(x) for x in found])
+            np.add.at(uses, np.fromiter((i for x in found for i in x), dtype=np.int64, count=times.size), times)
+        used = np.flatnonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(uses[used])], names=["piece", "uses"])
 
+    found = words.select("word", "c").mapInArrow(count, "piece long, uses long").groupBy("piece").agg(F.sum("uses").alias("uses"))
+    return {r["piece"]: r["uses"] for r in found.collect()}  # as many rows as the vocabulary has pieces
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their counts in training rows (c) and in all rows (n); the end has a null word."""
-    counts: dict[bytes | None, list[int]] = {}
 
-    def out() -> pa.RecordBatch:
-        words = list(counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), *(pa.array([counts[w][k] for w in words], pa.int64()) for k in (0, 1))], names=["word", "c", "n"]
-        )
+WEIGHED = ["word", "c", "n", "base", "model", "mixed"]
+WEIGHED_SCHEMA = "word binary, c long, n long, base double, model double, mixed double"
+TALLY = ["uid", "doc_id", "learn", "word", "n", "n_known", "base", "model", "mixed"]
+TALLY_SCHEMA = "uid long, doc_id long, learn boolean, word binary, n long, n_known long, base double, model double, mixed double"
 
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each block with their counts in training rows (c) and in all rows (n)."""
     for batch in batches:
-        for learn, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for word, f in [*_count_words(text).items(), (None, 1)]:
-                mine = counts.setdefault(word, [0, 0])
-                mine[0] += f * learn
-                mine[1] += f
-        if len(counts) > 400_000:  # bounded memory; what comes out is added up after the shuffle
-            yield out()
-            counts.clear()
-    if counts:
-        yield out()
+        for k, size in blocks(batch.column(2), 1 << 20, 16 << 20):
+            part = batch.slice(k, size)
+            coded, edges = _split(part.column(2))
+            at, many = coded.indices.to_numpy(), len(coded.dictionary)
+            learn = np.repeat(part.column(1).to_numpy(zero_copy_only=False), np.diff(edges))
+            counts = [np.bincount(at[learn], minlength=many), np.bincount(at, minlength=many)]
+            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.large_binary()).cast(pa.binary()), *map(pa.array, counts)], names=["word", "c", "n"])
