@@ -6,7 +6,7 @@ import numpy as np
 
 from tessella.llm import chat, multi_index, url_lists
 
-P = multi_index.IndexParams(codewords=6, sample=500, rounds=6, block=16)
+P = multi_index.IndexParams(per_cell=5, rounds=6, block=16)
 
 
 def test_vector_links_against_brute_force(spark):
@@ -35,6 +35,25 @@ def test_vector_links_against_brute_force(spark):
     assert multi_index.link_vectors(df.limit(0), P).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    """Equal ids do not make different vectors one; columns whose names clash are ignored."""
+    rows = [(5, [1.0, 0.0], 0, 9, 9), (5, [0.0, 1.0], 0, 9, 9), (6, [1.0, 0.01], 0, 9, 9), (7, [0.01, 1.0], 0, 9, 9), (7, [0.01, 1.0], 0, 9, 9), (None, [1.0, 0.0], 0, 9, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links long, component_id long")
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in multi_index.link_vectors(df, P).collect()))
+    assert got == [(0, 0, 0, True), (5, 1, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 2, 5, False), (7, 2, 5, False)]
+
+
+def test_recall_of_all_embeddings(spark):
+    """A whole table with production parameters: links against brute force, none below the threshold."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = {r["vec_id"]: r["n_links"] for r in multi_index.link_vectors(df).collect()}
+    rows = [r for r in df.collect() if r["label"] is not None and r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]
+    x, label = np.array([r["embedding"] for r in rows], dtype=np.float64), np.array([r["label"] for r in rows])
+    close = (multi_index.cosines(x, x) >= 0.98) & (label[:, None] == label[None])
+    want = {r["vec_id"]: int(n) - 1 for r, n in zip(rows, close.sum(axis=1), strict=True)}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.999 * sum(want.values())
+
+
 def test_traversal_visits_in_order_up_to_the_limit():
     rng = np.random.default_rng(2)
     a, b = rng.random(9), rng.random(7)
