@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,37 +25,23 @@ def query(f: Query) -> Query:
     return f
 
 
-def graph_query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Register a graph query over the subset that its SQL names and, as ``*_all_rows``, over all rows."""
-    QUERIES[f.__name__] = f
-    QUERIES[f"{f.__name__}_all_rows"] = partial(f, facts=tables.participation)
-    return f
-
-
-def score_query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Register a query of text scores up to the hits that its SQL counts and, as ``*_all_hits``, with all."""
-    QUERIES[f.__name__] = f
-    QUERIES[f"{f.__name__}_all_hits"] = partial(f, most=None)
-    return f
-
-
 def _fc(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tables.participation(spark, d), tables.catalog(spark, d)
 
 
-def _ge(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.bipartite_edges(facts(spark, d))
+def _ge(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bipartite_edges(tables.participation(spark, d))
 
 
-def _items(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> tuple[DataFrame, DataFrame]:
+def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Item projection of the graph: nodes and edges."""
-    e = _ge(spark, d, facts)
+    e = _ge(spark, d)
     return e.select(F.col("dst").alias("node_id")).distinct(), graph.projection(e, "dst", "src")
 
 
-def _whole(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> tuple[DataFrame, DataFrame]:
+def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The bipartite graph as one graph."""
-    e = _ge(spark, d, facts)
+    e = _ge(spark, d)
     nodes = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     return nodes, e.select("src", "dst", "weight")
 
@@ -179,9 +164,9 @@ def lorenz_points(spark: SparkSession, d: str) -> DataFrame:
     return concentration.lorenz(_units(spark, d, "item_id"), "n_rows")
 
 
-@graph_query
-def degree_ecdf(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return concentration.ecdf(graph.degrees(*_whole(spark, d, facts)), "degree")
+@query
+def degree_ecdf(spark: SparkSession, d: str) -> DataFrame:
+    return concentration.ecdf(graph.degrees(*_whole(spark, d)), "degree")
 
 
 @query
@@ -233,36 +218,47 @@ def consistency_checks(spark: SparkSession, d: str) -> DataFrame:
     return quality.violations(x, checks)
 
 
-# Scalar functions on literal cases.
+# Scalar functions, on texts made of table columns.
 
-COUNT_CASES = ["29,736 vistas", "2,390 vistas", "1.234.567", "1 234 567", "4", "  12 ", "0", "1.5K", "2.3M vistas", "3B", "1,5 mil", "2 millones", "1.2 millon", "", "   ", "abc", "vistas", "-", None, "1.5", "3kk"]
-KEY_CASES = ["Más", "mas", "  Ñandú   ÇÉ ", "", None, "STRASSE", "a\tb\n c"]
-HANDLE_CASES = ["@quorumgt/videos", "/@quorumgt", "quorumgt", "/@Jos%C3%A9-1", "", None, "nan", "a+b", "100%", "  x  "]
-TIME_CASES = ["hace 2 semanas", "hace 3 meses", "hace 5 dias", "hace 1 año", "Hace 3 años (editado)", "ayer", "", None, "hace 10 minutos"]
 
-
-def _cases(spark: SparkSession, cases: list) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(cases)), "i int, s string")
+@query
+def parsed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Prices and sizes written as counts, read back; names are no counts."""
+    part = tables.table(spark, d, "part")
+    grouped = F.format_number(F.floor(F.col("p_retailprice") * 1000), 0)
+    dotted = F.replace(grouped, F.lit(","), F.lit("."))
+    texts = {"grouped": F.concat(grouped, F.lit(" views")), "dotted": dotted, "thousands": F.concat("p_size", F.lit("K")), "halves": F.concat("p_size", F.lit(",5 mil")), "millions": F.concat(F.lit("  "), "p_size", F.lit(".25M vistas")), "name": F.col("p_name")}
+    return part.select("p_partkey", *(ids.parse_count(t.cast("string")).alias(k) for k, t in texts.items()))
 
 
 @query
-def parse_count_cases(spark: SparkSession, d: str) -> DataFrame:
-    return _cases(spark, COUNT_CASES).select("i", ids.parse_count(F.col("s")).alias("v"))
+def normalized_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Comparison keys of names with accents, sharp s, tabs and capitals put in."""
+    c = tables.table(spark, d, "customer")
+    text = F.concat(F.lit("  Ñandú\t"), F.upper("c_name"), F.lit("   straße "), F.initcap("c_mktsegment"), F.lit("\n"))
+    return c.select("c_custkey", ids.normalize_key(text).alias("key"), ids.normalize_display(text).alias("display"))
 
 
 @query
-def normalize_key_cases(spark: SparkSession, d: str) -> DataFrame:
-    return _cases(spark, KEY_CASES).select("i", ids.normalize_key(F.col("s")).alias("v"))
+def normalized_handles(spark: SparkSession, d: str) -> DataFrame:
+    """Handles of customers in the forms that they are written in."""
+    c = tables.table(spark, d, "customer")
+    name, k = F.replace("c_name", F.lit("#"), F.lit("-")), F.col("c_custkey") % 5
+    escaped = F.replace("c_name", F.lit("#"), F.lit("%C3%B1"))
+    text = F.when(k == 0, F.concat(F.lit("/@"), name)).when(k == 1, F.concat(F.lit("@"), name, F.lit("/about"))).when(k == 2, name).when(k == 3, F.concat(F.lit("/"), escaped, F.lit("/x")))
+    return c.select("c_custkey", ids.normalize_handle(text).alias("handle"), ids.is_percent_encoded(text).alias("encoded"))
 
 
-@query
-def handle_cases(spark: SparkSession, d: str) -> DataFrame:
-    return _cases(spark, HANDLE_CASES).select("i", ids.normalize_handle(F.col("s")).alias("v"), ids.is_percent_encoded(F.col("s")).alias("encoded"))
+TIME_UNITS = ["segundos", "minuto", "horas", "dias", "semanas", "meses", "años", "lustros"]
 
 
 @query
-def relative_time_cases(spark: SparkSession, d: str) -> DataFrame:
-    return _cases(spark, TIME_CASES).select("i", reltime.relative_days(F.col("s")).alias("days"), reltime.relative_bucket(F.col("s")).alias("bucket"))
+def relative_times(spark: SparkSession, d: str) -> DataFrame:
+    """Relative times of all events as days and age classes; the last unit is none."""
+    e = tables.table(spark, d, "events")
+    unit = F.element_at(F.array(*(F.lit(u) for u in TIME_UNITS)), (F.col("event_id") % len(TIME_UNITS) + 1).cast("int"))
+    text = F.concat(F.lit("Hace "), F.col("event_id") % 40, F.lit(" "), unit, F.lit(" (editado)"))
+    return e.select("event_id", reltime.relative_days(text).alias("days"), reltime.relative_bucket(text).alias("bucket"))
 
 
 # Text.
@@ -327,33 +323,33 @@ def model_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def spearman_popularity(spark: SparkSession, d: str) -> DataFrame:
-    return stats.spearman(participation_by_item(spark, d), "views", "n_rows").drop("p")
+    return stats.spearman(participation_by_item(spark, d), "views", "n_rows")
 
 
 @query
 def pearson_log1p(spark: SparkSession, d: str) -> DataFrame:
-    return stats.pearson_log1p(participation_by_item(spark, d), "views", "n_rows").drop("p")
+    return stats.pearson_log1p(participation_by_item(spark, d), "views", "n_rows")
 
 
 @query
 def kendall_tau(spark: SparkSession, d: str) -> DataFrame:
-    return stats.kendall(participation_by_item(spark, d), "views", "n_rows").drop("p")
+    return stats.kendall(participation_by_item(spark, d), "views", "n_rows")
 
 
 @query
 def mann_whitney_u(spark: SparkSession, d: str) -> DataFrame:
-    return stats.mann_whitney(catalog_summary(spark, d), "views", ~F.col("observed")).drop("p")
+    return stats.mann_whitney(catalog_summary(spark, d), "views", ~F.col("observed"))
 
 
 @query
 def kruskal_h(spark: SparkSession, d: str) -> DataFrame:
-    return stats.kruskal(_fc(spark, d)[0], "value", "source").drop("p")
+    return stats.kruskal(_fc(spark, d)[0], "value", "source")
 
 
 @query
 def chi2_cramers_v(spark: SparkSession, d: str) -> DataFrame:
     f, c = _fc(spark, d)
-    return stats.chi_square(f.join(c.select("item_id", "channel_id"), "item_id"), "channel_id", "source").drop("p")
+    return stats.chi_square(f.join(c.select("item_id", "channel_id"), "item_id"), "channel_id", "source")
 
 
 @query
@@ -364,144 +360,144 @@ def nmi_ari(spark: SparkSession, d: str) -> DataFrame:
 # Graph.
 
 
-@graph_query
-def bipartite_edges(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return _ge(spark, d, facts)
+@query
+def bipartite_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _ge(spark, d)
 
 
-@graph_query
-def bipartite_nodes(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.bipartite_nodes(_ge(spark, d, facts), tables.catalog(spark, d)).select("node_id", "node_type", "degree", "strength", "likes", "channel_id", "views")
+@query
+def bipartite_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bipartite_nodes(_ge(spark, d), tables.catalog(spark, d)).select("node_id", "node_type", "degree", "strength", "likes", "channel_id", "views")
 
 
-@graph_query
-def bipartite_invariants(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    f, e = facts(spark, d), _ge(spark, d, facts)
+@query
+def bipartite_invariants(spark: SparkSession, d: str) -> DataFrame:
+    f, e = tables.participation(spark, d), _ge(spark, d)
     return graph.invariants(f, e, graph.bipartite_nodes(e, tables.catalog(spark, d)))
 
 
-@graph_query
-def author_projection(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.projection(_ge(spark, d, facts), "src", "dst")
+@query
+def author_projection(spark: SparkSession, d: str) -> DataFrame:
+    return graph.projection(_ge(spark, d), "src", "dst")
 
 
-@graph_query
-def item_projection(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.projection(_ge(spark, d, facts), "dst", "src")
+@query
+def item_projection(spark: SparkSession, d: str) -> DataFrame:
+    return graph.projection(_ge(spark, d), "dst", "src")
 
 
-@graph_query
-def projection_verification(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    e = _ge(spark, d, facts)
+@query
+def projection_verification(spark: SparkSession, d: str) -> DataFrame:
+    e = _ge(spark, d)
     return graph.verify_projection(e, graph.projection(e, "dst", "src"), "dst", "src")
 
 
-@graph_query
-def item_degrees(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.degrees(*_items(spark, d, facts))
+@query
+def item_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(*_items(spark, d))
 
 
-@graph_query
-def item_topology(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.topology(*_items(spark, d, facts))
+@query
+def item_topology(spark: SparkSession, d: str) -> DataFrame:
+    return graph.topology(*_items(spark, d))
 
 
-@graph_query
-def item_clustering(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.clustering(*_items(spark, d, facts))
+@query
+def item_clustering(spark: SparkSession, d: str) -> DataFrame:
+    return graph.clustering(*_items(spark, d))
 
 
-@graph_query
-def latapy_clustering(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.latapy(_ge(spark, d, facts), "dst", "src")
+@query
+def latapy_clustering(spark: SparkSession, d: str) -> DataFrame:
+    return graph.latapy(_ge(spark, d), "dst", "src")
 
 
-@graph_query
-def bipartite_density(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.bipartite_density(_ge(spark, d, facts))
+@query
+def bipartite_density(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bipartite_density(_ge(spark, d))
 
 
-@graph_query
-def connected_components(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.components(*_whole(spark, d, facts))
+@query
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(*_whole(spark, d))
 
 
-@graph_query
-def component_sizes(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.component_sizes(*_whole(spark, d, facts))
+@query
+def component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.component_sizes(*_whole(spark, d))
 
 
-@graph_query
-def peripheral_nodes(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.peripheral(*_whole(spark, d, facts))
+@query
+def peripheral_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.peripheral(*_whole(spark, d))
 
 
-@graph_query
-def core_subgraph(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.core_subgraph(_ge(spark, d, facts)).select("src", "dst", "weight")
+@query
+def core_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    return graph.core_subgraph(_ge(spark, d)).select("src", "dst", "weight")
 
 
-@graph_query
-def modularity_of_channels(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    nodes, edges = _items(spark, d, facts)
+@query
+def modularity_of_channels(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _items(spark, d)
     c = tables.catalog(spark, d).select(graph.item_node("item_id").alias("node_id"), F.col("channel_id").alias("community"))
     return graph.modularity(edges, nodes.join(c, "node_id"))
 
 
-@graph_query
-def bridge_authors(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return graph.bridge_authors(_ge(spark, d, facts), tables.catalog(spark, d)).drop("n_communities")
+@query
+def bridge_authors(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bridge_authors(_ge(spark, d), tables.catalog(spark, d)).drop("n_communities")
 
 
-@graph_query
-def articulation_removal(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return paths.articulation_removal(*_whole(spark, d, facts))
+@query
+def articulation_removal(spark: SparkSession, d: str) -> DataFrame:
+    return paths.articulation_removal(*_whole(spark, d))
 
 
-@graph_query
-def graph_bridges(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return paths.bridges(*_whole(spark, d, facts))
+@query
+def graph_bridges(spark: SparkSession, d: str) -> DataFrame:
+    return paths.bridges(*_whole(spark, d))
 
 
-@graph_query
-def cohesion(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return paths.cohesion(*_items(spark, d, facts))
+@query
+def cohesion(spark: SparkSession, d: str) -> DataFrame:
+    return paths.cohesion(*_items(spark, d))
 
 
-@graph_query
-def path_centralities(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    out = paths.path_measures(*_items(spark, d, facts))
+@query
+def path_centralities(spark: SparkSession, d: str) -> DataFrame:
+    out = paths.path_measures(*_items(spark, d))
     return paths.ranked(out, ["betweenness", "closeness"])
 
 
-@graph_query
-def giant_paths(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return paths.giant_paths(*_items(spark, d, facts))
+@query
+def giant_paths(spark: SparkSession, d: str) -> DataFrame:
+    return paths.giant_paths(*_items(spark, d))
 
 
-@graph_query
-def pagerank(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return centrality.pagerank(*_items(spark, d, facts))
+@query
+def pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return centrality.pagerank(*_items(spark, d))
 
 
-@graph_query
-def k_core(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return centrality.k_core(*_items(spark, d, facts))
+@query
+def k_core(spark: SparkSession, d: str) -> DataFrame:
+    return centrality.k_core(*_items(spark, d))
 
 
-@graph_query
-def eigenvector(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return centrality.eigenvector(*_items(spark, d, facts))
+@query
+def eigenvector(spark: SparkSession, d: str) -> DataFrame:
+    return centrality.eigenvector(*_items(spark, d))
 
 
-@graph_query
-def louvain_communities(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    return community.detect(*_items(spark, d, facts))
+@query
+def louvain_communities(spark: SparkSession, d: str) -> DataFrame:
+    return community.detect(*_items(spark, d))
 
 
-@graph_query
-def community_controls(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    nodes, edges = _items(spark, d, facts)
+@query
+def community_controls(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _items(spark, d)
     out = None
     for method in ("louvain", "greedy", "propagation"):
         one = graph.modularity(edges, community.detect(nodes, edges, method)).withColumn("method", F.lit(method))
@@ -509,39 +505,39 @@ def community_controls(spark: SparkSession, d: str, facts: Query = tables.graph_
     return out
 
 
-@graph_query
-def community_profile(spark: SparkSession, d: str, facts: Query = tables.graph_facts) -> DataFrame:
-    nodes, edges = _items(spark, d, facts)
+@query
+def community_profile(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _items(spark, d)
     c = tables.catalog(spark, d)
     by_category = nodes.join(c.select(graph.item_node("item_id").alias("node_id"), F.col("category").alias("community")), "node_id")
-    return graph.community_profile(_ge(spark, d, facts), edges, by_category, c)
+    return graph.community_profile(_ge(spark, d), edges, by_category, c)
 
 
 # Scores.
 
 
-def _scored(spark: SparkSession, d: str, most: int | None = scoring.SQL_HITS) -> DataFrame:
-    return scoring.score_texts(tables.documents(spark, d), "text", most)
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.score_texts(tables.documents(spark, d), "text")
 
 
-@score_query
-def score_texts(spark: SparkSession, d: str, most: int | None = scoring.SQL_HITS) -> DataFrame:
-    return _scored(spark, d, most).select("doc_id", "prob_NEG", "prob_NEU", "prob_POS", "predicted", "confidence", "margin", "entropy", "low_confidence")
+@query
+def score_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", "prob_NEG", "prob_NEU", "prob_POS", "predicted", "confidence", "margin", "entropy", "low_confidence")
 
 
-@score_query
-def label_distribution(spark: SparkSession, d: str, most: int | None = scoring.SQL_HITS) -> DataFrame:
-    return scoring.label_distribution(_scored(spark, d, most))
+@query
+def label_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.label_distribution(_scored(spark, d))
 
 
-@score_query
-def group_comparison_grouping_sets(spark: SparkSession, d: str, most: int | None = scoring.SQL_HITS) -> DataFrame:
-    return relational.group_comparison(_scored(spark, d, most), {"lang": "lang", "source": "source"}, "predicted", scoring.LABELS, "confidence")
+@query
+def group_comparison_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+    return relational.group_comparison(_scored(spark, d), {"lang": "lang", "source": "source"}, "predicted", scoring.LABELS, "confidence")
 
 
-@score_query
-def representative_examples(spark: SparkSession, d: str, most: int | None = scoring.SQL_HITS) -> DataFrame:
-    return scoring.representative_examples(_scored(spark, d, most), "doc_id")
+@query
+def representative_examples(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.representative_examples(_scored(spark, d), "doc_id")
 
 
 QUERIES |= QUESTIONS

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.components import connected_components
+from tessella.operators.stats import correlation
 
 
 def author_node(c: str) -> Column:
@@ -156,7 +157,7 @@ def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("triples"), F.round(100 * F.avg((F.col("degree") == 1).cast("double")), 2).alias("pct_degree_1"),
     )
     ends = both_ways(edges).join(d.select(F.col("node_id").alias("src"), F.col("degree").alias("x")), "src").join(d.select(F.col("node_id").alias("dst"), F.col("degree").alias("y")), "dst")
-    r = ends.agg(F.round(F.nanvl(F.corr("x", "y"), F.lit(None).cast("double")), 4).alias("assortativity"))
+    r = ends.agg(F.round(correlation(F.col("x"), F.col("y")), 4).alias("assortativity"))
     one = deg.crossJoin(c).crossJoin(s).crossJoin(r)  # four single rows
     n = F.col("n")
     return one.select(

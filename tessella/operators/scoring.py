@@ -20,27 +20,19 @@ NEGATIVE = ("bad", "clown", "disgusting", "hate", "horrible", "idiot", "idiotic"
 POSITIVE = ("amo", "best", "bien", "bueno", "excelente", "excellent", "genial", "good", "gracias", "great", "happy", "like", "love", "mejor", "nice", "thanks", "wonderful")
 
 
-#: Most hits of a class that count in the queries with SQL, which has this bound; a bound is no part of the scorer.
-SQL_HITS = 6
-
-
-def lexicon_scores(text: Column, most: int | None = None) -> tuple[Column, Column, Column]:
-    """Probabilities of the classes: softmax of one and a half a hit, and half for the middle.
-
-    All hits count, or up to ``most`` of each class.
-    """
+def lexicon_scores(text: Column) -> tuple[Column, Column, Column]:
+    """Probabilities of the classes: softmax of one and a half a hit, of which all count, and half for the middle."""
     words = F.transform(tokens(F.lower(F.coalesce(text, F.lit("")))), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    found = lambda lexicon: F.size(F.filter(words, lambda w: w.isin(*lexicon)))
-    hits = lambda lexicon: found(lexicon) if most is None else F.least(found(lexicon), F.lit(most))
+    hits = lambda lexicon: F.size(F.filter(words, lambda w: w.isin(*lexicon)))
     raw = (1.5 * hits(NEGATIVE), F.lit(0.5), 1.5 * hits(POSITIVE))
     top = F.greatest(*raw)  # no exponent is above 0, so none overflows
     total = F.exp(raw[0] - top) + F.exp(raw[1] - top) + F.exp(raw[2] - top)
     return tuple(F.round(F.exp(r - top) / total, 6) for r in raw)
 
 
-def score_texts(df: DataFrame, text: str, most: int | None = None) -> DataFrame:
-    """``df`` with lexicon probabilities and the derived columns; ``most`` as in :func:`lexicon_scores`."""
-    return enriched(df.withColumns({f"prob_{k}": p for k, p in zip(LABELS, lexicon_scores(F.col(text), most), strict=True)}))
+def score_texts(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with lexicon probabilities and the derived columns."""
+    return enriched(df.withColumns({f"prob_{k}": p for k, p in zip(LABELS, lexicon_scores(F.col(text)), strict=True)}))
 
 
 def score_batches(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[tuple[float, float, float]]]], batch: int = 32) -> DataFrame:

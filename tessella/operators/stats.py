@@ -13,6 +13,11 @@ def _java(cls: str, method: str, *args: Column) -> Column:
     return F.call_function("java_method", F.lit(cls), F.lit(method), *args).cast("double")
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r; null where a side does not vary (Spark's own ``corr`` divides by zero there)."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def t_test_p(r: Column, n: Column) -> Column:
     """Two-sided p of a correlation r over n pairs."""
     x, a = F.greatest(1 - r * r, F.lit(0.0)), F.greatest((n - 2) / 2.0, F.lit(0.5))
@@ -100,13 +105,13 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row ``n, rho, p`` over rows where both are known."""
     x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
     x = average_ranks(average_ranks(x, "a", "ra"), "b", "rb")
-    return x.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho")).select("n", F.round("rho", 4).alias("rho"), F.round(t_test_p(F.col("rho"), F.col("n")), 5).alias("p"))
+    return x.agg(F.count("*").alias("n"), correlation(F.col("ra"), F.col("rb")).alias("rho")).select("n", F.round("rho", 4).alias("rho"), F.round(t_test_p(F.col("rho"), F.col("n")), 5).alias("p"))
 
 
 def pearson_log1p(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row ``n, r, p`` of the logarithms of one plus the values."""
     x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    x = x.agg(F.count("*").alias("n"), F.corr(F.log1p(a), F.log1p(b)).alias("r"))
+    x = x.agg(F.count("*").alias("n"), correlation(F.log1p(a), F.log1p(b)).alias("r"))
     return x.select("n", F.round("r", 4).alias("r"), F.round(t_test_p(F.col("r"), F.col("n")), 5).alias("p"))
 
 

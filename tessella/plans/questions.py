@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,11 +10,9 @@ from pyspark.sql import functions as F
 from tessella.functions.text import tokens
 from tessella.operators import graph, relational, stats
 from tessella.operators.concentration import concentration
-from tessella.operators.scoring import SQL_HITS, score_texts
+from tessella.operators.scoring import score_texts
 from tessella.sources import tables
 
-Source = Callable[[SparkSession, str], DataFrame]
-
 
 def _beside(*rows: DataFrame) -> DataFrame:
     """Single rows side by side."""
@@ -33,9 +30,9 @@ def m1_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.top_k(channels, 5, F.desc("n_rows"), F.col("channel_id")).select("channel_id", "n_rows", "n_items", "n_authors", "pct").crossJoin(F.broadcast(whole))
 
 
-def m2_shared_audience(spark: SparkSession, sf_dir: str, source: Source = tables.graph_facts) -> DataFrame:
+def m2_shared_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much audience items share: authors of several items and channels, and projected density."""
-    facts, catalog = source(spark, sf_dir), tables.catalog(spark, sf_dir)
+    facts, catalog = tables.participation(spark, sf_dir), tables.catalog(spark, sf_dir)
     authors = relational.by_author(facts, catalog).agg(
         F.count("*").alias("n_authors"), F.count(F.when(F.col("n_items") > 1, 1)).alias("multi_item"), F.count(F.when(F.col("n_channels") > 1, 1)).alias("multi_channel")
     )
@@ -46,16 +43,16 @@ def m2_shared_audience(spark: SparkSession, sf_dir: str, source: Source = tables
     return _beside(authors, items, pairs).withColumn("density", density)
 
 
-def m3_bridges(spark: SparkSession, sf_dir: str, source: Source = tables.graph_facts) -> DataFrame:
+def m3_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authors without whom the item network falls apart further."""
-    edges = graph.bipartite_edges(source(spark, sf_dir))
+    edges = graph.bipartite_edges(tables.participation(spark, sf_dir))
     found = graph.bridge_authors(edges, tables.catalog(spark, sf_dir)).where("is_bridge")
     return found.select("author", "n_items", "n_channels", "delta_components", "lost_edges")
 
 
-def m4_tone_by_language(spark: SparkSession, sf_dir: str, most: int | None = SQL_HITS) -> DataFrame:
+def m4_tone_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tone of the corpus by group."""
-    scored = score_texts(tables.documents(spark, sf_dir), "text", most)
+    scored = score_texts(tables.documents(spark, sf_dir), "text")
     return relational.group_comparison(scored, {"lang": "lang"}, "predicted", ["NEG", "NEU", "POS"], "confidence")
 
 
@@ -66,7 +63,7 @@ def m5_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by("item_id", F.struct("views", -F.col("item_id"))).alias("most_viewed"), F.max_by("item_id", F.struct("n_rows", -F.col("item_id"))).alias("most_active"),
         F.max_by("item_id", F.struct("rows_per_1k_views", -F.col("item_id"))).alias("most_engaging"),
     )
-    return _beside(stats.spearman(items, "views", "n_rows").drop("p"), most)
+    return _beside(stats.spearman(items, "views", "n_rows"), most)
 
 
 def m6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +75,9 @@ def m6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beside(cover, top)
 
 
-def a1_recurrent_authors(spark: SparkSession, sf_dir: str, source: Source = tables.graph_facts) -> DataFrame:
+def a1_recurrent_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Do authors who come back cross channels."""
-    facts, catalog = source(spark, sf_dir), tables.catalog(spark, sf_dir)
+    facts, catalog = tables.participation(spark, sf_dir), tables.catalog(spark, sf_dir)
     back = relational.by_author(facts, catalog).where("n_rows > 1")
     return back.agg(
         F.count("*").alias("recurrent"), F.count(F.when(F.col("n_items") > 1, 1)).alias("several_items"), F.count(F.when(F.col("n_channels") > 1, 1)).alias("several_channels"),
@@ -92,7 +89,7 @@ def a2_likes_and_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likes against author diversity over items: three rank correlations."""
     items = relational.by_item(*_facts(spark, sf_dir))
     named = [("likes", "n_authors"), ("likes", "n_rows"), ("n_authors", "views")]
-    return reduce(DataFrame.unionByName, (stats.spearman(items, a, b).select(F.lit(f"{a} ~ {b}").alias("pair"), "n", "rho") for a, b in named))
+    return reduce(DataFrame.unionByName, (stats.spearman(items, a, b).select(F.lit(f"{a} ~ {b}").alias("pair"), "n", "rho", "p") for a, b in named))
 
 
 def a3_source_and_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,27 +98,23 @@ def a3_source_and_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.agreement(facts.join(catalog.select("item_id", "channel_id"), "item_id"), "source", "channel_id")
 
 
-def a4_tone_and_length(spark: SparkSession, sf_dir: str, most: int | None = SQL_HITS) -> DataFrame:
+def a4_tone_and_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tone against length: Kruskal-Wallis over the classes, and median lengths."""
-    scored = score_texts(tables.documents(spark, sf_dir), "text", most).withColumn("len", F.size(tokens(F.col("text"))))
+    scored = score_texts(tables.documents(spark, sf_dir), "text").withColumn("len", F.size(tokens(F.col("text"))))
     medians = scored.groupBy().pivot("predicted", ["NEG", "NEU", "POS"]).agg(F.median("len"))
-    return _beside(stats.kruskal(scored, "len", "predicted").drop("p"), medians.select(*(F.col(x).alias(f"median_{x}") for x in ("NEG", "NEU", "POS"))))
+    return _beside(stats.kruskal(scored, "len", "predicted"), medians.select(*(F.col(x).alias(f"median_{x}") for x in ("NEG", "NEU", "POS"))))
 
 
-def a5_visibility_and_position(spark: SparkSession, sf_dir: str, source: Source = tables.graph_facts) -> DataFrame:
+def a5_visibility_and_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does visibility predict an item's place in the network: two rank correlations."""
-    facts, catalog = source(spark, sf_dir), tables.catalog(spark, sf_dir)
+    facts, catalog = tables.participation(spark, sf_dir), tables.catalog(spark, sf_dir)
     edges = graph.bipartite_edges(facts)
     nodes = edges.select(F.col("dst").alias("node_id"), "item_id").distinct()
     pos = graph.degrees(nodes, graph.projection(edges, "dst", "src")).join(nodes, "node_id").join(catalog.select("item_id", "views"), "item_id")
-    return reduce(DataFrame.unionByName, (stats.spearman(pos, "views", c).select(F.lit(c).alias("measure"), "n", "rho") for c in ("degree", "strength")))
+    return reduce(DataFrame.unionByName, (stats.spearman(pos, "views", c).select(F.lit(c).alias("measure"), "n", "rho", "p") for c in ("degree", "strength")))
 
 
 QUESTIONS = {
     "q_m1": m1_concentration, "q_m2": m2_shared_audience, "q_m3": m3_bridges, "q_m4": m4_tone_by_language, "q_m5": m5_visibility, "q_m6": m6_coverage,
     "q_a1": a1_recurrent_authors, "q_a2": a2_likes_and_diversity, "q_a3": a3_source_and_channel, "q_a4": a4_tone_and_length, "q_a5": a5_visibility_and_position,
 }
-#: Those on the graph, over all rows instead of the subset that their SQL names.
-QUESTIONS |= {f"{k}_all_rows": partial(QUESTIONS[k], source=tables.participation) for k in ("q_m2", "q_m3", "q_a1", "q_a5")}
-#: Those on text scores, with all hits instead of as many as their SQL counts.
-QUESTIONS |= {f"{k}_all_hits": partial(QUESTIONS[k], most=None) for k in ("q_m4", "q_a4")}

@@ -35,14 +35,6 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def graph_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The subset of facts that the graph queries with SQL are given; the filter reaches the scan.
-
-    It is about 2% of the rows. The queries named ``*_all_rows`` take :func:`participation` instead.
-    """
-    return participation(spark, sf_dir).where("source = 'purchase' AND value > 100")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus of texts."""
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
