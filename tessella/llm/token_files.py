@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Chunks (twice as many at most) and pre-tokens whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 40
+REMEMBERED, REMEMBERED_LENGTH = 260_000, 40
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1000
 #: Rows that are encoded at a time.
-BLOCK = 1536
+BLOCK = 2048
 #: The byte-level format's own pre-token pattern (fixed value).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Stands for the ids of a chunk that no cut is allowed before; ids have four bytes each.
@@ -204,7 +204,7 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def blocks(texts: pa.Array, rows: int = BLOCK, size: int = 5 << 20) -> Iterator[tuple[int, int]]:
+def blocks(texts: pa.Array, rows: int = BLOCK, size: int = 6 << 20) -> Iterator[tuple[int, int]]:
     """(first row, rows) of blocks of up to ``rows`` rows and, past a first row, ``size`` bytes."""
     ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)), dtype=np.int64)
     k = 0
