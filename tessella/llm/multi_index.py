@@ -36,7 +36,7 @@ class IndexParams:
     """``cosine``: the least similarity of a link; ``block`` rows a block."""
 
     cosine: float = 0.98
-    #: Vectors of a cell on average, from which the codebooks' sizes follow; and their bound.
+    #: Vectors of one label in a cell on average, from which the codebooks' sizes follow; and their bound.
     per_cell: int = 64
     most_codewords: int = 4096
     #: Vectors that the codebooks are fitted on, at most, in order of a hash: eight a codeword.
@@ -47,7 +47,7 @@ class IndexParams:
     margin: float = 1.25
     block: int = 1024
 
-    def codewords(self, rows: int) -> int:
+    def codewords(self, rows: float) -> int:
         return max(min(int((rows / self.per_cell) ** 0.5), self.most_codewords, self.sample // 8), 4)
 
 
@@ -131,7 +131,9 @@ def link_vectors(rows: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
     classes = keyed.groupBy("label", "h", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     # A number of its own for each class, as vec_id may repeat; it stays in the written table.
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
-    words = p.codewords(classes.count())
+    # The size of the label of an average row: labels share a grid, but no cell.
+    sizes = classes.groupBy("label").agg(F.count("*").cast("double").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("s"), F.sum("k").alias("n")).first()
+    words = p.codewords(sizes["s"] / sizes["n"] if sizes["n"] else 0)
     picked = classes.orderBy(F.xxhash64("h", "least"), "least", "h").limit(8 * words).select("v").collect()
     books, limits = {}, {}
     for size in sorted({len(r["v"]) for r in picked}):
