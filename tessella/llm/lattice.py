@@ -243,7 +243,7 @@ def score_texts(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFra
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lattice(path, uses, ends)
-        for batch in _joined(batches, 250_000):
+        for batch in _joined(batches, 100_000):
             names = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
             c, lattice = batch.column(1).to_numpy(), own.words(names)
             base = np.log((c + 1) / (total + distinct + 1))
@@ -357,7 +357,7 @@ TALLY_SCHEMA = "uid long, doc_id long, learn boolean, word binary, n long, n_kno
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of each block with their counts in training rows (c) and in all rows (n)."""
     for batch in batches:
-        for k, size in blocks(batch.column(2), 1 << 20, 16 << 20):
+        for k, size in blocks(batch.column(2), 1 << 20, 8 << 20):
             part = batch.slice(k, size)
             coded, edges = _split(part.column(2))
             at, many = coded.indices.to_numpy(), len(coded.dictionary)
