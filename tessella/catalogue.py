@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from tessella.functions import ids, reltime
 from tessella.functions import text as T
 from tessella.operators import centrality, community, concentration, graph, paths, quality, relational, scoring, stats, text_stats
 from tessella.oracles import ORACLE
+from tessella.plans import relations
 from tessella.plans.questions import QUESTIONS
+from tessella.scratch import written
 from tessella.sources import tables
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -179,6 +182,21 @@ def distribution_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.distribution(_fc(spark, d)[0], "value", "source")
 
 
+@query
+def eda_descriptives(spark: SparkSession, d: str) -> DataFrame:
+    return relations.eda_descriptives(*_fc(spark, d), tables.documents(spark, d))
+
+
+@query
+def coverage_bias(spark: SparkSession, d: str) -> DataFrame:
+    return relations.coverage_bias(catalog_summary(spark, d))
+
+
+@query
+def boxplot_groups(spark: SparkSession, d: str) -> DataFrame:
+    return relations.boxplot_groups(_fc(spark, d)[0], "value", "source")
+
+
 @query
 def outlier_report(spark: SparkSession, d: str) -> DataFrame:
     return stats.outliers(_fc(spark, d)[0], ["value", "likes"])
@@ -208,14 +226,65 @@ def functional_dependencies(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def consistency_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Seventeen checks of ids, labels and repeated columns; some fail by nature of the tables."""
     f, c = _fc(spark, d)
-    x = f.join(c.select("item_id", "title", "channel_id"), "item_id", "left").withColumn("item_text", F.col("item_id").cast("string"))
+    x = f.join(c.select("item_id", "title", "channel_id"), "item_id", "left").withColumn("loud", F.upper("title"))
     checks = {
         "item known": F.col("title").isNull(), "likes agree with value": F.col("likes") != F.floor("value"), "author is not item": F.col("author_id") == F.col("item_id"),
         "source known": ~F.col("source").isin("click", "error", "purchase", "signup", "view"), "source equals channel": quality.differs("source", "channel_id"),
-        "title encoded": quality.encoded("title"),
+        "title encoded": quality.encoded("title"), "title agrees by key": quality.differs_by_key("title", "loud"),
     }
-    return quality.violations(x, checks)
+    table = lambda name: tables.table(spark, d, name)
+    pages = {"url holds page id": quality.lacks("url", "page_id"), "url encoded": quality.encoded("url")}
+    named = table("customer").withColumn("handle", F.concat(F.lit("/@"), "c_name", F.lit("/about")))
+    texts = table("documents").withColumn("length", F.length("text"))
+    orders = table("orders").join(table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left")
+    parts = [
+        quality.violations(x, checks), quality.violations(table("pages"), pages), quality.violations(named, {"handle equals name": quality.handles_differ("c_name", "handle")}),
+        quality.violations(texts, {"n_chars equals length": quality.differs("n_chars", "length"), "text known": F.col("text").isNull()}), quality.violations(orders, {"customer known": F.col("c_name").isNull()}),
+        relations.one_to_one_checks([(table("nation"), "n_nationkey", "n_name"), (table("customer"), "c_custkey", "c_name"), (table("part"), "p_partkey", "p_name"), (table("customer"), "c_nationkey", "c_mktsegment")]),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def problematic_variables(spark: SparkSession, d: str) -> DataFrame:
+    part = tables.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    odd = part.select(
+        "p_partkey", "p_name", F.lit("x").alias("constant"), F.lit(None).cast("string").alias("empty"), F.when(F.col("p_size") > 30, F.col("p_brand")).alias("partly"),
+        F.concat(F.lit("["), "p_type", F.lit("]")).alias("listed"), F.concat("p_size", F.lit(" vistas")).alias("counted"), F.concat(F.lit("hace "), "p_size", F.lit(" dias")).alias("ago"),
+        F.when(F.col("p_size") % 5 == 0, F.lit(" ")).otherwise(F.col("p_type")).alias("blanked"), F.concat("p_name", F.lit(" #"), "p_partkey").alias("label"),
+    )
+    return relations.problematic_variables(quality.profile(odd, "part", ("p_partkey",)))
+
+
+@query
+def completeness(spark: SparkSession, d: str) -> DataFrame:
+    docs = tables.table(spark, d, "documents")
+    return relations.completeness(docs, "documents").unionByName(relations.completeness(tables.table(spark, d, "events"), "events"))
+
+
+@query
+def imputed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Blank counts as zero with a flag; sizes with every fifth blank."""
+    text = F.when(F.col("p_size") % 5 == 0, F.lit(" ")).otherwise(F.col("p_size").cast("string"))
+    return tables.table(spark, d, "part").select("p_partkey", ids.imputed_count(text).alias("n"), ids.is_blank(text).alias("blank"))
+
+
+@query
+def edited_times(spark: SparkSession, d: str) -> DataFrame:
+    """The mark of an edited text told from its relative time."""
+    e = tables.table(spark, d, "events")
+    text = F.concat(F.lit("hace "), F.col("event_id") % 40, F.when(F.col("event_id") % 3 == 0, F.lit(" dias (editado)")).otherwise(F.lit(" dias")))
+    return e.select("event_id", reltime.is_edited(text).alias("edited"), reltime.without_edited(text).alias("text"))
+
+
+@query
+def coerced_times(spark: SparkSession, d: str) -> DataFrame:
+    """Dates as text, of which some can't be read: those are null."""
+    o = tables.table(spark, d, "orders")
+    text = F.when(F.col("o_orderkey") % 4 == 0, F.lit("soon")).when(F.col("o_orderkey") % 4 == 1, F.lit("")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    return o.select("o_orderkey", F.date_format(reltime.coerced_timestamp(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 # Scalar functions, on texts made of table columns.
@@ -265,7 +334,9 @@ def relative_times(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
-    return tables.documents(spark, d).select("doc_id", "lang", T.content_tokens(F.col("text")).alias("w"))
+    """Content words of all documents, cleaned once and written: every query reads them more than once."""
+    words = T.content_tokens(F.col("text"), list(T.DOMAIN_STOPWORDS)).alias("w")
+    return written(tables.documents(spark, d).select("doc_id", "lang", words), "words")
 
 
 @query
@@ -310,7 +381,7 @@ def tfidf_by_lang(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cleaning_effect(spark: SparkSession, d: str) -> DataFrame:
-    return text_stats.cleaning_effect(tables.documents(spark, d), "doc_id", "text")
+    return text_stats.cleaning_effect(tables.documents(spark, d), "doc_id", "text", list(T.DOMAIN_STOPWORDS))
 
 
 @query
@@ -513,6 +584,61 @@ def community_profile(spark: SparkSession, d: str) -> DataFrame:
     return graph.community_profile(_ge(spark, d), edges, by_category, c)
 
 
+def _authors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Author projection of the graph: nodes and edges."""
+    e = _ge(spark, d)
+    return e.select(F.col("src").alias("node_id")).distinct(), graph.projection(e, "src", "dst")
+
+
+@query
+def network_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return relations.network_metrics({"bipartite": _whole(spark, d), "authors": _authors(spark, d), "items": _items(spark, d)})
+
+
+@query
+def item_centrality(spark: SparkSession, d: str) -> DataFrame:
+    return relations.node_centrality(*_items(spark, d))
+
+
+@query
+def author_centrality(spark: SparkSession, d: str) -> DataFrame:
+    return relations.node_centrality(*_authors(spark, d))
+
+
+@query
+def centrality_correlations(spark: SparkSession, d: str) -> DataFrame:
+    both = ((relations.node_centrality(*_items(spark, d)), "items"), (relations.node_centrality(*_authors(spark, d)), "authors"))
+    return reduce(DataFrame.unionByName, (relations.centrality_correlations(written(df, "centralities"), name) for df, name in both))
+
+
+def _by_category(spark: SparkSession, d: str) -> DataFrame:
+    """A partition of observed items with a known answer: their categories."""
+    c = tables.catalog(spark, d).select(graph.item_node("item_id").alias("node_id"), F.col("category").alias("community"))
+    return _items(spark, d)[0].join(c, "node_id")
+
+
+@query
+def item_communities(spark: SparkSession, d: str) -> DataFrame:
+    return relations.item_communities(_ge(spark, d), _items(spark, d)[1], _by_category(spark, d), tables.catalog(spark, d))
+
+
+@query
+def community_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The weightiest words of the titles of each community, taken as one document."""
+    c = tables.catalog(spark, d).select("item_id", "category", F.split(F.lower("title"), " ").alias("w"))
+    return text_stats.tfidf_by_group(c, "category", "item_id", F.col("w"), 12)
+
+
+@query
+def partition_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Detected communities of items against the partition by category and by channel."""
+    nodes, edges = _items(spark, d)
+    found = written(community.detect(nodes, edges), "communities")
+    c = tables.catalog(spark, d).select(graph.item_node("item_id").alias("node_id"), "category", "channel_id")
+    both = found.join(c, "node_id")
+    return reduce(DataFrame.unionByName, (stats.agreement(both, "community", k).withColumn("against", F.lit(k)) for k in ("category", "channel_id")))
+
+
 # Scores.
 
 
@@ -540,4 +666,9 @@ def representative_examples(spark: SparkSession, d: str) -> DataFrame:
     return scoring.representative_examples(_scored(spark, d), "doc_id")
 
 
+@query
+def score_summary(spark: SparkSession, d: str) -> DataFrame:
+    return relations.score_summary(_scored(spark, d))
+
+
 QUERIES |= QUESTIONS

@@ -31,13 +31,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def normalize_id(text: Column, unicode: bool = False) -> Column:
+def normalize_id(text: Column, unicode: bool = True) -> Column:
     """An id: compatibility form, stripped, case kept; null and ``nan`` are empty."""
     out = strip(nfkc(F.coalesce(text, F.lit("")), unicode))
     return F.when(F.lower(out) == "nan", "").otherwise(out)
 
 
-def normalize_display(text: Column, unicode: bool = False) -> Column:
+def normalize_display(text: Column, unicode: bool = True) -> Column:
     """A label: as an id, with runs of white space as one space; case and accents kept."""
     return F.regexp_replace(normalize_id(text, unicode), SPACE, " ")
 
@@ -54,7 +54,7 @@ def is_percent_encoded(text: Column) -> Column:
     return F.coalesce(text.rlike("%[0-9A-Fa-f]{2}"), F.lit(False))
 
 
-def normalize_handle(text: Column, unicode: bool = False) -> Column:
+def normalize_handle(text: Column, unicode: bool = True) -> Column:
     """A handle: percent escapes decoded, slashes in front and all after the next one dropped, one @."""
     own = normalize_id(text, unicode)
     # + stays as it is, and malformed escapes leave the text alone.
@@ -82,6 +82,16 @@ def parse_count(text: Column) -> Column:
     return F.when(digits != "", number.try_cast("double") * factor)
 
 
+def is_blank(text: Column) -> Column:
+    """A count that is left out: white space alone; null is unknown, not blank."""
+    return F.coalesce(strip(text) == "", F.lit(False))
+
+
+def imputed_count(text: Column) -> Column:
+    """A written count, with zero for a blank one: counters are left out where they are zero."""
+    return F.when(is_blank(text), F.lit(0.0)).otherwise(parse_count(text))
+
+
 def tri_state(text: Column) -> Column:
     """True and False as written, or lower-cased; anything else is null."""
     return F.when(text.isin("True", "true"), True).when(text.isin("False", "false"), False)

@@ -13,6 +13,8 @@ UNIT_DAYS = {
 }
 #: Upper bounds in days and the labels below them (fixed values).
 BUCKETS = ((7, "<1 semana"), (31, "1 sem - 1 mes"), (366, "1 mes - 1 ano"), (731, "1 - 2 anos"))
+#: The mark of an edited text, at the end (fixed pattern).
+_EDITED = r"(?i)\s*\(editado\)\s*$"
 _PATTERN = r"(?i)^\s*hace\s+([0-9]+)\s+([a-zá-úñ]+)"
 
 
@@ -32,3 +34,18 @@ def relative_bucket(text: Column) -> Column:
     for bound, label in BUCKETS:
         out = out.when(days < bound, label)
     return out.otherwise(">2 anos")
+
+
+def is_edited(text: Column) -> Column:
+    """Whether a relative time says that the text was edited."""
+    return F.coalesce(text.rlike(_EDITED), F.lit(False))
+
+
+def without_edited(text: Column) -> Column:
+    """A relative time without that mark and the space before it."""
+    return F.regexp_replace(text, _EDITED, "")
+
+
+def coerced_timestamp(text: Column) -> Column:
+    """A timestamp as text; null, never an error, if it can't be read."""
+    return F.trim(text).try_cast("timestamp")

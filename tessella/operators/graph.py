@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.components import connected_components
 from tessella.operators.stats import correlation
+from tessella.scratch import written
 
 
 def author_node(c: str) -> Column:
@@ -201,12 +202,31 @@ def peripheral(nodes: DataFrame, edges: DataFrame, small: int = 5) -> DataFrame:
     return label.join(sizes, "component").join(degrees(nodes, edges), "node_id").select("node_id", "component", "size", "degree", kind.alias("kind"))
 
 
+def _single_ties(nodes: DataFrame, firm: DataFrame, lost: DataFrame) -> DataFrame:
+    """``src, i, j``: ties between groups of items that hang on the one author ``src``.
+
+    Groups are the components of the ``firm`` pairs. Two groups that several authors tie together
+    stay joined too, and are merged until each pair of groups hangs on one author.
+    """
+    ties, merged = lost, components(nodes, firm.select("src", "dst", "weight"))
+    while True:
+        group = merged.toDF("node_id", "g")
+        ties = ties.join(group.toDF("i", "gi"), "i").join(group.toDF("j", "gj"), "j").where("gi <> gj")
+        ties = written(ties.select("src", F.least("gi", "gj").alias("i"), F.greatest("gi", "gj").alias("j")).distinct(), "ties")
+        shared = ties.groupBy("i", "j").agg(F.count("*").alias("n")).where("n > 1").select(F.col("i").alias("src"), F.col("j").alias("dst"))
+        if shared.isEmpty():
+            return ties
+        merged = components(ties.select(F.explode(F.array("i", "j")).alias("node_id")).distinct(), shared)
+
+
 def bridge_authors(edges: DataFrame, catalog: DataFrame, communities: DataFrame | None = None) -> DataFrame:
     """Per author: items, channels, communities touched, and what the item projection loses without them.
 
     Only authors of several items can matter. Taking one away lowers the weight of each of their
-    item pairs by one; pairs at zero vanish. Components are counted for all authors at once: a
-    lost pair's component, without the author's lost edges, is labelled under (author, node).
+    item pairs by one; pairs at zero vanish. Items that stay joined whoever leaves are one node
+    from the start, so only ties that hang on a single author are left. Components are counted for
+    all authors at once: of what is left, the parts that an author's ties lie in, without those
+    ties, are labelled under (author, node).
     """
     items = projection(edges, "dst", "src")
     by = edges.select("src", "dst").join(catalog.select(item_node("item_id").alias("dst"), "channel_id"), "dst", "left")
@@ -222,10 +242,14 @@ def bridge_authors(edges: DataFrame, catalog: DataFrame, communities: DataFrame
     pairs = own.join(own.select("src", F.col("i").alias("j")), "src").where("i < j")
     # An author alone holds a pair of weight one.
     lost = pairs.join(items.where("weight = 1").select(F.col("src").alias("i"), F.col("dst").alias("j")), ["i", "j"]).select("src", "i", "j")
-    comp = components(edges.select(F.col("dst").alias("node_id")).distinct(), items)
-    touched = lost.join(comp.toDF("i", "component"), "i").select("src", "component").distinct()
-    member = items.join(comp.toDF("src", "component"), "src").select("component", F.col("src").alias("i"), F.col("dst").alias("j"))
-    left = touched.join(member, "component").join(lost, ["src", "i", "j"], "left_anti")
+    lost = written(lost, "lost")
+    ties = _single_ties(edges.select(F.col("dst").alias("node_id")).distinct(), items.where("weight > 1"), lost)
+    ends = ties.select(F.explode(F.array("i", "j")).alias("node_id")).distinct()
+    member = ties.select("i", "j").distinct()
+    comp = written(components(ends, member.select(F.col("i").alias("src"), F.col("j").alias("dst"))), "parts")
+    touched = written(ties.join(comp.toDF("i", "component"), "i").select("src", "component").distinct(), "touched")
+    member = member.join(comp.toDF("i", "component"), "i")
+    left = touched.join(member, "component").join(ties, ["src", "i", "j"], "left_anti")
     key = lambda c: F.concat_ws(" ", "src", c)
     everyone = touched.join(comp.toDF("node", "component"), "component").select(key("node").alias("node_id"), "src", "component")
     after = components(everyone.select("node_id"), left.select(key("i").alias("src"), key("j").alias("dst")))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.scratch import written
+
 
 def _java(cls: str, method: str, *args: Column) -> Column:
     """A static method of a class on Spark's class path; it returns text."""
@@ -56,7 +58,7 @@ def distribution(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
         n.alias("n"), F.round(F.sum(x), 4).alias("total"), F.min(x).alias("min"), at(0.25).alias("p25"), at(0.5).alias("median"),
         F.round(F.avg(x), 2).alias("mean"), at(0.75).alias("p75"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max(x).alias("max"),
         F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 2).alias("std"),
-        F.round(F.coalesce(adjusted_skew(F.skewness(x), n), F.lit(0.0)), 3).alias("skew"),
+        (F.round(F.coalesce(adjusted_skew(F.skewness(x), n), F.lit(0.0)), 3) + 0.0).alias("skew"),
     )
 
 
@@ -90,14 +92,33 @@ def outliers(df: DataFrame, values: list[str]) -> DataFrame:
     )
 
 
+#: Rows that one ordered pass takes; more are cut into ranges, each with its own pass.
+ONE_PASS = 2_000_000
+
+
+def cumulated(df: DataFrame, order: str, mass: str, name: str, descending: bool = False, most: int = ONE_PASS) -> DataFrame:
+    """``df``, one row a value of ``order``, with the running sum of ``mass`` up to and with each row.
+
+    Up to ``most`` rows are summed in one ordered pass. More are cut into ranges of ``order``, which
+    are written, summed side by side, and moved by the sums of the ranges before: a row a range.
+    """
+    by = F.col(order).desc() if descending else F.col(order)
+    if df.count() <= most:
+        return df.withColumn(name, F.sum(mass).over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)))
+    cut = written(df.repartitionByRange(by).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = cut.groupBy("_range").agg(F.sum(mass).alias("_s")).select("_range", F.coalesce(before, F.lit(0)).alias("_base"))
+    own = F.sum(mass).over(Window.partitionBy("_range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_own", own).join(F.broadcast(sums), "_range").withColumn(name, F.col("_own") + F.col("_base")).drop("_own", "_base", "_range")
+
+
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """``df`` with average ranks of a column; ties share the mean of their places.
 
     Places are counted over distinct values, which need the one ordered pass.
     """
     counts = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_m"))
-    up = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select("_v", (F.sum("_m").over(up) - (F.col("_m") - 1) / 2.0).alias(name))
+    ranks = cumulated(counts, "_v", "_m", "_up").select("_v", (F.col("_up") - (F.col("_m") - 1) / 2.0).alias(name))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
@@ -139,8 +160,7 @@ def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
     """One row ``n1, n2, u, p``, two-sided, corrected for ties and continuity; u is of the first group."""
     x = df.where(F.col(value).isNotNull()).select(F.col(value).alias("x"), first.alias("g")).where("g is not null")
     counts = x.groupBy("x").agg(F.count("*").alias("t"), F.count(F.when(F.col("g"), 1)).alias("f"))
-    up = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select("t", "f", (F.sum("t").over(up) - (F.col("t") - 1) / 2.0).alias("r"))
+    ranked = cumulated(counts, "x", "t", "up").select("t", "f", (F.col("up") - (F.col("t") - 1) / 2.0).alias("r"))
     s = ranked.agg(F.sum("f").alias("n1"), F.sum("t").alias("n"), F.sum(F.col("f") * F.col("r")).alias("r1"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t").cast("double")).alias("tie"))
     n1, n = F.col("n1"), F.col("n")
     n2 = n - n1
@@ -154,8 +174,7 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row ``n, k, h, p`` over the groups of a column, corrected for ties."""
     x = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(value).alias("x"), F.col(group).alias("g")).agg(F.count("*").alias("m"))
     t = x.groupBy("x").agg(F.sum("m").alias("t"))
-    up = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = t.select("x", "t", (F.sum("t").over(up) - (F.col("t") - 1) / 2.0).alias("r"))
+    ranks = cumulated(t, "x", "t", "up").select("x", "t", (F.col("up") - (F.col("t") - 1) / 2.0).alias("r"))
     sums = x.join(ranks.select("x", "r"), "x").groupBy("g").agg(F.sum("m").alias("ng"), F.sum(F.col("m") * F.col("r")).alias("rg"))
     whole = sums.agg(F.count("*").alias("k"), F.sum("ng").alias("n"), F.sum(F.col("rg") * F.col("rg") / F.col("ng")).alias("s"))
     tie = ranks.agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t").cast("double")).alias("tie"))

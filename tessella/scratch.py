@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made and set.
+    Only where that setting is absent and all runs on one machine, as in tests, a temporary folder
+    is made and set; on a cluster its absence is an error, as executors share no temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -47,3 +51,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def replaced(old: DataFrame, df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written, after which ``old``, a table of :func:`written` that nothing else reads, is removed."""
+    out = written(df, tag)
+    for file in old.inputFiles()[:1]:
+        remove(old.sparkSession, file.rsplit("/", 1)[0])
+    return out

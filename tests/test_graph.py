@@ -128,3 +128,58 @@ def test_communities_of_two_cliques(spark, method):
         return
     assert of["a"] != of["w"] and of["q"] == "C2"
     assert graph.modularity(edges, community.detect(nodes, edges, method)).first()["modularity"] == pytest.approx(0.42308, abs=1e-4)
+
+
+def test_components_too_large_for_a_task_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(community, "MOST_EDGES", 2)
+    nodes, edges = made(spark, [("a", "b", 1), ("b", "c", 1), ("a", "c", 1)])
+    with pytest.raises(ValueError, match="up to 2 edges"):
+        community.detect(nodes, edges)
+
+
+def test_bridge_authors_against_removal(spark):
+    """Every author taken away in turn, and components counted anew."""
+    rng = random.Random(11)
+    for items, authors in ((14, 9), (30, 40), (6, 12)):
+        seen = sorted({(rng.randrange(authors), rng.randrange(items)) for _ in range(int(items * 1.7))})
+        rows = [(f"A:{a}", f"V:{v}", 1) for a, v in seen]
+        edges = spark.createDataFrame(rows, "src string, dst string, weight long")
+        catalog = spark.createDataFrame([(v, f"c{v % 3}") for v in range(items)], "item_id int, channel_id string")
+
+        def parts(without, seen=seen):
+            """Components of the items, and item pairs, without one author."""
+            pairs = {(v, w) for a, v in seen for b, w in seen if a == b and a != without and v < w}
+            of = {v: v for _, v in seen}
+            for _ in of:
+                for v, w in pairs:
+                    of[v] = of[w] = min(of[v], of[w])
+            return len(set(of.values())), len(pairs)
+
+        whole, pairs = parts(None)
+        want = {f"A:{a}": (parts(a)[0] - whole, pairs - parts(a)[1]) for a, _ in seen}
+        assert {r["author"]: (r["delta_components"], r["lost_edges"]) for r in graph.bridge_authors(edges, catalog).collect()} == want
+
+
+def test_pagerank_and_cores_against_plain_loops(spark):
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(25)]
+    pairs = sorted({tuple(sorted(rng.sample(names[:22], 2))) for _ in range(60)})
+    nodes = spark.createDataFrame([(n,) for n in names], "node_id string")
+    edges = spark.createDataFrame([(a, b, rng.randrange(1, 5)) for a, b in pairs], "src string, dst string, weight long")
+    weight = {}
+    for a, b, w in edges.collect():
+        weight[a, b] = weight[b, a] = w
+    out = {n: sum(w for (a, _), w in weight.items() if a == n) for n in names}
+    rank = dict.fromkeys(names, 1 / 25)
+    for _ in range(200):
+        lost = sum(rank[n] for n in names if not out[n])
+        rank = {n: 0.85 * (sum(rank[a] * w / out[a] for (a, b), w in weight.items() if b == n) + lost / 25) + 0.15 / 25 for n in names}
+    got = {r["node_id"]: r["pagerank"] for r in centrality.pagerank(nodes, edges, tolerance=1e-9).collect()}
+    assert got == pytest.approx(rank, abs=2e-6)
+    core, left, k = {}, set(names), 0
+    while left:
+        low = [n for n in left if sum(b in left for a, b in weight if a == n) <= k]
+        core |= dict.fromkeys(low, k)
+        left -= set(low)
+        k += not low
+    assert {r["node_id"]: r["core"] for r in centrality.k_core(nodes, edges).collect()} == core

@@ -104,3 +104,22 @@ def test_scores(spark):
         return lambda texts: [(0.2, 0.3, 0.5)] * len(texts)
 
     assert scoring.score_batches(df, "t", load).where("predicted = 'POS' and not low_confidence").count() == 3
+
+
+def test_running_sums_by_ranges_equal_one_pass(spark):
+    """Cut into ranges or not, and in either order; a value's mass may be large."""
+    rows = [(float(v), (v * 37) % 11 + 1) for v in range(-40, 60)]
+    df = spark.createDataFrame(rows, "v double, m long").repartition(5)
+    for down in (False, True):
+        total, want = 0, {}
+        for v, m in sorted(rows, reverse=down):
+            total += m
+            want[v] = total
+        for most in (10**6, 0):
+            assert {r["v"]: r["up"] for r in stats.cumulated(df, "v", "m", "up", down, most).collect()} == want
+    assert stats.cumulated(df.limit(0), "v", "m", "up", most=-1).count() == 0
+
+
+def test_correlation_without_spread(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
+    assert stats.spearman(df, "a", "b").first()["rho"] is None and stats.pearson_log1p(df, "a", "b").first()["p"] is None
