@@ -32,26 +32,32 @@ def keys_of(host: Column, segment: Column) -> Column:
     return F.when(host != "", F.array_distinct(F.concat(own, parents))).otherwise(F.array().cast("array<string>"))
 
 
-def path_prefixes(url: Column) -> Column:
-    """The path up to each of its segments, case and file names kept, without query and fragment."""
+def path_prefixes(url: Column, deepest: Column | None = None) -> Column:
+    """The path up to each of its segments, case and file names kept, without query and fragment.
+
+    ``deepest`` segments at most, if given: longer prefixes of a long path are never made.
+    """
     path = F.regexp_extract(F.trim(F.coalesce(url, F.lit(""))), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)", 1)
     parts = F.split(path, "/")
+    if deepest is not None:
+        parts = F.slice(parts, F.lit(1), F.greatest(deepest, F.lit(1)))
     upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     return F.filter(upto, lambda p: (p != "") & ~p.endswith("/"))
 
 
-def covering(host: Column, url: Column) -> Column:
+def covering(host: Column, url: Column, deepest: Column | None = None) -> Column:
     """All entries that could cover a URL: those of :func:`keys_of`, and the host with every path prefix."""
     keys = keys_of(host, first_segment(url))
-    return F.when(host != "", F.array_union(keys, F.transform(path_prefixes(url), lambda p: F.concat_ws("/", host, p)))).otherwise(keys)
+    return F.when(host != "", F.array_union(keys, F.transform(path_prefixes(url, deepest), lambda p: F.concat_ws("/", host, p)))).otherwise(keys)
 
 
 def validity(entries: DataFrame) -> DataFrame:
     """``(entry, list, since, until)`` from dated events ``(entry, list, day, action)``.
 
     An ``add`` holds from its day until the next event of the same entry and list (exclusive; null:
-    for good). Hosts are lowered, paths keep their case. On one day a ``remove`` comes after an ``add``, so it wins. Events that lack an
-    entry, a day or a known action are ignored; repeated events change nothing.
+    for good). Hosts are lowered, paths keep their case. On one day a ``remove`` comes after an
+    ``add``, so it wins. Events that lack an entry, a day or a known action are ignored; repeated
+    events change nothing.
     """
     host = F.substring_index("entry", "/", 1)
     known = entries.where("entry is not null and day is not null and action in ('add', 'remove')").select(
@@ -70,7 +76,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     Returns per capture ``page_id, day, host, n_active`` (active entries that cover the URL),
     ``entry, list`` (the longest of them, of ties the smallest), ``since`` and ``listed``. URLs that
     are null or not absolute, and captures without a day, are covered by nothing. Captures may
-    repeat. A host with many captures is a skewed join side, which is split at run time: the
+    repeat; without captures there are no rows, without entries none is listed. A host with many captures is a skewed join side, which is split at run time: the
     other side has a few rows for each entry.
     """
     rows = captures.select(
@@ -80,10 +86,12 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
         host_of(F.col("url")).alias("host"),
         F.col("url").cast("string").alias("url"),
     )
-    keys = rows.select("uid", "page_id", "day", "host", F.explode_outer(covering(F.col("host"), F.col("url"))).alias("entry"))
     spans = validity(entries)
-    active = (keys["entry"] == spans["entry"]) & (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
-    met = keys.join(spans, active, "left").select("uid", "page_id", "day", "host", spans["entry"].alias("entry"), "list", "since")
+    # No entry is covered by a longer path than the deepest entry's.
+    depth = spans.agg(F.coalesce(F.max(F.size(F.split("entry", "/")) - 1), F.lit(0)).alias("deepest"))  # one row
+    keys = rows.crossJoin(F.broadcast(depth)).select("uid", "page_id", "day", "host", F.explode_outer(covering(F.col("host"), F.col("url"), F.col("deepest"))).alias("key"))
+    active = (F.col("key") == F.col("entry")) & (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
+    met = keys.join(spans, active, "left").select("uid", "page_id", "day", "host", "entry", "list", "since")
     best = F.min(F.when(F.col("entry").isNotNull(), F.struct((-F.length("entry")).alias("k"), "entry", "list", "since"))).alias("best")
     out = met.groupBy("uid", "page_id", "day", "host").agg(F.count("entry").alias("n_active"), best)
     return out.select("page_id", "day", "host", "n_active", "best.entry", "best.list", "best.since", (F.col("n_active") > 0).alias("listed"))
