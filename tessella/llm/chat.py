@@ -45,9 +45,10 @@ def preferences(turns: DataFrame, pairs: DataFrame, role: str = "assistant") ->
     Turns are ordered by turn, role and text; repeated turns stay. A null role is ``unknown``, a
     null text is empty. Turns without ``conv_id`` belong to no conversation. A conversation that is
     missing or null has no turns: the prompt is empty and so is its completion. A conversation may
-    stand in many pairs; its turns then move once for each.
+    stand in many pairs; its turns then move once for each. Repeated rows of ``pairs`` are one pair;
+    without pairs there are no rows.
     """
-    sides = pairs.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("chosen_id").cast("long").alias("chosen_id"), F.col("rejected_id").cast("long").alias("rejected_id"))
+    sides = pairs.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("chosen_id").cast("long").alias("chosen_id"), F.col("rejected_id").cast("long").alias("rejected_id")).distinct()
     said = turns.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
