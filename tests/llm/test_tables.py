@@ -100,6 +100,26 @@ def test_url_paths_against_brute_force(spark):
     assert got[901]["entry"] == "ex.org/Ads/x.html"
 
 
+def test_url_ties_repeats_and_clashes(spark):
+    """Equal entries of two lists, repeated captures and events, long paths, columns of results' names."""
+    deep = "http://a.org/" + "x/" * 5000 + "y"
+    pages = spark.createDataFrame([(1, "http://a.org/x/z", "2024-05-01", "h", True), (1, "http://a.org/x/z", "2024-05-01", "h", True), (2, deep, "2024-05-01", "h", True)], "page_id long, url string, day string, host string, listed boolean")
+    events = [("a.org/x", "n", "2024-01-01", "add"), ("a.org/x", "m", "2024-02-01", "add"), ("a.org/x", "m", "2024-02-01", "add"), ("a.org", "k", "2024-01-01", "add"), ("a.org/x", None, "2024-03-01", "add")]
+    got = url_lists.filter_urls(pages, spark.createDataFrame(events, "entry string, list string, day string, action string")).collect()
+    assert [(r["n_active"], r["entry"], r["list"], str(r["since"]), r["host"]) for r in got] == [(4, "a.org/x", "", "2024-03-01", "a.org")] * 3
+
+
+def test_preferences_of_repeats(spark):
+    """Repeated turns stay and are ordered by role and text; repeated pairs are one; clashing columns are ignored."""
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "b", 0), (1, 0, "user", "a", 0), (1, 0, "user", "a", 0), (2, 0, "user", "a", 0), (2, 0, "user", "a", 0), (2, 0, "user", "c", 0)],
+        "conv_id long, turn long, role string, text string, pair_id int",
+    )
+    pairs = spark.createDataFrame([(7, 1, 2), (7, 1, 2), (8, 1, 1), (None, 1, 2)], "pair_id long, chosen_id long, rejected_id long")
+    got = sorted((r["pair_id"] or 0, r["n_prefix"], r["n_chosen"], r["n_rejected"]) for r in chat.preferences(turns, pairs).collect())
+    assert got == [(0, 2, 1, 1), (7, 2, 1, 1), (8, 3, 0, 0)]
+
+
 def test_preferences(spark):
     rng = random.Random(3)
     turns, convs = [], {}
