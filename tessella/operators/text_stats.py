@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.operators.stats import ONE_PASS
+from tessella.scratch import written
 
 
 def term_counts(df: DataFrame, terms: Column) -> DataFrame:
@@ -21,12 +23,15 @@ def top_terms(df: DataFrame, terms: Column, k: int) -> DataFrame:
 def top_ngrams(df: DataFrame, key: str, words: Column, n: int, k: int) -> DataFrame:
     """The k most frequent n-grams with their share of all n-grams and of documents that have words.
 
-    N-grams don't cross documents. Counts are gathered per document first, so a document counts
-    once without a distinct aggregation over all places.
+    N-grams don't cross documents; rows that repeat a key are documents of their own. Each n-gram
+    comes once for every place and once for its document, so one shuffle by term, after partial
+    sums, gives both counts.
     """
-    docs = df.select(F.col(key).alias("key"), words.alias("w")).where("size(w) > 0")
-    grams = docs.select("key", F.explode(T.ngrams(F.col("w"), n)).alias("term"))
-    counted = grams.groupBy("key", "term").agg(F.count("*").alias("m")).groupBy("term").agg(F.sum("m").alias("frequency"), F.count("*").alias("documents"))
+    docs = df.select(words.alias("w")).where("size(w) > 0")
+    grams = docs.select(T.ngrams(F.col("w"), n).alias("g"))
+    one = lambda f, d: lambda x: F.struct(x.alias("term"), F.lit(f).alias("f"), F.lit(d).alias("d"))
+    both = grams.select(F.explode(F.concat(F.transform("g", one(1, 0)), F.transform(F.array_distinct("g"), one(0, 1)))).alias("x")).select("x.*")
+    counted = both.groupBy("term").agg(F.sum("f").alias("frequency"), F.sum("d").alias("documents"))
     sums = docs.agg(F.count("*").alias("nd"), F.sum(F.greatest(F.size("w") - n + 1, F.lit(0))).alias("ng"))
     best = counted.orderBy(F.desc("frequency"), "term").limit(k).crossJoin(F.broadcast(sums))  # one row
     return best.select(
@@ -34,7 +39,24 @@ def top_ngrams(df: DataFrame, key: str, words: Column, n: int, k: int) -> DataFr
     )
 
 
-def tfidf_by_group(df: DataFrame, group: str, order: str, words: Column, k: int) -> DataFrame:
+def _followed(ends: DataFrame, most: int) -> DataFrame:
+    """``ends(g, o, f, l)`` with the ``f`` of the next row of its group, if there is one, as ``after``.
+
+    Up to ``most`` rows are ordered group by group. More are cut into ranges of group and order,
+    whatever the groups' sizes; the last row of a range is followed by the first of the next.
+    """
+    if ends.count() <= most:
+        return ends.withColumn("after", F.lead("f").over(Window.partitionBy("g").orderBy("o"))).where("after is not null")
+    cut = written(ends.repartitionByRange("g", "o").withColumn("_range", F.spark_partition_id()), "ends")
+    own = Window.partitionBy("_range").orderBy("g", "o")
+    placed = cut.withColumn("_next", F.lead(F.struct("g", "f")).over(own))
+    firsts = cut.groupBy("_range").agg(F.min(F.struct("g", "o", "f")).alias("x"))  # one row a range
+    firsts = firsts.select("_range", F.lead("x").over(Window.orderBy("_range")).alias("x")).select("_range", F.struct("x.g", "x.f").alias("_first"))
+    placed = placed.join(F.broadcast(firsts), "_range").withColumn("_next", F.coalesce("_next", "_first"))
+    return placed.where("_next.g = g").withColumn("after", F.col("_next.f")).drop("_next", "_first", "_range")
+
+
+def tfidf_by_group(df: DataFrame, group: str, order: str, words: Column, k: int, most: int = ONE_PASS) -> DataFrame:
     """The k weightiest words and word pairs of each group, taken as one document.
 
     Term frequency is 1 + ln(count), the inverse frequency ln((1 + N) / (1 + df)) + 1, and weights
@@ -46,8 +68,7 @@ def tfidf_by_group(df: DataFrame, group: str, order: str, words: Column, k: int)
     """
     docs = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), words.alias("w")).where("size(w) > 0")
     ends = docs.select("g", "o", F.element_at("w", 1).alias("f"), F.element_at("w", -1).alias("l"))
-    after = F.lead("f").over(Window.partitionBy("g").orderBy("o"))
-    border = ends.select("g", F.concat_ws(" ", "l", after).alias("term"), after.isNotNull().alias("x")).where("x").drop("x")
+    border = _followed(ends, most).select("g", F.concat_ws(" ", "l", "after").alias("term"))
     inside = docs.select("g", F.explode(F.concat("w", T.ngrams(F.col("w"), 2))).alias("term"))
     counts = inside.unionByName(border).groupBy("g", "term").agg(F.count("*").alias("c"))
     n = docs.select("g").distinct().agg(F.count("*").alias("n"))  # one row

@@ -123,3 +123,12 @@ def test_running_sums_by_ranges_equal_one_pass(spark):
 def test_correlation_without_spread(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
     assert stats.spearman(df, "a", "b").first()["rho"] is None and stats.pearson_log1p(df, "a", "b").first()["p"] is None
+
+
+def test_tfidf_by_ranges_equals_one_pass(spark):
+    """Border pairs of neighbours that stand in different ranges are found too."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["x", "x", "x", "y", None]), [rng.choice("abcde") for _ in range(rng.randrange(4))]) for i in range(120)]
+    df = spark.createDataFrame(rows, "o long, g string, w array<string>").repartition(7)
+    one, cut = (sorted(map(tuple, text_stats.tfidf_by_group(df, "g", "o", F.col("w"), 40, most).collect())) for most in (10**6, 0))
+    assert one == cut and any(" " in r[2] for r in one)
