@@ -72,9 +72,9 @@ def tfidf_by_group(df: DataFrame, group: str, order: str, words: Column, k: int,
     inside = docs.select("g", F.explode(F.concat("w", T.ngrams(F.col("w"), 2))).alias("term"))
     counts = inside.unionByName(border).groupBy("g", "term").agg(F.count("*").alias("c"))
     n = docs.select("g").distinct().agg(F.count("*").alias("n"))  # one row
-    df_ = counts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = counts.join(df_, "term").crossJoin(F.broadcast(n)).where("n > 1")
-    raw = raw.select("g", "term", ((1 + F.log("c")) * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    # A term has as many rows as groups that hold it; weights are written, as norms and ranks both read them.
+    raw = counts.withColumn("df", F.count("*").over(Window.partitionBy("term"))).crossJoin(F.broadcast(n)).where("n > 1")
+    raw = written(raw.select("g", "term", ((1 + F.log("c")) * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w")), "weights")
     norms = raw.groupBy("g").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weighted = raw.join(F.broadcast(norms), "g").select("g", "term", F.round(F.col("w") / F.col("norm"), 5).alias("weight"))  # one row a group
     place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("weight"), "term"))

@@ -36,5 +36,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus of texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    """Corpus of texts; a table in fewer pieces than there are cores is dealt out, a large one stays as it is."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
