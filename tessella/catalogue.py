@@ -13,7 +13,7 @@ from tessella.functions import text as T
 from tessella.operators import centrality, community, concentration, graph, paths, quality, relational, scoring, stats, text_stats
 from tessella.oracles import ORACLE
 from tessella.plans import relations
-from tessella.plans.questions import QUESTIONS
+from tessella.plans.questions import QUESTIONS, questions_answers
 from tessella.scratch import written
 from tessella.sources import tables
 
@@ -197,6 +197,28 @@ def boxplot_groups(spark: SparkSession, d: str) -> DataFrame:
     return relations.boxplot_groups(_fc(spark, d)[0], "value", "source")
 
 
+@query
+def concentration_series(spark: SparkSession, d: str) -> DataFrame:
+    """Concentration of rows, likes and authors over items, channels and authors: seven series."""
+    f, c = _fc(spark, d)
+    g = f.join(c.select("item_id", "channel_id"), "item_id")
+    rows, likes, people = F.count("*"), F.sum("likes"), F.count_distinct("author_id")
+    series = {
+        "rows of items": (f, "item_id", rows), "rows of channels": (g, "channel_id", rows), "rows of authors": (f, "author_id", rows), "likes of items": (f, "item_id", likes),
+        "likes of channels": (g, "channel_id", likes), "likes of authors": (f, "author_id", likes), "authors of items": (f, "item_id", people),
+    }
+    parts = (concentration.concentration(df.where(F.col(k).isNotNull()).groupBy(k).agg(x.alias("v")), "v").withColumn("series", F.lit(name)) for name, (df, k, x) in series.items())
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def outlier_report_items(spark: SparkSession, d: str) -> DataFrame:
+    """Outliers of eight variables of items and authors, beside the two of facts."""
+    items = participation_by_item(spark, d).select("n_rows", "n_authors", "likes", "views", "authors_per_row")
+    people = author_summary(spark, d).select(F.col("n_rows").alias("author_rows"), F.col("n_items").alias("author_items"), F.col("likes").alias("author_likes"))
+    return stats.outliers(items, items.columns).unionByName(stats.outliers(people, people.columns))
+
+
 @query
 def outlier_report(spark: SparkSession, d: str) -> DataFrame:
     return stats.outliers(_fc(spark, d)[0], ["value", "likes"])
@@ -359,6 +381,19 @@ def emoji_counts(spark: SparkSession, d: str) -> DataFrame:
     return text_stats.term_counts(tables.documents(spark, d), T.extract_emojis(F.col("text")))
 
 
+@query
+def mention_counts_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions with the source of their document."""
+    docs = tables.documents(spark, d).select("source", F.explode(T.extract_mentions(F.col("text"))).alias("term")).where("term <> ''")
+    return docs.groupBy("source", "term").agg(F.count("*").alias("frequency"))
+
+
+@query
+def title_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent words of catalogue titles."""
+    return text_stats.top_terms(tables.catalog(spark, d), F.split(F.lower("title"), " "), 120)
+
+
 @query
 def top_words(spark: SparkSession, d: str) -> DataFrame:
     return text_stats.top_ngrams(_clean(spark, d), "doc_id", F.col("w"), 1, 60)
@@ -517,7 +552,7 @@ def modularity_of_channels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bridge_authors(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bridge_authors(_ge(spark, d), tables.catalog(spark, d)).drop("n_communities")
+    return graph.bridge_authors(_ge(spark, d), tables.catalog(spark, d), _by_category(spark, d))
 
 
 @query
@@ -671,4 +706,13 @@ def score_summary(spark: SparkSession, d: str) -> DataFrame:
     return relations.score_summary(_scored(spark, d))
 
 
-QUERIES |= QUESTIONS
+@query
+def group_comparison_five(spark: SparkSession, d: str) -> DataFrame:
+    """Tone by five groupings: language, source, length class, mentions and digits."""
+    size = F.when(F.length("text") < 500, "short").when(F.length("text") < 5000, "middle").otherwise("long")
+    has = lambda p, yes: F.when(F.coalesce(F.col("text").rlike(p), F.lit(False)), yes).otherwise(f"no {yes}")
+    scored = _scored(spark, d).withColumns({"size": size, "mentions": has("@", "mention"), "digits": has("[0-9]", "digit")})
+    return relational.group_comparison(scored, {k: k for k in ("lang", "source", "size", "mentions", "digits")}, "predicted", scoring.LABELS, "confidence")
+
+
+QUERIES |= QUESTIONS | {"questions_answers": questions_answers}

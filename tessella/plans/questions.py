@@ -63,7 +63,9 @@ def m5_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by("item_id", F.struct("views", -F.col("item_id"))).alias("most_viewed"), F.max_by("item_id", F.struct("n_rows", -F.col("item_id"))).alias("most_active"),
         F.max_by("item_id", F.struct("rows_per_1k_views", -F.col("item_id"))).alias("most_engaging"),
     )
-    return _beside(stats.spearman(items, "views", "n_rows"), most)
+    seen = relational.catalog_summary(*_facts(spark, sf_dir))
+    test = stats.mann_whitney(seen, "views", ~F.col("observed")).select("u", F.col("p").alias("u_p"))
+    return _beside(stats.spearman(items, "views", "n_rows"), test, most)
 
 
 def m6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +101,12 @@ def a3_source_and_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a4_tone_and_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tone against length: Kruskal-Wallis over the classes, and median lengths."""
+    """Tone against length: Kruskal-Wallis over the classes, of words and of characters, and length against confidence."""
     scored = score_texts(tables.documents(spark, sf_dir), "text").withColumn("len", F.size(tokens(F.col("text"))))
     medians = scored.groupBy().pivot("predicted", ["NEG", "NEU", "POS"]).agg(F.median("len"))
-    return _beside(stats.kruskal(scored, "len", "predicted"), medians.select(*(F.col(x).alias(f"median_{x}") for x in ("NEG", "NEU", "POS"))))
+    alike = stats.spearman(scored, "len", "confidence").select("rho", F.col("p").alias("rho_p"))
+    chars = stats.kruskal(scored.withColumn("chars", F.length("text")), "chars", "predicted").select(F.col("h").alias("h_chars"), F.col("p").alias("h_chars_p"))
+    return _beside(stats.kruskal(scored, "len", "predicted"), alike, chars, medians.select(*(F.col(x).alias(f"median_{x}") for x in ("NEG", "NEU", "POS"))))
 
 
 def a5_visibility_and_position(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +118,23 @@ def a5_visibility_and_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (stats.spearman(pos, "views", c).select(F.lit(c).alias("measure"), "n", "rho", "p") for c in ("degree", "strength")))
 
 
+#: The questions in words.
+TEXTS = {
+    "q_m1": "Which channels concentrate participation?", "q_m2": "How much audience do items share?", "q_m3": "Who holds the item network together?", "q_m4": "What is the tone of each group?",
+    "q_m5": "Does visibility go with participation?", "q_m6": "What does the observed part cover?", "q_a1": "Do authors who come back cross channels?", "q_a2": "Do likes go with the diversity of authors?",
+    "q_a3": "Does the source determine the channel?", "q_a4": "Does tone go with length?", "q_a5": "Does visibility predict an item's place in the network?",
+}
+
+
+def questions_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``question, text, answer``: one row a question; the answer is its rows as JSON, the first ten by their text."""
+    parts = []
+    for name, ask in QUESTIONS.items():
+        rows = ask(spark, sf_dir).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r")).orderBy("r").limit(10)
+        parts.append(rows.agg(F.array_join(F.array_sort(F.collect_list("r")), ", ").alias("a")).select(F.lit(name).alias("question"), F.lit(TEXTS[name]).alias("text"), F.concat(F.lit("["), "a", F.lit("]")).alias("answer")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 QUESTIONS = {
     "q_m1": m1_concentration, "q_m2": m2_shared_audience, "q_m3": m3_bridges, "q_m4": m4_tone_by_language, "q_m5": m5_visibility, "q_m6": m6_coverage,
     "q_a1": a1_recurrent_authors, "q_a2": a2_likes_and_diversity, "q_a3": a3_source_and_channel, "q_a4": a4_tone_and_length, "q_a5": a5_visibility_and_position,

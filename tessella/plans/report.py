@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import textwrap
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,22 @@ def number(value: object, digits: int = 2) -> str:
     return f"{value:,}" if isinstance(value, int) else f"{value:,.{digits}f}"
 
 
+def percent(value: float | None, digits: int = 2) -> str:
+    """A percentage, unknown as a dash."""
+    return "-" if value is None else f"{value:.{digits}f} %"
+
+
+def shortened(text: str | None, length: int = 60) -> str:
+    """A text on one line of at most ``length`` characters, with an ellipsis where it was cut."""
+    line = " ".join((text or "").split())
+    return line if len(line) <= length else line[: length - 1].rstrip() + "…"
+
+
+def wrapped(text: str, width: int = 80) -> str:
+    """A text in lines of at most ``width`` characters, cut between words."""
+    return "\n".join(textwrap.wrap(text, width))
+
+
 def table_of(df: DataFrame, title: str, rows: int = 20) -> Element:
     """A table element of the first rows of a small, ordered result."""
     return "table", title, df.columns, [[number(x) for x in r] for r in df.limit(rows).collect()]

@@ -71,6 +71,27 @@ def append_jsonl(spark: SparkSession, rows: list[dict], path: str) -> None:
     spark.createDataFrame([(json.dumps(r, ensure_ascii=False),) for r in rows], "value string").coalesce(1).write.mode("append").text(path)
 
 
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with a given schema; a line that is no JSON is a row of nulls, never an error."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def read_partition(spark: SparkSession, path: str) -> DataFrame:
+    """``community, node_id`` from one JSON map a file, of communities to lists of nodes or of nodes to communities."""
+    text = spark.read.text(path, wholetext=True).select("value")
+    lists = F.from_json("value", "map<string,array<string>>")
+    whole = text.select(F.explode(lists).alias("community", "nodes")).where("nodes is not null").select("community", F.explode("nodes").alias("node_id"))
+    single = text.where(~F.col("value").rlike(r":\s*\[")).select(F.explode(F.from_json("value", "map<string,string>")).alias("node_id", "community"))
+    return whole.unionByName(single.select("community", "node_id"))
+
+
+def as_list(text: Column) -> Column:
+    """A list from JSON or a Python-style literal; any other text is a list of itself, blank and null are empty."""
+    bracketed = F.coalesce(text.rlike(r"^\s*\[.*\]\s*$"), F.lit(False))
+    alone = F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.array(F.trim(text))).otherwise(F.array().cast("array<string>"))
+    return F.when(bracketed, list_column(text)).otherwise(alone)
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """``path, bytes, md5`` of every file."""
     files = spark.read.format("binaryFile").load(path)
