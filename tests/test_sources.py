@@ -1,8 +1,10 @@
 """Readers, writers, reports and the streaming extension."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessella.plans import report
+from tessella import scratch
+from tessella.plans import report, runner
 from tessella.sources import files
 from tessella.streaming import participation
 
@@ -66,3 +68,52 @@ def test_streams(spark):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(weight) from edge_weights").first()[0] > 0
+
+
+def test_json_lines_and_partitions(spark, tmp_path):
+    (tmp_path / "rows.jsonl").write_text('{"a": 1, "b": "x"}\nnot json\n{"a": 2}\n')
+    assert sorted(map(tuple, files.read_jsonl(spark, str(tmp_path / "rows.jsonl"), "a int, b string").collect()), key=str) == [(1, "x"), (2, None), (None, None)]
+    for k, text in enumerate(('{"C0": ["V:1", "V:2"], "C1": ["V:3"]}', '{"V:1": "C0", "V:2": "C0", "V:3": "C1"}')):
+        (tmp_path / f"p{k}.json").write_text(text)
+        got = sorted(map(tuple, files.read_partition(spark, str(tmp_path / f"p{k}.json")).collect()))
+        assert got == [("C0", "V:1"), ("C0", "V:2"), ("C1", "V:3")]
+
+
+def test_as_list(spark):
+    cases = {'["a", "b"]': ["a", "b"], "['a']": ["a"], " plain text ": ["plain text"], "a|b": ["a|b"], "": [], " ": [], None: []}
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, s string").select("i", files.as_list(F.col("s")).alias("x")).collect()
+    assert [r["x"] for r in sorted(rows)] == list(cases.values())
+
+
+def test_stages_write_and_stop(spark, tmp_path):
+    ok = lambda s, d: s.range(3)
+
+    def bad(s, d):
+        raise ValueError("no")
+
+    stages = [runner.Stage("first", {"a": ok, "b": ok}), runner.Stage("second", {"c": ok})]
+    took = runner.run(spark, stages, "unused", str(tmp_path))
+    assert list(took) == ["first", "second"] and spark.read.parquet(str(tmp_path / "first" / "b")).count() == 3
+    text = runner.document(spark, stages, str(tmp_path), "All tables")
+    assert text.startswith("# All tables") and "## second" in text and "| first/a | 1 | 3 |" in text
+    with pytest.raises(runner.StageError, match="stage broken, table x: no"):
+        runner.run(spark, [runner.Stage("broken", {"x": bad, "y": ok})], "unused", str(tmp_path))
+    assert not (tmp_path / "broken" / "y").exists()
+
+
+def test_formats():
+    assert (report.percent(12.345), report.percent(None), report.shortened("a  b\nc", 9), report.shortened("abcdef gh", 6)) == ("12.35 %", "-", "a b c", "abcde…")
+    assert report.wrapped("aa bb cc", 5) == "aa bb\ncc"
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_root(Cluster())
