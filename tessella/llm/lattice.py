@@ -28,9 +28,11 @@ from tessella.llm.token_files import blocks
 
 LN10 = log(10)
 #: Most frequent words, counted in workers without a join: about 40 bytes each. The rest is joined.
-FREQUENT = 400_000
+FREQUENT = 300_000
 #: Words that go through the recursion side by side, at most, and numbers in their largest array.
 ABREAST, CELLS = 4096, 2_000_000
+#: Bytes of text that a worker splits at a time.
+BLOCK = 4 << 20
 MARK = "▁"
 #: Odd multipliers of the polynomial hash of a piece and of its place in the table.
 STEP, SPREAD, PLACES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 18
@@ -260,7 +262,7 @@ def score_texts(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFra
         """Per document: one row of sums over frequent words, one for each rarer word."""
         (names, *weights, known), end = shared.value
         for batch in batches:
-            for k, size in blocks(batch.column(3), 4096, 8 << 20):
+            for k, size in blocks(batch.column(3), 4096, BLOCK):
                 part = batch.slice(k, size)
                 coded, edges = _split(part.column(3))
                 words, at = coded.dictionary.cast(pa.large_binary()).cast(pa.binary()), coded.indices.to_numpy()
@@ -283,6 +285,8 @@ def score_texts(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFra
                     ],
                     names=TALLY,
                 )
+                del part, coded, words, at, doc, found, here, hit, pairs
+                pa.default_memory_pool().release_unused()
 
     # A row has a number of its own, as doc_id may repeat or be null; it stays in the written table.
     numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "learn", "text")
@@ -357,10 +361,12 @@ TALLY_SCHEMA = "uid long, doc_id long, learn boolean, word binary, n long, n_kno
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of each block with their counts in training rows (c) and in all rows (n)."""
     for batch in batches:
-        for k, size in blocks(batch.column(2), 1 << 20, 8 << 20):
+        for k, size in blocks(batch.column(2), 1 << 20, BLOCK):
             part = batch.slice(k, size)
             coded, edges = _split(part.column(2))
             at, many = coded.indices.to_numpy(), len(coded.dictionary)
             learn = np.repeat(part.column(1).to_numpy(zero_copy_only=False), np.diff(edges))
             counts = [np.bincount(at[learn], minlength=many), np.bincount(at, minlength=many)]
             yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.large_binary()).cast(pa.binary()), *map(pa.array, counts)], names=["word", "c", "n"])
+            del part, coded, at, learn, counts
+            pa.default_memory_pool().release_unused()
