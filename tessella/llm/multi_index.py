@@ -44,7 +44,7 @@ class IndexParams:
     rounds: int = 12
     #: Share of neighbours at the least similarity that the traversal must reach, and the factor on its limit.
     recall: float = 0.9999
-    margin: float = 1.25
+    margin: float = 2.0
     block: int = 1024
 
     def codewords(self, rows: float) -> int:
