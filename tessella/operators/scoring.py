@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import tokens
+from tessella.operators.stats import cumulated
 
 LABELS = ["NEG", "NEU", "POS"]
 #: Words that count for the outer classes.
@@ -70,9 +71,16 @@ def label_distribution(df: DataFrame) -> DataFrame:
 
 
 def representative_examples(df: DataFrame, key: str) -> DataFrame:
-    """The most, middle and least confident text of each class, named by place."""
-    by = Window.partitionBy("predicted")
-    placed = df.select(key, "predicted", "confidence", F.row_number().over(by.orderBy(F.desc("confidence"), key)).alias("r"), F.count("*").over(by).alias("n"))
-    middle = F.floor(F.col("n") / 2) + 1
-    kind = F.when(F.col("r") == 1, "highest").when(F.col("r") == F.col("n"), "lowest").when(F.col("r") == middle, "middle")
-    return placed.withColumn("kind", kind).where("kind is not null").select(key, "predicted", "kind", "confidence")
+    """The most, middle and least confident text of each class, named by place; ties by key.
+
+    Places are running counts over one order of all texts, which is cut into ranges where it is
+    long, so a class is not one task.
+    """
+    rows = df.groupBy(F.struct("predicted", (-F.col("confidence")).alias("c"), F.col(key).alias("key")).alias("k")).agg(F.count("*").alias("m"))
+    placed = cumulated(rows, "k", "m", "up").select("k.*", "m", "up")
+    sizes = df.groupBy("predicted").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("predicted").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a class
+    placed = placed.join(sizes.withColumn("base", before), "predicted").withColumn("r", F.col("up") - F.col("base"))
+    holds = lambda place: (place <= F.col("r")) & (place > F.col("r") - F.col("m"))
+    kind = F.when(holds(F.lit(1)), "highest").when(holds(F.col("n")), "lowest").when(holds(F.floor(F.col("n") / 2) + 1), "middle")
+    return placed.withColumn("kind", kind).where("kind is not null").select(F.col("key").alias(key), "predicted", "kind", (-F.col("c")).alias("confidence"))

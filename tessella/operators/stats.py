@@ -15,6 +15,10 @@ def _java(cls: str, method: str, *args: Column) -> Column:
     return F.call_function("java_method", F.lit(cls), F.lit(method), *args).cast("double")
 
 
+#: Rows that one ordered pass takes; more are cut into ranges, each with its own pass.
+ONE_PASS = 2_000_000
+
+
 def correlation(a: Column, b: Column) -> Column:
     """Pearson's r; null where a side does not vary (Spark's own ``corr`` divides by zero there)."""
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
@@ -47,22 +51,25 @@ def adjusted_kurtosis(g: Column, n: Column) -> Column:
     return F.when((n > 3) & ~F.isnan(g), (n - 1) / ((n - 2) * (n - 3.0)) * ((n + 1) * g + 6))
 
 
-def distribution(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
-    """Twelve descriptive measures in one pass, per group if asked for."""
+def distribution(df: DataFrame, value: str, by: str | None = None, most: int = ONE_PASS) -> DataFrame:
+    """Twelve descriptive measures, per group if asked for; quantiles as in :func:`quantiles`."""
+    key = by or "_all"
+    rows = (df if by else df.withColumn(key, F.lit(0))).where(F.col(value).isNotNull() & F.col(key).isNotNull())
     x = F.col(value).cast("double")
     n = F.count(x)
-    rows = df.where(F.col(value).isNotNull())
-    rows = rows.where(F.col(by).isNotNull()).groupBy(by) if by else rows.groupBy()
-    at = lambda p: F.percentile(x, F.lit(p))
-    return rows.agg(
-        n.alias("n"), F.round(F.sum(x), 4).alias("total"), F.min(x).alias("min"), at(0.25).alias("p25"), at(0.5).alias("median"),
-        F.round(F.avg(x), 2).alias("mean"), at(0.75).alias("p75"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max(x).alias("max"),
+    moments = rows.groupBy(key).agg(
+        n.alias("n"), F.round(F.sum(x), 4).alias("total"), F.min(x).alias("min"), F.round(F.avg(x), 2).alias("mean"), F.max(x).alias("max"),
         F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 2).alias("std"),
         (F.round(F.coalesce(adjusted_skew(F.skewness(x), n), F.lit(0.0)), 3) + 0.0).alias("skew"),
     )
+    at = quantiles(rows, value, key, {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}, most)
+    out = moments.join(at, key)
+    if not by and out.isEmpty():  # no rows: one row of zeros and nulls, as an aggregate without groups gives
+        out = df.sparkSession.createDataFrame([(0, 0.0, 0.0)], "n long, std double, skew double").withColumns({c: F.lit(None).cast("double") for c in ("total", "min", "mean", "max", "p25", "median", "p75", "p90", "p99")})
+    return out.select(*([by] if by else []), "n", "total", "min", "p25", "median", "mean", "p75", "p90", "p99", "max", "std", "skew")
 
 
-def outliers(df: DataFrame, values: list[str]) -> DataFrame:
+def outliers(df: DataFrame, values: list[str], most: int = ONE_PASS) -> DataFrame:
     """One row a variable: quartile fences, moments, and robust z above 3.5, in two passes.
 
     Both passes read all variables at once; a spread of zero gives no robust outliers.
@@ -71,16 +78,15 @@ def outliers(df: DataFrame, values: list[str]) -> DataFrame:
     long = long.where("x is not null")
     x, n = F.col("x"), F.count("x")
     first = long.groupBy("variable").agg(
-        n.alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.avg(x), 4).alias("mean"), F.median(x).alias("median"),
-        F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.75)).alias("q3"), F.round(F.stddev_samp(x), 4).alias("std"),
+        n.alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"),
         F.round(adjusted_skew(F.skewness(x), n), 3).alias("skew"), F.round(adjusted_kurtosis(F.kurtosis(x), n), 3).alias("kurtosis"),
     )
+    first = first.join(quantiles(long, "x", "variable", {"q1": 0.25, "median": 0.5, "q3": 0.75}, most), "variable")
     first = first.withColumn("low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     # As many rows as variables.
     joined = long.join(F.broadcast(first.select("variable", "median", "low", "high")), "variable")
-    second = joined.groupBy("variable").agg(
-        F.median(F.abs(x - F.col("median"))).alias("mad"), F.count(F.when((x < F.col("low")) | (x > F.col("high")), 1)).alias("n_iqr")
-    )
+    second = joined.groupBy("variable").agg(F.count(F.when((x < F.col("low")) | (x > F.col("high")), 1)).alias("n_iqr"))
+    second = second.join(quantiles(joined.withColumn("off", F.abs(x - F.col("median"))), "off", "variable", {"mad": 0.5}, most), "variable")
     scored = joined.join(F.broadcast(second), "variable").where("mad > 0").groupBy("variable").agg(
         F.count(F.when(F.abs(0.6745 * (x - F.col("median")) / F.col("mad")) > 3.5, 1)).alias("n_robust")
     )
@@ -92,10 +98,6 @@ def outliers(df: DataFrame, values: list[str]) -> DataFrame:
     )
 
 
-#: Rows that one ordered pass takes; more are cut into ranges, each with its own pass.
-ONE_PASS = 2_000_000
-
-
 def cumulated(df: DataFrame, order: str, mass: str, name: str, descending: bool = False, most: int = ONE_PASS) -> DataFrame:
     """``df``, one row a value of ``order``, with the running sum of ``mass`` up to and with each row.
 
@@ -112,6 +114,31 @@ def cumulated(df: DataFrame, order: str, mass: str, name: str, descending: bool
     return cut.withColumn("_own", own).join(F.broadcast(sums), "_range").withColumn(name, F.col("_own") + F.col("_base")).drop("_own", "_base", "_range")
 
 
+def quantiles(df: DataFrame, value: str, by: str, probs: dict[str, float], most: int = ONE_PASS) -> DataFrame:
+    """``by`` and the exact quantiles named in ``probs`` of each group, interpolated between neighbours.
+
+    Up to about ``most`` distinct values they are aggregated as such, a group's values in one task.
+    Beyond, values are counted, counts summed in order (:func:`cumulated`), and each quantile is read
+    off the two values whose places enclose it; no task holds a group.
+    """
+    x = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("x"))
+    if x.agg(F.approx_count_distinct("x").alias("n")).first()["n"] <= most:
+        return x.groupBy(F.col("g").alias(by)).agg(*(F.percentile("x", F.lit(p)).alias(name) for name, p in probs.items()))
+    counts = x.groupBy("g", "x").agg(F.count("*").alias("m")).withColumn("k", F.struct("g", "x"))
+    run = cumulated(counts, "k", "m", "up", most=most)
+    sizes = counts.groupBy("g").agg(F.sum("m").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a group
+    run = run.join(sizes.withColumn("base", before), "g")
+    last = F.col("up") - F.col("base") - 1
+    holds = lambda place: F.max(F.when((place <= last) & (place > last - F.col("m")), F.col("x")))
+    parts, place = [], lambda p: F.lit(p) * (F.col("n") - 1)
+    for name, p in probs.items():
+        parts += [holds(F.floor(place(p))).alias(f"{name}_a"), holds(F.ceil(place(p))).alias(f"{name}_b")]
+    found = run.groupBy("g", "n").agg(*parts)
+    between = lambda name, p: F.col(f"{name}_a") + (F.col(f"{name}_b") - F.col(f"{name}_a")) * (place(p) - F.floor(place(p)))
+    return found.select(F.col("g").alias(by), *(between(name, p).alias(name) for name, p in probs.items()))
+
+
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """``df`` with average ranks of a column; ties share the mean of their places.
 

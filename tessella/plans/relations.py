@@ -177,8 +177,7 @@ def item_communities(edges: DataFrame, items: DataFrame, partition: DataFrame, c
 def boxplot_groups(df: DataFrame, value: str, by: str) -> DataFrame:
     """One row a group: quartiles, whiskers at 1.5 interquartile ranges, and how many values lie beyond."""
     rows = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("grp"), F.col(value).cast("double").alias("x"))
-    at = lambda p, c: F.percentile("x", F.lit(p)).alias(c)
-    box = rows.groupBy("grp").agg(F.count("*").alias("n"), at(0.25, "q1"), at(0.5, "median"), at(0.75, "q3"))
+    box = rows.groupBy("grp").agg(F.count("*").alias("n")).join(stats.quantiles(rows, "x", "grp", {"q1": 0.25, "median": 0.5, "q3": 0.75}), "grp")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("x").between(F.col("q1") - reach, F.col("q3") + reach)
     more = rows.join(box, "grp").groupBy("grp").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count(F.when(~inside, 1)).alias("n_beyond"))

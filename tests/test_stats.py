@@ -132,3 +132,30 @@ def test_tfidf_by_ranges_equals_one_pass(spark):
     df = spark.createDataFrame(rows, "o long, g string, w array<string>").repartition(7)
     one, cut = (sorted(map(tuple, text_stats.tfidf_by_group(df, "g", "o", F.col("w"), 40, most).collect())) for most in (10**6, 0))
     assert one == cut and any(" " in r[2] for r in one)
+
+
+def test_quantiles_by_ranges_equal_percentiles(spark):
+    """Counted and cut into ranges or aggregated at once: the same numbers, with ties, nulls and single rows."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, 1.5, 2.0, 7.0, rng.random()])) for _ in range(300)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    probs = {"q0": 0.0, "q1": 0.25, "m": 0.5, "q9": 0.9, "top": 1.0}
+    one, cut = ({r["g"]: r.asDict() for r in stats.quantiles(df, "x", "g", probs, most).collect()} for most in (10**6, -1))
+    assert set(one) == set(cut) == {"a", "b", "one"}
+    assert all(cut[g][k] == pytest.approx(v) for g in one for k, v in one[g].items() if k != "g")
+    both = [sorted(map(tuple, stats.distribution(df, "x", "g", most).collect())) for most in (10**6, -1)]
+    assert [r[:2] for r in both[0]] == [r[:2] for r in both[1]] and all(a == pytest.approx(b) for x, y in zip(*both, strict=True) for a, b in zip(x[1:], y[1:], strict=True) if a is not None)
+    both = [sorted(map(tuple, stats.outliers(df.where("g = 'a'"), ["x"], most).collect())) for most in (10**6, -1)]
+    assert all(a == pytest.approx(b) for a, b in zip(both[0][0][1:], both[1][0][1:], strict=True) if a is not None)
+
+
+def test_distribution_of_nothing(spark):
+    got = stats.distribution(spark.createDataFrame([], "x double"), "x").collect()
+    assert len(got) == 1 and got[0]["n"] == 0 and got[0]["median"] is None and got[0]["std"] == 0
+
+
+def test_examples_of_classes(spark):
+    rows = [(1, "NEG", 0.9), (2, "NEG", 0.9), (3, "NEG", 0.4), (4, "NEG", 0.6), (5, "POS", 0.7)]
+    df = spark.createDataFrame(rows, "id int, predicted string, confidence double")
+    got = sorted(map(tuple, scoring.representative_examples(df, "id").collect()))
+    assert got == [(1, "NEG", "highest", 0.9), (3, "NEG", "lowest", 0.4), (4, "NEG", "middle", 0.6), (5, "POS", "highest", 0.7)]
