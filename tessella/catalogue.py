@@ -583,7 +583,7 @@ def giant_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return centrality.pagerank(*_items(spark, d))
+    return centrality.pagerank(*_items(spark, d), tolerance=1e-10)  # to the printed digits
 
 
 @query
@@ -593,7 +593,7 @@ def k_core(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def eigenvector(spark: SparkSession, d: str) -> DataFrame:
-    return centrality.eigenvector(*_items(spark, d))
+    return centrality.eigenvector(*_items(spark, d), tolerance=1e-9, most=300)  # to the printed digits
 
 
 @query
