@@ -16,8 +16,8 @@ ALPHA = 0.05
 
 
 def unpivoted(one: DataFrame, prefix: str = "") -> DataFrame:
-    """A single row as ``metric, value``."""
-    cells = F.array(*(F.struct(F.lit(prefix + c).alias("metric"), F.col(c).cast("double").alias("value")) for c in one.columns))
+    """A single row as ``metric, value``, to six decimals."""
+    cells = F.array(*(F.struct(F.lit(prefix + c).alias("metric"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in one.columns))
     return one.select(F.explode(cells).alias("r")).select("r.metric", "r.value")
 
 
@@ -83,7 +83,7 @@ def coverage_bias(items: DataFrame) -> DataFrame:
     on, of = F.col("observed"), lambda c, f: f(F.when(F.col("observed"), F.col(c)))
     off = lambda f: f(F.when(~on, F.col("views")))
     sides = ranked.agg(
-        F.count(F.when(on, 1)).alias("n_observed"), F.count(F.when(~on, 1)).alias("n_unobserved"), of("views", F.median).alias("median_observed"), off(F.median).alias("median_unobserved"),
+        F.count(F.when(on, 1)).alias("n_observed"), F.count(F.when(~on, 1)).alias("n_unobserved"), F.round(of("views", F.median), 4).alias("median_observed"), F.round(off(F.median), 4).alias("median_unobserved"),
         F.round(of("views", F.avg), 1).alias("mean_observed"), F.round(off(F.avg), 1).alias("mean_unobserved"), of("rank", F.min).alias("min_rank"), of("rank", F.max).alias("max_rank"), of("rank", F.median).alias("median_rank"),
     )
     test = stats.mann_whitney(items, "views", ~on).select("u", "p")
@@ -181,7 +181,8 @@ def boxplot_groups(df: DataFrame, value: str, by: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("x").between(F.col("q1") - reach, F.col("q3") + reach)
     more = rows.join(box, "grp").groupBy("grp").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count(F.when(~inside, 1)).alias("n_beyond"))
-    return box.join(more, "grp")
+    edges = {c: F.round(c, 6) for c in ("q1", "median", "q3", "low", "high")}
+    return box.join(more, "grp").withColumns(edges)
 
 
 def completeness(df: DataFrame, name: str) -> DataFrame:
