@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Chunks (twice as many at most) and pre-tokens whose ids a worker remembers, and the longest of them in characters.
+#: Chunks whose ids a worker remembers (twice as many at most, and pre-tokens a sixth), and the longest of them in characters.
 REMEMBERED, REMEMBERED_LENGTH = 260_000, 40
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1000
 #: Rows that are encoded at a time.
@@ -70,13 +70,14 @@ class TextEncoder:
         #: The dictionary that grows, and the full one before it.
         self.chunks: list[tuple[dict[str, bytes], dict[str, bytes]]] = [({}, {}), ({}, {})]
 
-    def encode(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one row of unsigned 32-bit integers, and where each text begins.
 
         ``end``, ids in bytes, follows every text.
         """
-        pa_texts = pa.array(texts, pa.large_string())
-        parts = pc.split_pattern(pc.replace_substring_regex(pa_texts, LETTER_STOP, rf"\1 {JOINT}\2"), " ")
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        parts = pc.split_pattern(pc.replace_substring_regex(texts, LETTER_STOP, rf"\1 {JOINT}\2"), " ")
         edges = parts.offsets.to_numpy()
         first = np.zeros(int(edges[-1]), dtype=bool)
         first[edges[:-1]] = True
@@ -86,11 +87,13 @@ class TextEncoder:
             coded = parts.values.filter(pa.array(mask)).dictionary_encode()
             at[mask] = coded.indices.to_numpy() + len(found)
             found += self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), spaced)
+            del coded
+        del first, mask
         # Texts that can't be cut at every space have one piece: all their ids.
         odd = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) == len(NO_CUT)
-        alone = np.logical_or.reduceat(odd[at], edges[:-1]) if texts else np.zeros(0, dtype=bool)
+        alone = np.logical_or.reduceat(odd[at], edges[:-1]) if len(texts) else np.zeros(0, dtype=bool)
         for a in (JOINT, *self.added):
-            alone |= pc.match_substring(pa_texts, a).to_numpy(zero_copy_only=False)
+            alone |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
         n_parts = np.where(alone, 1, np.diff(edges)) + 1
         begins = np.concatenate(([0], np.cumsum(n_parts)))
         use = np.empty(int(begins[-1]), dtype=np.int32)
@@ -102,7 +105,8 @@ class TextEncoder:
         use[is_own] = len(found) + 1 + np.arange(int(alone.sum()))
         use[~is_end & ~is_own] = at[~np.repeat(alone, np.diff(edges))]
         found.append(end)
-        found += [self._whole(texts[i]) for i in np.flatnonzero(alone)]
+        found += [self._whole(texts[i].as_py()) for i in np.flatnonzero(alone)]
+        del parts, at, is_end, is_own
         return _laid_out([b"" if x == NO_CUT else x for x in found] if odd.any() else found, use, begins)
 
     def _ids(self, chunks: list[str], spaced: int) -> list[bytes]:
@@ -161,7 +165,7 @@ class TextEncoder:
             if x is None:
                 ids = [t.id for t in self.model.tokenize(charmap_decode(piece.encode(), "strict", self.letters)[0])]
                 x = pack(f"<{len(ids)}I", *ids)
-                if len(known) > REMEMBERED:
+                if len(known) > REMEMBERED // 6:
                     known.clear()
                 if len(piece) <= REMEMBERED_LENGTH:
                     known[piece] = x
@@ -238,12 +242,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, pa
         for batch in batches:
             for k, size in blocks(batch.column(1)):
                 part = batch.slice(k, size)
-                ids, before = own.encode(part.column(1).to_pylist(), end)
+                # Taken, not sliced: some of pyarrow's text functions misread an array inside another.
+                ids, before = own.encode(part.column(1).take(pa.array(np.arange(size))), end)
                 lists = pa.ListArray.from_arrays(before.astype(np.int32), ids.view("<i4"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(at + before[:-1]), pa.array(np.diff(before)), lists], names=["doc_id", "part", "at", "n_tokens", "ids"]
                 )
                 at += int(before[-1])
+                del part, ids, before, lists
+                pa.default_memory_pool().release_unused()
 
     writer = ranged.mapInArrow(run, ROWS).write.option("compression", "zstd")
     for key, value in {
