@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat, contamination, lattice, licenses, minhash, multi_index, quality, token_files, url_lists
+from tessella.llm import bpe, chat, contamination, fill_middle, lattice, licenses, minhash, multi_index, quality, sharding, token_files, url_lists, whitening
 from tessella.llm.shared import new_path
 
 
@@ -96,6 +96,29 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preferences(turns, pairs)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First four whitened components of all embeddings, a row each."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
+    each = white.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "c"), "identity_error")
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards by the first map, and where the second one, edited for nine, has them."""
+    path, rows = new_path(spark, "slot_map"), sharding.keyed(table(spark, sf_dir, "documents"))
+    eight, nine = sharding.write_map(rows, path, 8), sharding.write_map(rows, path, 9)
+    after = nine.select("virtual_slot", "piece", F.col("shard").alias("shard_of_nine"))
+    placed = sharding.place(rows, eight).join(F.broadcast(after), ["virtual_slot", "piece"])  # as many rows as units
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "shard_of_nine")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle forms of all documents, and their texts rebuilt."""
+    both = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return both.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -109,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_quality_classifier,
         op10_preference_format,
+        op11_embedding_whitening,
+        op12_sharding,
+        op13_fill_middle,
     )
 }
 
@@ -208,4 +234,20 @@ SELECT pair_id, chosen_id, rejected_id, k::BIGINT AS n_prefix, len(ca)::BIGINT A
   coalesce(array_to_string(list_transform(list_filter(range(1, len(ja) + 1), lambda i: jra[i] = 'assistant'), lambda i:
     (coalesce(list_sum(list_transform(ja[:i-1], lambda x: length(x))), 0) + length(jra[i]) + 5)::BIGINT || '-' || list_sum(list_transform(ja[:i], lambda x: length(x)))::BIGINT), ','), '') AS rejected_spans
 FROM s""",
+    "op13_fill_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+t AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts,
+    ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (
+  SELECT *, len(ts) AS n, least(h1 % (len(ts) + 1), h2 % (len(ts) + 1)) AS a, greatest(h1 % (len(ts) + 1), h2 % (len(ts) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (
+  SELECT *, coalesce(array_to_string(ts[1:a], ''), '') AS pre, coalesce(array_to_string(ts[a+1:b], ''), '') AS mid, coalesce(array_to_string(ts[b+1:], ''), '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p""",
 }
