@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import ids, reltime
 from tessella.functions import text as T
-from tessella.operators import centrality, community, concentration, graph, paths, quality, relational, scoring, stats, text_stats
+from tessella.operators import blocks, centrality, cohesion as connectivity, community, concentration, distances, graph, quality, relational, scoring, stats, text_stats
 from tessella.oracles import ORACLE
 from tessella.plans import relations
 from tessella.plans.questions import QUESTIONS, questions_answers
@@ -557,28 +557,28 @@ def bridge_authors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def articulation_removal(spark: SparkSession, d: str) -> DataFrame:
-    return paths.articulation_removal(*_whole(spark, d))
+    return blocks.articulation_removal(*_whole(spark, d))
 
 
 @query
 def graph_bridges(spark: SparkSession, d: str) -> DataFrame:
-    return paths.bridges(*_whole(spark, d))
+    return blocks.bridges(*_whole(spark, d))
 
 
 @query
 def cohesion(spark: SparkSession, d: str) -> DataFrame:
-    return paths.cohesion(*_items(spark, d))
+    return connectivity.cohesion(*_items(spark, d))
 
 
 @query
 def path_centralities(spark: SparkSession, d: str) -> DataFrame:
-    out = paths.path_measures(*_items(spark, d))
-    return paths.ranked(out, ["betweenness", "closeness"])
+    out = distances.path_measures(*_items(spark, d))
+    return distances.ranked(out, ["betweenness", "closeness"])
 
 
 @query
 def giant_paths(spark: SparkSession, d: str) -> DataFrame:
-    return paths.giant_paths(*_items(spark, d))
+    return distances.giant_paths(*_items(spark, d))
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import centrality, graph, paths, quality, stats
+from tessella.operators import blocks, centrality, distances, graph, quality, stats
 from tessella.operators.concentration import gini
 
 #: p-values below this are marked as significant.
@@ -119,8 +119,8 @@ def node_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = d.agg(F.count("*").alias("n"))  # one row
     label = graph.components(nodes, edges)
     size = label.groupBy("component").agg(F.count("*").alias("component_size"))
-    walked = paths.path_measures(nodes, edges).select("node_id", "closeness", "harmonic", "betweenness", "weighted_betweenness")
-    cuts = paths.articulation_removal(nodes, edges).select("node_id", F.lit(True).alias("is_cut_point"))
+    walked = distances.path_measures(nodes, edges).select("node_id", "closeness", "harmonic", "betweenness", "weighted_betweenness")
+    cuts = blocks.cut_points(nodes, edges).withColumn("is_cut_point", F.lit(True))
     out = d.crossJoin(F.broadcast(n)).withColumn("degree_centrality", F.round(F.coalesce(F.col("degree") / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0)), 6)).drop("n")
     clustered = graph.clustering(nodes, edges).select("node_id", "clustering", "weighted_clustering")
     for more in (walked, centrality.pagerank(nodes, edges), centrality.eigenvector(nodes, edges), centrality.k_core(nodes, edges), clustered, label, cuts):

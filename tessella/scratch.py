@@ -9,19 +9,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Root folders of applications whose session names none, by application id.
+_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Only where that setting is absent and all runs on one machine, as in tests, a temporary folder
-    is made and set; on a cluster its absence is an error, as executors share no temporary folder.
+    is made, one for each application; on a cluster its absence is an error, as executors share no
+    temporary folder. The setting itself can't be changed once Spark runs.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _roots:
+            _roots[app] = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        root = _roots[app]
     return root.rstrip("/")
 
 

@@ -40,3 +40,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     cores = spark.sparkContext.defaultParallelism
     return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
+def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second fact table, of a graph that falls into parts: customers of one nation who order on one day meet.
+
+    One row an order: its customer takes part in the day of the customer's nation. Customers are
+    authors, days are items; parts, leaves, bridges and isolates all occur.
+    """
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))
+    return table(spark, sf_dir, "orders").join(customers, "o_custkey").select(
+        F.col("o_orderkey").alias("fact_id"),
+        F.col("o_custkey").alias("author_id"),
+        (F.col("c_nationkey") * 100_000 + day).cast("int").alias("item_id"),
+        F.floor(F.col("o_totalprice") / 1000).cast("long").alias("likes"),
+        F.col("o_orderpriority").alias("source"),
+    )

@@ -1,12 +1,11 @@
 """Graph operators on small graphs and against brute force."""
 
-import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import centrality, community, graph, paths
+from tessella.operators import centrality, graph
 from tessella.operators.components import connected_components
 
 
@@ -67,38 +66,6 @@ def test_topology_of_a_triangle_with_tail(spark):
     assert {r["node_id"] for r in graph.peripheral(nodes, edges).where("kind = 'isolate'").collect()} == {"e"}
 
 
-def test_articulation_bridges_and_removal(spark):
-    nodes, edges = made(spark, STARS, ["z"])
-    got = {r["node_id"]: (r["components_before"], r["components_after"]) for r in paths.articulation_removal(nodes, edges).collect()}
-    assert got == {"b": (2, 3), "x1": (2, 3), "x2": (2, 3)}
-    assert paths.bridges(nodes, edges).count() == 4
-    c = paths.cohesion(nodes, edges).first()
-    assert (c["node_connectivity"], c["giant_node_connectivity"], c["giant_edge_connectivity"]) == (0, 1, 1)
-
-
-@pytest.mark.parametrize(("graph_", "want"), [(itertools.combinations("abcd", 2), (3, 3)), ([("a", "b"), ("b", "c"), ("c", "d"), ("a", "d")], (2, 2)), ([("a", "b")], (1, 1))])
-def test_connectivity(graph_, want):
-    adjacency = {}
-    for a, b in graph_:
-        adjacency.setdefault(a, {})[b] = adjacency.setdefault(b, {})[a] = 1.0
-    assert paths.connectivity(adjacency) == want
-
-
-def test_paths_on_a_weighted_line(spark):
-    nodes, edges = made(spark, [("a", "b", 10), ("b", "c", 10)])
-    p = {r["node_id"]: r for r in paths.path_measures(nodes, edges).collect()}
-    assert p["b"]["betweenness"] == 1 and p["a"]["betweenness"] == 0 and p["b"]["weighted_betweenness"] == 1
-    assert p["b"]["closeness"] == pytest.approx(10.0) and p["a"]["eccentricity"] == 2
-    g = paths.giant_paths(nodes, edges).first()
-    assert (g["size"], g["diameter"], g["radius"]) == (3, 2, 1) and g["mean_distance"] == pytest.approx(4 / 3, abs=1e-4)
-
-
-def test_distance_ties_within_tolerance():
-    graph_ = {"a": {"b": 2.0, "c": 1.0}, "b": {"a": 2.0, "c": 2.0}, "c": {"a": 1.0, "b": 2.0}}
-    _, _, count, _ = paths.shortest(graph_, "a", True)
-    assert count["c"] == 2  # one step of 1, and two of a half
-
-
 def test_pagerank_sums_to_one(spark):
     nodes, edges = made(spark, STARS, ["z"])
     got = centrality.pagerank(nodes, edges).collect()
@@ -118,25 +85,6 @@ def test_eigenvector(spark):
     assert centrality.eigenvector(nodes, edges).where("eigenvector is not null").count() == 0
 
 
-@pytest.mark.parametrize("method", ["louvain", "greedy", "propagation"])
-def test_communities_of_two_cliques(spark, method):
-    cliques = [(a, b, 1) for g in ("abcd", "wxyz") for a, b in itertools.combinations(g, 2)]
-    nodes, edges = made(spark, [*cliques, ("d", "w", 1)], ["q"])
-    of = {r["node_id"]: r["community"] for r in community.detect(nodes, edges, method).collect()}
-    assert len({of[x] for x in "abcd"}) == 1 and len({of[x] for x in "wxyz"}) == 1 and of["q"] not in (of["a"], of["w"])
-    if method == "propagation":  # labels may flow over the one edge between the cliques
-        return
-    assert of["a"] != of["w"] and of["q"] == "C2"
-    assert graph.modularity(edges, community.detect(nodes, edges, method)).first()["modularity"] == pytest.approx(0.42308, abs=1e-4)
-
-
-def test_components_too_large_for_a_task_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(community, "MOST_EDGES", 2)
-    nodes, edges = made(spark, [("a", "b", 1), ("b", "c", 1), ("a", "c", 1)])
-    with pytest.raises(ValueError, match="up to 2 edges"):
-        community.detect(nodes, edges)
-
-
 def test_bridge_authors_against_removal(spark):
     """Every author taken away in turn, and components counted anew."""
     rng = random.Random(11)
