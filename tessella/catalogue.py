@@ -555,6 +555,127 @@ def bridge_authors(spark: SparkSession, d: str) -> DataFrame:
     return graph.bridge_authors(_ge(spark, d), tables.catalog(spark, d), _by_category(spark, d))
 
 
+# The graph of meetings, which falls into parts: the same measures where they are not trivial.
+
+
+def _me(spark: SparkSession, d: str) -> DataFrame:
+    return written(graph.bipartite_edges(tables.meetings(spark, d)), "meetings")
+
+
+def _customers(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return e.select(F.col("dst").alias("node_id")).distinct(), written(graph.projection(e, "dst", "src"), "projection")
+
+
+def _networks(e: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """The bipartite graph and both projections: nodes and edges."""
+    whole = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct(), e.select("src", "dst", "weight")
+    authors = e.select(F.col("src").alias("node_id")).distinct(), written(graph.projection(e, "src", "dst"), "projection")
+    return {"bipartite": whole, "authors": authors, "items": _customers(e)}
+
+
+@query
+def meeting_projection(spark: SparkSession, d: str) -> DataFrame:
+    return graph.projection(_me(spark, d), "dst", "src")
+
+
+@query
+def meeting_verification(spark: SparkSession, d: str) -> DataFrame:
+    e = _me(spark, d)
+    return graph.verify_projection(e, graph.projection(e, "dst", "src"), "dst", "src")
+
+
+@query
+def meeting_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return relations.network_metrics(_networks(_me(spark, d)))
+
+
+@query
+def meeting_clustering(spark: SparkSession, d: str) -> DataFrame:
+    return graph.clustering(*_customers(_me(spark, d)))
+
+
+@query
+def meeting_latapy(spark: SparkSession, d: str) -> DataFrame:
+    return graph.latapy(_me(spark, d), "dst", "src")
+
+
+@query
+def meeting_components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(*_customers(_me(spark, d)))
+
+
+@query
+def meeting_peripheral(spark: SparkSession, d: str) -> DataFrame:
+    return graph.peripheral(*_customers(_me(spark, d)))
+
+
+@query
+def meeting_core_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    return graph.core_subgraph(_me(spark, d)).select("src", "dst", "weight")
+
+
+@query
+def meeting_modularity(spark: SparkSession, d: str) -> DataFrame:
+    """Modularity of the partition by nation."""
+    nodes, edges = _customers(_me(spark, d))
+    c = tables.members(spark, d).select(graph.item_node("item_id").alias("node_id"), F.col("channel_id").alias("community"))
+    return graph.modularity(edges, nodes.join(c, "node_id"))
+
+
+@query
+def meeting_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return centrality.pagerank(*_customers(_me(spark, d)), tolerance=1e-10)  # to the printed digits
+
+
+@query
+def meeting_k_core(spark: SparkSession, d: str) -> DataFrame:
+    return centrality.k_core(*_customers(_me(spark, d)))
+
+
+@query
+def meeting_bridge_authors(spark: SparkSession, d: str) -> DataFrame:
+    """Days without which customers would be parted."""
+    c = tables.members(spark, d)
+    e = _me(spark, d)
+    segment = c.select(graph.item_node("item_id").alias("node_id"), F.col("category").alias("community"))
+    return graph.bridge_authors(e, c, e.select(F.col("dst").alias("node_id")).distinct().join(segment, "node_id"))
+
+
+@query
+def meeting_bridges(spark: SparkSession, d: str) -> DataFrame:
+    """Bridges of the three networks."""
+    parts = (blocks.bridges(*g).withColumn("network", F.lit(name)) for name, g in _networks(_me(spark, d)).items())
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def meeting_articulation(spark: SparkSession, d: str) -> DataFrame:
+    """Articulation points of the three networks, and what removing each does."""
+    parts = (blocks.articulation_removal(*g).withColumn("network", F.lit(name)) for name, g in _networks(_me(spark, d)).items())
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def meeting_paths(spark: SparkSession, d: str) -> DataFrame:
+    return distances.path_measures(*_customers(_me(spark, d)))
+
+
+@query
+def meeting_giant_paths(spark: SparkSession, d: str) -> DataFrame:
+    return distances.giant_paths(*_customers(_me(spark, d)))
+
+
+@query
+def meeting_cohesion(spark: SparkSession, d: str) -> DataFrame:
+    parts = (connectivity.cohesion(*g).withColumn("network", F.lit(name)) for name, g in _networks(_me(spark, d)).items())
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def meeting_communities(spark: SparkSession, d: str) -> DataFrame:
+    return community.detect(*_customers(_me(spark, d)))
+
+
 @query
 def articulation_removal(spark: SparkSession, d: str) -> DataFrame:
     return blocks.articulation_removal(*_whole(spark, d))

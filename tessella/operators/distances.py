@@ -63,15 +63,15 @@ def relaxed(g: Network, sources: DataFrame) -> DataFrame:
         if low is None:
             return best.drop("open")
         turn = F.col("open") & (F.col("dist") <= low + ends["long"])
-        sent = best.where(turn).join(g.arcs, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.min(F.col("dist") + F.col("len")).alias("d"), F.min("whole").alias("w"))
+        # From a node this far, nothing of a wholly reached component comes nearer.
+        far = best.groupBy("s").agg(F.count("*").alias("reached"), F.max("dist").alias("far"))
+        useful = (F.col("reached") < F.col("whole")) | (F.col("dist") + ends["short"] < F.col("far") - NEAR)
+        front = best.where(turn).join(far, "s").where(useful)
+        sent = front.join(g.arcs, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.min(F.col("dist") + F.col("len")).alias("d"), F.min("whole").alias("w"))
         new = best.withColumn("wait", F.col("open") & ~turn).join(sent, ["s", "v"], "full")
         nearer = F.col("d").isNotNull() & (F.col("dist").isNull() | (F.col("d") < F.col("dist") - NEAR))
         new = new.select("s", "v", F.when(nearer, F.col("d")).otherwise(F.col("dist")).alias("dist"), F.coalesce("whole", "w").alias("whole"), (nearer | F.coalesce("wait", F.lit(False))).alias("open"))
         best = replaced(best, new, "dist")
-        # From a node this far, nothing of a wholly reached component comes nearer.
-        far = best.groupBy("s").agg(F.count("*").alias("reached"), F.max("dist").alias("far"))
-        useful = (F.col("reached") < F.col("whole")) | (F.col("dist") + ends["short"] < F.col("far") - NEAR)
-        best = replaced(best, best.join(far, "s").select("s", "v", "dist", "whole", (F.col("open") & useful).alias("open")), "dist")
 
 
 def shortest_arcs(g: Network, best: DataFrame) -> DataFrame:

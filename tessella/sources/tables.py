@@ -45,15 +45,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second fact table, of a graph that falls into parts: customers of one nation who order on one day meet.
 
-    One row an order: its customer takes part in the day of the customer's nation. Customers are
-    authors, days are items; parts, leaves, bridges and isolates all occur.
+    One row an order. Customers are items, the days of their nation are authors; parts, leaves,
+    bridges and isolates all occur.
     """
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    nations = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))
-    return table(spark, sf_dir, "orders").join(customers, "o_custkey").select(
+    return table(spark, sf_dir, "orders").join(nations, "o_custkey").select(
         F.col("o_orderkey").alias("fact_id"),
-        F.col("o_custkey").alias("author_id"),
-        (F.col("c_nationkey") * 100_000 + day).cast("int").alias("item_id"),
+        (F.col("c_nationkey").cast("long") * 100_000 + day).alias("author_id"),
+        F.col("o_custkey").cast("int").alias("item_id"),
         F.floor(F.col("o_totalprice") / 1000).cast("long").alias("likes"),
         F.col("o_orderpriority").alias("source"),
     )
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue of :func:`meetings`: one row a customer."""
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("int").alias("item_id"),
+        F.col("c_name").alias("title"),
+        F.col("c_nationkey").cast("string").alias("channel_id"),
+        F.col("c_mktsegment").alias("category"),
+        F.col("c_acctbal").alias("views"),
+    )
