@@ -258,7 +258,9 @@ def consistency_checks(spark: SparkSession, d: str) -> DataFrame:
     }
     table = lambda name: tables.table(spark, d, name)
     pages = {"url holds page id": quality.lacks("url", "page_id"), "url encoded": quality.encoded("url")}
-    named = table("customer").withColumn("handle", F.concat(F.lit("/@"), "c_name", F.lit("/about")))
+    # Every third handle is that of the next customer, in another spelling.
+    k = F.col("c_custkey") + (F.col("c_custkey") % 3 == 0).cast("int")
+    named = table("customer").withColumn("handle", F.concat(F.lit("/@Customer#"), F.lpad(k.cast("string"), 9, "0"), F.lit("/about")))
     texts = table("documents").withColumn("length", F.length("text"))
     orders = table("orders").join(table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left")
     parts = [

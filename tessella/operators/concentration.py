@@ -6,15 +6,21 @@ multiplicity makes the ordered part as small as the number of different counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.stats import ONE_PASS, cumulated
+from tessella.scratch import written
 
-def _histogram(units: DataFrame, value: str) -> DataFrame:
-    """Distinct values with multiplicities, and units and mass up to each, from the smallest."""
+
+def _histogram(units: DataFrame, value: str, most: int = ONE_PASS) -> DataFrame:
+    """Distinct values with multiplicities, and units and mass up to each, from the smallest.
+
+    More than ``most`` distinct values are summed up in ranges.
+    """
     h = units.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("m"))
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return h.select("v", "m", F.sum("m").over(up).alias("cm"), F.sum(F.col("v") * F.col("m")).over(up).alias("cv"))
+    h = written(h.withColumn("vm", F.col("v") * F.col("m")), "histogram")
+    return cumulated(cumulated(h, "v", "m", "cm", most=most), "v", "vm", "cv", most=most).select("v", "m", "cm", "cv")
 
 
 def gini(units: DataFrame, value: str) -> DataFrame:
@@ -62,17 +68,15 @@ def concentration(units: DataFrame, value: str, tops: tuple[int, ...] = (1, 3, 5
 def lorenz(units: DataFrame, value: str) -> DataFrame:
     """Lorenz points after each distinct value: share of units against share of mass."""
     h = _histogram(units, value)
-    last = Window.partitionBy()
-    return h.select(
-        F.col("v").alias("value"), F.col("cm").alias("units"),
-        F.round(F.col("cm") / F.max("cm").over(last), 6).alias("unit_share"), F.round(F.col("cv") / F.max("cv").over(last), 6).alias("mass_share"),
-    )
+    x = h.crossJoin(F.broadcast(h.agg(F.max("cm").alias("n"), F.max("cv").alias("total"))))  # one row
+    return x.select(F.col("v").alias("value"), F.col("cm").alias("units"), F.round(F.col("cm") / F.col("n"), 6).alias("unit_share"), F.round(F.col("cv") / F.col("total"), 6).alias("mass_share"))
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with the share of rows at or below each."""
     h = _histogram(df, value)
-    return h.select(F.col("v").alias("value"), F.round(F.col("cm") / F.max("cm").over(Window.partitionBy()), 6).alias("share"))
+    x = h.crossJoin(F.broadcast(h.agg(F.max("cm").alias("n"))))  # one row
+    return x.select(F.col("v").alias("value"), F.round(F.col("cm") / F.col("n"), 6).alias("share"))
 
 
 def log_histogram(df: DataFrame, value: str) -> DataFrame:

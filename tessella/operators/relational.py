@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.stats import ONE_PASS, cumulated
+from tessella.scratch import written
 
-def share(value: Column, digits: int = 2) -> Column:
-    """Percentage of the column's total over all rows; for aggregated inputs."""
-    return F.round(100 * value / F.sum(value).over(Window.partitionBy()), digits)
+
+def with_shares(df: DataFrame, value: str, *ties: str, most: int = ONE_PASS) -> DataFrame:
+    """``df``, written, with ``pct`` of the column's total and ``cum_pct``, running from the largest value; ties by ``ties``."""
+    df = written(df, "shares")
+    total = df.agg(F.sum(value).alias("_total"))  # one row
+    out = df.crossJoin(F.broadcast(total)).withColumn("pct", F.round(100 * F.col(value) / F.col("_total"), 2)).drop("_total")
+    out = out.withColumn("_k", F.struct((-F.col(value)).alias("v"), *ties))
+    return cumulated(out, "_k", "pct", "cum_pct", most=most).withColumn("cum_pct", F.round("cum_pct", 2)).drop("_k")
 
 
 def by_item(facts: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -16,11 +23,10 @@ def by_item(facts: DataFrame, catalog: DataFrame) -> DataFrame:
     out = facts.where("item_id is not null").groupBy("item_id").agg(
         F.count("*").alias("n_rows"), F.count_distinct("author_id").alias("n_authors"), F.sum("likes").alias("likes"),
     )
-    out = out.join(catalog, "item_id").withColumn("pct", share(F.col("n_rows")))
-    order = Window.orderBy(F.desc("n_rows"), "item_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = with_shares(out.join(catalog, "item_id"), "n_rows", "item_id")
     return out.select(
         "item_id", "title", "channel_id", "category", "views", "n_rows", "n_authors", "likes", "pct",
-        F.round(F.sum("pct").over(order), 2).alias("cum_pct"),
+        "cum_pct",
         F.round(F.col("n_authors") / F.col("n_rows"), 3).alias("authors_per_row"),
         F.round(1000 * F.col("n_rows") / F.col("views"), 3).alias("rows_per_1k_views"),
     )
@@ -32,9 +38,7 @@ def by_channel(facts: DataFrame, catalog: DataFrame) -> DataFrame:
     seen = facts.join(catalog.select("item_id", "channel_id"), "item_id").groupBy("channel_id").agg(
         F.count("*").alias("n_rows"), F.count_distinct("item_id").alias("n_items"), F.count_distinct("author_id").alias("n_authors"), F.sum("likes").alias("likes"),
     )
-    out = seen.join(whole, "channel_id").withColumn("pct", share(F.col("n_rows")))
-    order = Window.orderBy(F.desc("n_rows"), "channel_id").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("cum_pct", F.round(F.sum("pct").over(order), 2))
+    return with_shares(seen.join(whole, "channel_id"), "n_rows", "channel_id")
 
 
 def by_author(facts: DataFrame, catalog: DataFrame) -> DataFrame:

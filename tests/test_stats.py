@@ -159,3 +159,24 @@ def test_examples_of_classes(spark):
     df = spark.createDataFrame(rows, "id int, predicted string, confidence double")
     got = sorted(map(tuple, scoring.representative_examples(df, "id").collect()))
     assert got == [(1, "NEG", "highest", 0.9), (3, "NEG", "lowest", 0.4), (4, "NEG", "middle", 0.6), (5, "POS", "highest", 0.7)]
+
+
+@pytest.mark.parametrize("most", [1, 7, 10**6])
+def test_kendall_against_all_pairs(spark, most):
+    """Ranges of any size, hot values and ties give the sum over all pairs."""
+    rng = random.Random(most)
+    rows = [(rng.choice([5, 5, rng.randrange(40)]), rng.choice([3, rng.randrange(30), rng.randrange(30)])) for _ in range(260)]
+    sign = lambda x: (x > 0) - (x < 0)
+    s = sum(sign(a - c) * sign(b - d) for i, (a, b) in enumerate(rows) for c, d in rows[:i])
+    pairs = frame(spark, rows, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("m"))
+    assert stats.concordance(pairs, most) == s
+    assert stats.concordance(pairs.limit(0), most) == 0
+
+
+def test_running_shares_in_ranges(spark):
+    rows = [(i, i % 7) for i in range(50)]
+    one, cut = (relational.with_shares(frame(spark, rows, "k long, n long"), "n", "k", most=m).orderBy("k").collect() for m in (100, 5))
+    assert [(r["k"], r["pct"]) for r in one] == [(r["k"], r["pct"]) for r in cut]
+    assert [r["cum_pct"] for r in cut] == pytest.approx([r["cum_pct"] for r in one], abs=0.011)
+    h = [[tuple(r) for r in concentration._histogram(frame(spark, rows, "k long, n long"), "n", most=m).orderBy("v").collect()] for m in (100, 2)]
+    assert h[0] == h[1] and h[0][-1][2] == 50
