@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 from tessella.llm.shared import connected_components, written
 
 
+#: Numbers in an array of distances between rows and codewords.
+CELLS = 1 << 20
+
+
 @dataclass(frozen=True)
 class IndexParams:
     """``cosine``: the least similarity of a link; ``block`` rows a block."""
@@ -61,14 +65,24 @@ def _codebook(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
         return np.zeros((1, x.shape[1]))
     words = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
     for _ in range(rounds):
-        near = _squares(x, words).argmin(axis=1)
-        for j in range(len(words)):
-            own = x[near == j]
-            if len(own):
-                words[j] = own.mean(axis=0)
+        near = _nearest(x, words)
+        n = np.bincount(near, minlength=len(words))[:, None]
+        sums = np.zeros_like(words)
+        np.add.at(sums, near, x)
+        words = np.where(n > 0, sums / np.maximum(n, 1), words)
     return np.unique(words, axis=0)
 
 
+def _blocks(rows: int, words: int) -> Iterator[slice]:
+    """Rows in blocks whose distances from all codewords are ``CELLS`` numbers at most."""
+    step = max(CELLS // max(words, 1), 1)
+    return (slice(k, k + step) for k in range(0, rows, step))
+
+
+def _nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return np.concatenate([_squares(x[k], words).argmin(axis=1) for k in _blocks(len(x), len(words))])
+
+
 def _squares(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] - 2 * x @ words.T + (words * words).sum(axis=1)[None]
 
@@ -108,8 +122,9 @@ def _limit(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], p: IndexParams,
     moved = p.cosine * x + (1 - p.cosine**2) ** 0.5 * away / np.where(size > 0, size, 1)
     half, total = x.shape[1] // 2, np.zeros(len(x))
     for part, words in zip((slice(None, half), slice(half, None)), books, strict=True):
-        cell = _squares(moved[:, part], words).argmin(axis=1)
-        total += _margins(x[:, part], words)[1][np.arange(len(x)), cell]
+        for k in _blocks(len(x), len(words)):
+            cell = _squares(moved[k, part], words).argmin(axis=1)
+            total[k] += _margins(x[k, part], words)[1][np.arange(len(cell)), cell]
     return float(min(np.quantile(total, p.recall) * p.margin, reach))
 
 
@@ -150,16 +165,18 @@ def link_vectors(rows: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
             for k, v in enumerate(table["v"]):
                 by_size.setdefault(len(v), []).append(k)
             for size, at in by_size.items():
-                x = _unit(np.array([table["v"][k] for k in at], dtype=np.float64))
                 # A length that the sample lacks has a grid of one cell.
                 one, two = books.get(size, (np.zeros((1, size // 2)), np.zeros((1, size - size // 2))))
-                (near, first), (close, second) = _margins(x[:, : size // 2], one), _margins(x[:, size // 2 :], two)
-                for row, k in enumerate(at):
-                    own = (int(near[row]), int(close[row]))
-                    cells = [c for c in traverse(first[row], second[row], limits.get(size, 0.0)) if c >= own]
-                    for (i, j), home in [(own, True), *((c, False) for c in cells)]:
-                        for into, value in zip(out, (table["rep"][k], f"{size}:{i}:{j}:{table['label'][k]}", home, (i, j) == own), strict=True):
-                            into.append(value)
+                for block in _blocks(len(at), len(one) + len(two)):
+                    here = at[block]
+                    x = _unit(np.array([table["v"][k] for k in here], dtype=np.float64))
+                    (near, first), (close, second) = _margins(x[:, : size // 2], one), _margins(x[:, size // 2 :], two)
+                    for row, k in enumerate(here):
+                        own = (int(near[row]), int(close[row]))
+                        cells = [c for c in traverse(first[row], second[row], limits.get(size, 0.0)) if c >= own]
+                        for (i, j), home in [(own, True), *((c, False) for c in cells)]:
+                            for into, value in zip(out, (table["rep"][k], f"{size}:{i}:{j}:{table['label'][k]}", home, (i, j) == own), strict=True):
+                                into.append(value)
             types = (pa.int64(), pa.string(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["rep", "cell", "home", "same"])
 

@@ -54,6 +54,17 @@ def test_recall_of_all_embeddings(spark):
     assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.999 * sum(want.values())
 
 
+def test_blocks_of_rows_change_nothing(monkeypatch):
+    """Codebooks and limits by single rows are those of whole arrays."""
+    rng = np.random.default_rng(3)
+    x = multi_index._unit(rng.normal(size=(300, 8)))
+    whole = [multi_index._codebook(x[:, half], 12, 5) for half in (slice(0, 4), slice(4, 8))]
+    limit = multi_index._limit(x, tuple(whole), P)
+    monkeypatch.setattr(multi_index, "CELLS", 12)
+    assert all(np.allclose(a, multi_index._codebook(x[:, half], 12, 5)) for a, half in zip(whole, (slice(0, 4), slice(4, 8)), strict=True))
+    assert abs(multi_index._limit(x, tuple(whole), P) - limit) < 1e-12
+
+
 def test_traversal_visits_in_order_up_to_the_limit():
     rng = np.random.default_rng(2)
     a, b = rng.random(9), rng.random(7)
