@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import ids, reltime
 from tessella.functions import text as T
-from tessella.operators import blocks, centrality, cohesion as connectivity, community, concentration, distances, graph, quality, relational, scoring, stats, text_stats
+from tessella.operators import blocks, centrality, cohesion as connectivity, community, concentration, distances, graph, quality, relational, scoring, stats, text_model, text_stats
 from tessella.oracles import ORACLE
 from tessella.plans import relations
 from tessella.plans.questions import QUESTIONS, questions_answers
@@ -809,6 +809,26 @@ def score_texts(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("doc_id", "prob_NEG", "prob_NEU", "prob_POS", "predicted", "confidence", "margin", "entropy", "low_confidence")
 
 
+def _fitted(spark: SparkSession, d: str):
+    """The text model, fitted on all labelled documents: toxic ones are NEG, other good ones POS, the rest NEU."""
+    label = F.when(F.col("toxic") == 1, "NEG").when(F.col("quality") == 1, "POS").otherwise("NEU")
+    known = tables.table(spark, d, "labels").select("doc_id", label.alias("tone"))
+    return text_model.fit(tables.documents(spark, d).join(known, "doc_id"), "text", "tone")
+
+
+@query
+def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """All documents by the fitted text model, in batches."""
+    scored = text_model.predict(tables.documents(spark, d).select("doc_id", "text"), "text", _fitted(spark, d))
+    return scored.select("doc_id", "prob_NEG", "prob_NEU", "prob_POS", "predicted", "confidence", "margin", "entropy", "low_confidence")
+
+
+@query
+def model_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted text model and a run of it over all documents."""
+    return text_model.metadata(tables.documents(spark, d), "text", _fitted(spark, d))
+
+
 @query
 def label_distribution(spark: SparkSession, d: str) -> DataFrame:
     return scoring.label_distribution(_scored(spark, d))
