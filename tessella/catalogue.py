@@ -383,6 +383,35 @@ def emoji_counts(spark: SparkSession, d: str) -> DataFrame:
     return text_stats.term_counts(tables.documents(spark, d), T.extract_emojis(F.col("text")))
 
 
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with tags and pictures put after their text, as the tables' own texts hold none."""
+    docs = tables.documents(spark, d)
+    tags = F.concat_ws(" ", *(F.concat(F.lit("#"), F.col(c)) for c in ("source", "lang")), F.lit("#Tessella"))
+    picture = F.when(F.col("lang") == "en", "👍🏽").when(F.col("lang") == "de", "👩‍👧").otherwise("🇫🇷")
+    cup = F.when(F.col("doc_id") % 3 == 0, F.lit(" x☕")).otherwise(F.lit(""))
+    return docs.withColumn("text", F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "#", " "), F.lit(" "), tags, F.lit(" "), picture, cup))
+
+
+@query
+def tagged_hashtags(spark: SparkSession, d: str) -> DataFrame:
+    """Hashtags with the source of their document."""
+    each = _tagged(spark, d).select("source", F.explode(T.extract_hashtags(F.col("text"))).alias("term"))
+    return each.groupBy("term", "source").agg(F.count("*").alias("frequency"))
+
+
+@query
+def tagged_emojis(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures, of which some are sequences: a skin tone, a joined pair, a flag."""
+    return text_stats.term_counts(_tagged(spark, d), T.extract_emojis(F.col("text")))
+
+
+@query
+def page_link_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Links in the text of pages and documents."""
+    pages = tables.table(spark, d, "pages").select(F.col("html").alias("text"))
+    return text_stats.term_counts(pages.unionByName(tables.documents(spark, d).select("text")), T.extract_urls(F.col("text")))
+
+
 @query
 def mention_counts_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Mentions with the source of their document."""

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import tokens
-from tessella.operators import graph, relational, stats
+from tessella.operators import distances, graph, relational, stats
 from tessella.operators.concentration import concentration
 from tessella.operators.scoring import score_texts
+from tessella.scratch import written
 from tessella.sources import tables
 
 
@@ -110,12 +111,17 @@ def a4_tone_and_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a5_visibility_and_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does visibility predict an item's place in the network: two rank correlations."""
+    """Does visibility predict an item's place in the network: three rank correlations."""
     facts, catalog = tables.participation(spark, sf_dir), tables.catalog(spark, sf_dir)
     edges = graph.bipartite_edges(facts)
     nodes = edges.select(F.col("dst").alias("node_id"), "item_id").distinct()
-    pos = graph.degrees(nodes, graph.projection(edges, "dst", "src")).join(nodes, "node_id").join(catalog.select("item_id", "views"), "item_id")
-    return reduce(DataFrame.unionByName, (stats.spearman(pos, "views", c).select(F.lit(c).alias("measure"), "n", "rho", "p") for c in ("degree", "strength")))
+    pairs = written(graph.projection(edges, "dst", "src"), "projection")
+    n = nodes.agg(F.count("*").alias("n"))  # one row
+    through = distances.path_sums(nodes, pairs, True).crossJoin(F.broadcast(n))
+    through = through.select("node_id", F.round(F.coalesce(F.col("through") / F.nullif((F.col("n") - 1) * (F.col("n") - 2), F.lit(0)), F.lit(0.0)), 6).alias("weighted_betweenness"))
+    pos = graph.degrees(nodes, pairs).join(nodes, "node_id").join(through, "node_id").join(catalog.select("item_id", "views"), "item_id")
+    pos = written(pos, "places")
+    return reduce(DataFrame.unionByName, (stats.spearman(pos, "views", c).select(F.lit(c).alias("measure"), "n", "rho", "p") for c in ("degree", "strength", "weighted_betweenness")))
 
 
 #: The questions in words.
