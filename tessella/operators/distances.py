@@ -32,8 +32,7 @@ class Network:
 
     names: DataFrame
     arcs: DataFrame
-    n: int
-    m: int
+    cost: int  # nodes and arcs of a source's component, summed over all sources
 
 
 def network(nodes: DataFrame, edges: DataFrame, weighted: bool) -> Network:
@@ -42,15 +41,17 @@ def network(nodes: DataFrame, edges: DataFrame, weighted: bool) -> Network:
     one = edges.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"), length.alias("len"))
     arcs = written(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "len")), "arcs")
     label = connected_components(arcs.select("a", "b"), "parts")
-    sizes = label.groupBy("label").agg(F.count("*").alias("whole"))
+    degree = arcs.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d"))
+    sizes = written(label.join(degree, "node").groupBy("label").agg(F.count("*").alias("whole"), F.sum("d").alias("arcs")), "sizes")
+    cost = sizes.agg(F.sum(F.col("whole") * (F.col("whole") + F.col("arcs")).cast("double"))).first()[0] or 0
     placed = nodes.select("node_id", F.xxhash64("node_id").alias("node")).join(label.join(sizes, "label"), "node", "left")
     names = written(placed.select("node_id", "node", F.coalesce("whole", F.lit(1)).cast("long").alias("whole")), "names")
-    return Network(names, arcs, names.count(), arcs.count())
+    return Network(names, arcs, int(cost))
 
 
 def source_blocks(g: Network, rows: int) -> list[DataFrame]:
-    """Sources ``s, whole`` in so many blocks that nodes and arcs times the sources of one stay below ``rows``."""
-    k = max(-(-g.n * (g.n + g.m) // rows), 1)
+    """Sources ``s, whole`` in so many blocks that the nodes and arcs which those of one can reach stay below ``rows``."""
+    k = max(-(-g.cost // rows), 1)
     return [g.names.where(F.pmod("node", F.lit(k)) == i).select(F.col("node").alias("s"), "whole") for i in range(k)]
 
 
