@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions import emoji
 from tessella.functions.ids import SPACE, normalize_key, strip
 
 URL = r"(?i)(?:https?://|www\.)\S+"
@@ -108,18 +109,21 @@ def clean_text(text: Column, stop: list[str] | None = None, lemmas: Column | Non
     )
 
 
-def model_text(text: Column, names: Column | None = None) -> Column:
+def model_text(text: Column, names: Column | emoji.Table | None = None) -> Column:
     """A text as the classifier expects it: case and punctuation kept.
 
     Links become ``url``, mentions ``@usuario``, hashtags their word, laughs ``jaja``, runs of
-    three or more of a character three. ``names`` is a map from emoji to its name, put between
-    ``emoji`` words; emoji that it lacks are left in place.
+    three or more of a character three. ``names`` is a table of emoji (:mod:`.emoji`), found by
+    longest match, or a small map from emoji to its name; names are put between ``emoji`` words, with
+    spaces for underscores, and emoji that ``names`` lacks are left in place.
     """
     out = F.regexp_replace(F.coalesce(text, F.lit("")), URL, "url")
     out = F.regexp_replace(F.regexp_replace(out, MENTION, "@usuario"), HASHTAG, "$1")
     out = F.regexp_replace(out, r"(?iU)\b[jha]{4,}\b", "jaja")
     out = F.regexp_replace(out, r"(?s)(.)\1{2,}", "$1$1$1")
-    if names is not None:
+    if isinstance(names, emoji.Table):
+        out = emoji.named(out, emoji.Table({k: v.replace("_", " ") for k, v in names.names.items()}, names.pattern))
+    elif names is not None:
         found = F.array_distinct(extract_emojis(out))
         named = lambda e: F.replace(F.element_at(names, e), F.lit("_"), F.lit(" "))
         put = lambda acc, e: F.replace(acc, e, F.coalesce(F.concat(F.lit(" emoji "), named(e), F.lit(" emoji ")), e))

@@ -42,6 +42,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Participations that left a text: the documents whose id is that of a fact."""
+    facts = participation(spark, sf_dir).select(F.col("fact_id").alias("doc_id"), "item_id", "author_id", "likes", "source")
+    return documents(spark, sf_dir).drop("source").join(facts, "doc_id")
+
+
 def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second fact table, of a graph that falls into parts: customers of one nation who order on one day meet.
 
