@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import ids, reltime
+from tessella.functions import emoji, ids, reltime
 from tessella.functions import text as T
 from tessella.operators import blocks, centrality, cohesion as connectivity, community, concentration, distances, graph, quality, relational, scoring, stats, text_model, text_stats
 from tessella.oracles import ORACLE
-from tessella.plans import relations
+from tessella.plans import communities, relations
 from tessella.plans.questions import QUESTIONS, questions_answers
 from tessella.scratch import written
 from tessella.sources import tables
@@ -405,6 +405,34 @@ def tagged_emojis(spark: SparkSession, d: str) -> DataFrame:
     return text_stats.term_counts(_tagged(spark, d), T.extract_emojis(F.col("text")))
 
 
+#: Pictures put after texts by turns: a tone, a joined pair, a region's tags, a keycap, neighbours without a space, a selector.
+_PICTURES = ("👍🏽", emoji.joined("👩", "👧"), emoji.region_flag("gbsct"), "3\ufe0f\u20e3", "🇫🇷🇩🇪", "❤\ufe0f☕", "no 3 picture")
+
+
+def _pictures() -> emoji.Table:
+    return emoji.table(emoji.characters() | {_PICTURES[1]: "mother and daughter", _PICTURES[2]: "flag of scotland"})
+
+
+def _pictured(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with pictures put after their text, as the tables' own texts hold none."""
+    which = F.element_at(F.array(*map(F.lit, _PICTURES)), (F.pmod("doc_id", F.lit(len(_PICTURES))) + 1).cast("int"))
+    return tables.documents(spark, d).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), which))
+
+
+@query
+def picture_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences by longest match over a table, with their names and code points."""
+    t = _pictures()
+    counts = text_stats.term_counts(_pictured(spark, d), emoji.found(F.col("text"), t))
+    return counts.select("term", F.element_at(emoji.names_of(F.array("term"), t), 1).alias("name"), T.code_points(F.col("term")).alias("points"), "frequency")
+
+
+@query
+def pictured_model_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as the classifier expects them, with the names of pictures."""
+    return _pictured(spark, d).select("doc_id", F.md5(T.model_text(F.col("text"), _pictures())).alias("md5"))
+
+
 @query
 def page_link_counts(spark: SparkSession, d: str) -> DataFrame:
     """Links in the text of pages and documents."""
@@ -826,6 +854,73 @@ def partition_agreement(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (stats.agreement(both, "community", k).withColumn("against", F.lit(k)) for k in ("category", "channel_id")))
 
 
+# Communities and what is said in them.
+
+
+def _spoken(spark: SparkSession, d: str, partition: DataFrame) -> DataFrame:
+    return communities.said(tables.comments(spark, d), partition, list(T.DOMAIN_STOPWORDS))
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    return written(community.detect(*_items(spark, d)), "communities")
+
+
+def _portrait(spark: SparkSession, d: str, partition: DataFrame) -> DataFrame:
+    f, c = _fc(spark, d)
+    return communities.portrait(_ge(spark, d), _items(spark, d)[1], partition, c, f, _spoken(spark, d, partition))
+
+
+@query
+def community_portrait(spark: SparkSession, d: str) -> DataFrame:
+    """Size, place, terms, words, tags and tone of each category of items."""
+    return _portrait(spark, d, _by_category(spark, d))
+
+
+@query
+def community_portrait_found(spark: SparkSession, d: str) -> DataFrame:
+    """The same of detected communities."""
+    return _portrait(spark, d, _found(spark, d))
+
+
+@query
+def community_text_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The weightiest words and pairs of what is said in each category."""
+    return communities.community_terms(_spoken(spark, d, _by_category(spark, d)))
+
+
+@query
+def community_overview(spark: SparkSession, d: str) -> DataFrame:
+    """How many categories, their modularity, and whether tone depends on them."""
+    p = _by_category(spark, d)
+    return communities.overview(_items(spark, d)[1], p, _spoken(spark, d, p))
+
+
+@query
+def community_overview_found(spark: SparkSession, d: str) -> DataFrame:
+    """The same of detected communities."""
+    p = _found(spark, d)
+    return communities.overview(_items(spark, d)[1], p, _spoken(spark, d, p))
+
+
+@query
+def source_and_community(spark: SparkSession, d: str) -> DataFrame:
+    """Does the source of a participation go with the category of its item."""
+    return communities.source_agreement(_fc(spark, d)[0], _by_category(spark, d))
+
+
+@query
+def source_and_community_found(spark: SparkSession, d: str) -> DataFrame:
+    """Does the source of a participation go with the detected community of its item."""
+    return communities.source_agreement(_fc(spark, d)[0], _found(spark, d))
+
+
+@query
+def tone_and_likes(spark: SparkSession, d: str) -> DataFrame:
+    """Does tone go with likes: Kruskal-Wallis over the classes, likes against confidence, median likes by class."""
+    scored = scoring.score_texts(tables.comments(spark, d), "text")
+    return communities.tone_and_likes(scored)
+
+
 # Scores.
 
 

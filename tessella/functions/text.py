@@ -139,4 +139,4 @@ def ngrams(words: Column, n: int) -> Column:
 
 def code_points(text: Column) -> Column:
     """Characters as ``U+`` code points, for reports on emoji."""
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.concat(F.lit("U+"), F.upper(F.ltrim(F.lit("0"), F.hex(F.encode(c, "UTF-32")))))), " ")
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.concat(F.lit("U+"), F.upper(F.ltrim(F.hex(F.encode(c, "UTF-32")), F.lit("0"))))), " ")
