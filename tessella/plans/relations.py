@@ -216,3 +216,40 @@ def community_order(partition: DataFrame) -> DataFrame:
     sizes = partition.groupBy("community").agg(F.count("*").alias("size"), F.min("node_id").alias("first"))
     order = Window.orderBy(F.desc("size"), "first")  # one row a community
     return sizes.select("community", "size", (F.row_number().over(order) - 1).alias("number"))
+
+
+def _leaders(df: DataFrame, network: str, column: str, k: int) -> DataFrame:
+    """The first ``k`` nodes by a column, ties by node, with their places."""
+    best = df.where(F.col(column).isNotNull()).orderBy(F.desc(column), "node_id").limit(k)
+    place = F.row_number().over(Window.orderBy(F.desc(column), "node_id"))  # k rows
+    return best.select(F.lit(f"top_{column}").alias("measure"), F.lit(network).alias("network"), place.alias("place"), "node_id", F.col(column).cast("double").alias("value"))
+
+
+def centrality_summary(networks: dict[str, DataFrame], removal: DataFrame, bridges: DataFrame, k: int = 10) -> DataFrame:
+    """``measure, network, place, node_id, value``: who matters, as counts and lists.
+
+    ``networks`` holds each network's ``node_id, degree, strength, weighted_betweenness``; of each come
+    how many nodes there are, how many and what share lie on shortest paths, and the first ``k`` by two
+    measures. ``removal`` (articulation points, with their network) and ``bridges`` (bridge authors)
+    give counts and whole lists: every verified point with the parts that removing it adds, every
+    bridge with the components it holds together, every author of several items with how many. Counts
+    have no place and no node; without any node the share is null.
+    """
+    one = lambda df, network, **values: unpivoted(df.agg(*(v.alias(m) for m, v in values.items()))).select(
+        F.col("metric").alias("measure"), F.lit(network).alias("network"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("node_id"), "value"
+    )
+    count = lambda c: F.count(F.when(c, 1))
+    parts = []
+    for name, df in networks.items():
+        between = F.col("weighted_betweenness") > 0
+        parts.append(one(df, name, n_nodes=F.count("*"), n_between=count(between), pct_between=F.round(100 * F.avg(F.coalesce(between, F.lit(False)).cast("double")), 2)))
+        parts += [_leaders(df, name, c, k) for c in ("weighted_betweenness", "strength")]
+    points = removal.where("verified")
+    parts.append(points.groupBy("network").agg(F.count("*").cast("double").alias("value")).select(F.lit("n_cut_points").alias("measure"), "network", F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("node_id"), "value"))
+    listed = lambda df, measure, network, node, value: df.select(F.lit(measure).alias("measure"), network.alias("network"), F.lit(None).cast("int").alias("place"), F.col(node).alias("node_id"), F.col(value).cast("double").alias("value"))
+    parts.append(listed(points, "cut_point", F.col("network"), "node_id", "delta_components"))
+    several = F.col("n_items") > 1
+    authors = F.lit("authors")
+    parts.append(one(bridges, "authors", n_bridges=count(F.col("is_bridge")), n_several_items=count(several), n_several_channels=count(F.col("is_multichannel")), n_several_communities=count(F.col("n_communities") > 1), n_recurrent=count(F.col("is_recurrent"))))
+    parts += [listed(bridges.where("is_bridge"), "bridge", authors, "author", "delta_components"), listed(bridges.where(several), "several_items", authors, "author", "n_items")]
+    return reduce(DataFrame.unionByName, parts)
