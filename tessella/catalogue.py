@@ -927,8 +927,8 @@ def source_and_community_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tone_and_likes(spark: SparkSession, d: str) -> DataFrame:
     """Does tone go with likes: Kruskal-Wallis over the classes, likes against confidence, median likes by class."""
-    scored = scoring.score_texts(tables.comments(spark, d), "text")
-    return communities.tone_and_likes(scored)
+    scored = scoring.score_texts(tables.comments(spark, d), "text").select("likes", "predicted", "confidence")
+    return communities.tone_and_likes(written(scored, "scored"))
 
 
 # Scores.
