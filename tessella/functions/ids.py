@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,11 +43,26 @@ def normalize_display(text: Column, unicode: bool = True) -> Column:
     return F.regexp_replace(normalize_id(text, unicode), SPACE, " ")
 
 
+def chosen(value: Column, holds: Callable[[Column], Column], then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value where ``holds`` is true of it, else the value, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), lambda x: F.when(holds(x), then(x)).otherwise(x)), 1)
+
+
+def is_wide(text: Column) -> Column:
+    """Whether a text has characters beyond ASCII."""
+    return F.octet_length(text) > F.length(text)
+
+
+def folded(text: Column) -> Column:
+    """Lower case (sharp s as ss), without accents; a null is empty."""
+    low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
+    bare = lambda x: F.call_function("java_method", F.lit("org.apache.commons.lang3.StringUtils"), F.lit("stripAccents"), x)
+    return chosen(low, is_wide, bare)
+
+
 def normalize_key(text: Column) -> Column:
     """A comparison key: lower case (sharp s as ss), no accents, one space between words."""
-    folded = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
-    plain = F.call_function("java_method", F.lit("org.apache.commons.lang3.StringUtils"), F.lit("stripAccents"), folded)
-    return F.regexp_replace(strip(plain), SPACE, " ")
+    return F.regexp_replace(strip(folded(text)), SPACE, " ")
 
 
 def is_percent_encoded(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessella.functions import emoji
-from tessella.functions.ids import SPACE, normalize_key, strip
+from tessella.functions.ids import SPACE, chosen, folded, is_wide, normalize_key, strip
 
 URL = r"(?i)(?:https?://|www\.)\S+"
 HASHTAG = r"(?U)#(\w+)"
@@ -74,12 +74,15 @@ def content_tokens(text: Column, stop: list[str] | None = None) -> Column:
     of a character become two, then the comparison key, punctuation and underscores as spaces, and
     of the words those that are numbers, shorter than three characters or stop words go.
     """
+    has = lambda sign: lambda x: x.contains(sign)
+    put = lambda pattern, by: lambda x: F.regexp_replace(x, pattern, by)
+    # A text is searched only for what it can hold: signs and wide characters are cheap to look for.
     out = F.regexp_replace(F.coalesce(text, F.lit("")), URL, " ")
-    out = F.regexp_replace(F.regexp_replace(out, SHORTCODE, " "), MENTION, " ")
-    out = F.regexp_replace(F.regexp_replace(out, HASHTAG, r" $1 "), EMOJI, " ")
-    out = F.regexp_replace(out, r"(?s)(.)\1{2,}", "$1$1")
-    out = F.regexp_replace(normalize_key(out), r"(?U)[^\w\s]|_", " ")
-    words = F.filter(tokens(out), lambda x: ~x.rlike(r"^[0-9]+([.,][0-9]+)*$") & (F.length(x) > 2))
+    out = chosen(chosen(out, has(":"), put(SHORTCODE, " ")), has("@"), put(MENTION, " "))
+    out = chosen(chosen(out, has("#"), put(HASHTAG, " $1 ")), is_wide, put(EMOJI, " "))
+    out = folded(F.regexp_replace(out, r"(?s)(.)\1{2,}", "$1$1"))
+    number = lambda x: (x < ":") & x.rlike(r"^[0-9]+$")
+    words = F.filter(tokens(F.regexp_replace(out, r"(?U)[^\w\s]|_", " ")), lambda x: (F.length(x) > 2) & ~number(x))
     return _without(words, stop) if stop else words
 
 

@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import tokens
 from tessella.operators.stats import cumulated
 
 LABELS = ["NEG", "NEU", "POS"]
@@ -23,7 +22,9 @@ POSITIVE = ("amo", "best", "bien", "bueno", "excelente", "excellent", "genial",
 
 def lexicon_scores(text: Column) -> tuple[Column, Column, Column]:
     """Probabilities of the classes: softmax of one and a half a hit, of which all count, and half for the middle."""
-    words = F.transform(tokens(F.lower(F.coalesce(text, F.lit("")))), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
+    # A hit is a part between white space that is a word of the lexicon once signs and digits at its ends are off.
+    found = rf"(?U)(?<!\S)[^\p{{L}}\s]*({'|'.join(sorted({*NEGATIVE, *POSITIVE}))})[^\p{{L}}\s]*(?!\S)"
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(found), F.lit(1))
     hits = lambda lexicon: F.size(F.filter(words, lambda w: w.isin(*lexicon)))
     raw = (1.5 * hits(NEGATIVE), F.lit(0.5), 1.5 * hits(POSITIVE))
     top = F.greatest(*raw)  # no exponent is above 0, so none overflows
