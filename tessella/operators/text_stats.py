@@ -56,31 +56,45 @@ def _followed(ends: DataFrame, most: int) -> DataFrame:
     return placed.where("_next.g = g").withColumn("after", F.col("_next.f")).drop("_next", "_first", "_range")
 
 
-def tfidf_by_group(df: DataFrame, group: str, order: str, words: Column, k: int, most: int = ONE_PASS) -> DataFrame:
-    """The k weightiest words and word pairs of each group, taken as one document.
+def group_terms(df: DataFrame, group: str, order: str, words: Column, most: int = ONE_PASS) -> DataFrame:
+    """``g, term, as_word, as_pair, raw`` of the words and word pairs of each group, counted once and written.
 
-    Term frequency is 1 + ln(count), the inverse frequency ln((1 + N) / (1 + df)) + 1, and weights
-    are divided by the group's Euclidean norm. Pairs cross the border of two documents of a group
-    that follow one another in ``order``. Fewer than two groups give no rows.
+    ``as_word`` and ``as_pair`` count places inside documents. ``raw`` is the weight before the norm:
+    the group is one document, term frequency is 1 + ln(count), the inverse frequency
+    ln((1 + N) / (1 + df)) + 1; it is null where there are fewer than two groups. Pairs that cross
+    the border of two documents of a group that follow one another in ``order`` count for ``raw`` alone.
 
     A group's texts are never gathered: pairs inside a document are made in place, and the border
     pairs from the last and first word of neighbours.
     """
     docs = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), words.alias("w")).where("size(w) > 0")
     ends = docs.select("g", "o", F.element_at("w", 1).alias("f"), F.element_at("w", -1).alias("l"))
-    border = _followed(ends, most).select("g", F.concat_ws(" ", "l", "after").alias("term"))
-    inside = docs.select("g", F.explode(F.concat("w", T.ngrams(F.col("w"), 2))).alias("term"))
-    counts = inside.unionByName(border).groupBy("g", "term").agg(F.count("*").alias("c"))
+    border = _followed(ends, most).select("g", F.concat_ws(" ", "l", "after").alias("term"), F.lit(0).alias("kind"))
+    inside = docs.select("g", F.size("w").alias("n"), F.posexplode(F.concat("w", T.ngrams(F.col("w"), 2))).alias("at", "term"))
+    inside = inside.select("g", "term", F.when(F.col("at") < F.col("n"), 1).otherwise(2).alias("kind"))
+    of = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    counts = inside.unionByName(border).groupBy("g", "term").agg(F.count("*").alias("c"), of(1).alias("as_word"), of(2).alias("as_pair"))
     n = docs.select("g").distinct().agg(F.count("*").alias("n"))  # one row
-    # A term has as many rows as groups that hold it; weights are written, as norms and ranks both read them.
-    raw = counts.withColumn("df", F.count("*").over(Window.partitionBy("term"))).crossJoin(F.broadcast(n)).where("n > 1")
-    raw = written(raw.select("g", "term", ((1 + F.log("c")) * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w")), "weights")
-    norms = raw.groupBy("g").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weighted = raw.join(F.broadcast(norms), "g").select("g", "term", F.round(F.col("w") / F.col("norm"), 5).alias("weight"))  # one row a group
+    # A term has as many rows as groups that hold it.
+    counts = counts.withColumn("df", F.count("*").over(Window.partitionBy("term"))).crossJoin(F.broadcast(n))
+    raw = (1 + F.log("c")) * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1)
+    return written(counts.select("g", "term", "as_word", "as_pair", F.when(F.col("n") > 1, raw).alias("raw")), "terms")
+
+
+def weightiest(terms: DataFrame, k: int) -> DataFrame:
+    """``grp, place, term, weight``: the k weightiest of :func:`group_terms`, divided by the group's Euclidean norm; ties by term."""
+    raw = terms.where("raw is not null").select("g", "term", "raw")
+    norms = raw.groupBy("g").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    weighted = raw.join(F.broadcast(norms), "g").select("g", "term", F.round(F.col("raw") / F.col("norm"), 5).alias("weight"))  # one row a group
     place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("weight"), "term"))
     return weighted.withColumn("place", place).where(F.col("place") <= k).select(F.col("g").alias("grp"), "place", "term", "weight")
 
 
+def tfidf_by_group(df: DataFrame, group: str, order: str, words: Column, k: int, most: int = ONE_PASS) -> DataFrame:
+    """The k weightiest words and word pairs of each group, taken as one document; fewer than two groups give no rows."""
+    return weightiest(group_terms(df, group, order, words, most), k)
+
+
 def cleaning_effect(df: DataFrame, key: str, text: str, stop: list[str] | None = None) -> DataFrame:
     """One row: what cleaning does to a corpus, before and after, in one pass."""
     x = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"), T.content_tokens(F.col(text), stop).alias("w"))
