@@ -136,6 +136,10 @@ def model_text(text: Column, names: Column | emoji.Table | None = None) -> Colum
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words, joined by spaces."""
+    if n == 2:  # neighbours of two slices; no slice a pair
+        upto = F.size(words) - 1
+        pairs = F.zip_with(F.slice(words, 1, upto), F.slice(words, 2, upto), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(upto > 0, pairs).otherwise(F.array().cast("array<string>"))
     places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))
 
