@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.components import connected_components
-from tessella.operators.stats import correlation
+from tessella.operators.stats import correlation, quantiles
 from tessella.scratch import written
 
 
@@ -124,10 +124,20 @@ def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _triangles(edges: DataFrame) -> DataFrame:
-    """Each triangle once, a < b < c, with its three weights."""
+    """Each triangle once, with its three weights.
+
+    Edges go from the end with fewer edges to the one with more, ties by id, so no node starts more
+    than about the root of twice the edges, and a hub makes no square of its degree in open paths.
+    """
     e = edges.select("src", "dst", "weight")
-    ab, bc = e.toDF("a", "b", "w1"), e.toDF("b", "c", "w2")
-    return ab.join(bc, "b").join(e.toDF("a", "c", "w3"), ["a", "c"])
+    d = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    e = e.join(d.toDF("src", "ds"), "src").join(d.toDF("dst", "dd"), "dst")
+    up = F.struct("ds", "src") < F.struct("dd", "dst")
+    e = e.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"), "weight")
+    e = written(e, "oriented")
+    ab, ac, bc = e.toDF("a", "b", "w1"), e.toDF("a", "c", "w2"), e.toDF("b", "c", "w3")
+    # Both other corners lie above the first; the edge between them closes the triangle either way round.
+    return ab.join(ac, "a").join(bc, ["b", "c"])
 
 
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -273,8 +283,9 @@ def community_profile(edges: DataFrame, items: DataFrame, partition: DataFrame,
     info = partition.join(catalog.withColumn("node_id", item_node("item_id")), "node_id", "left")
     base = info.groupBy("community").agg(
         F.count("*").alias("n_items"), F.count_distinct("channel_id").alias("n_channels"), F.array_join(F.array_sort(F.collect_set("channel_id")), " || ").alias("channels"),
-        F.array_join(F.array_sort(F.collect_set("category")), " || ").alias("categories"), F.round(F.sum("views"), 2).alias("views"), F.round(F.median("views"), 3).alias("median_views"),
+        F.array_join(F.array_sort(F.collect_set("category")), " || ").alias("categories"), F.round(F.sum("views"), 2).alias("views"),
     )
+    base = base.join(quantiles(info, "views", "community", {"m": 0.5}).select("community", F.round("m", 3).alias("median_views")), "community", "left")
     seen = edges.join(partition.select(F.col("node_id").alias("dst"), "community"), "dst")
     per = seen.groupBy("community", "src").agg(F.sum("weight").alias("w"), F.count("*").alias("k"), F.sum("likes").alias("l"))
     per = per.groupBy("community").agg(F.sum("w").alias("n_rows"), F.count("*").alias("n_authors"), F.count(F.when(F.col("k") > 1, 1)).alias("n_multi_item_authors"), F.sum("l").alias("likes"))

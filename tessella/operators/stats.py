@@ -54,49 +54,67 @@ def adjusted_kurtosis(g: Column, n: Column) -> Column:
     return F.when((n > 3) & ~F.isnan(g), (n - 1) / ((n - 2) * (n - 3.0)) * ((n + 1) * g + 6))
 
 
+def value_counts(df: DataFrame, value: str, by: str) -> DataFrame:
+    """``g, x, m``: how often each value, as a double, comes in each group; nulls go. Written, so the source is read once."""
+    x = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("x"))
+    return written(x.groupBy("g", "x").agg(F.count("*").alias("m")), "values")
+
+
+def _moments(counts: DataFrame) -> DataFrame:
+    """``g, n, total, min, max, mean, std, skew, kurtosis`` of :func:`value_counts`, uncorrected but for the sample's std.
+
+    Powers of the distances from the mean are summed in a second pass. Values that are all alike have
+    a std of zero, or null for one value, and no skewness.
+    """
+    x, m, n = F.col("x"), F.col("m"), F.col("n")
+    base = counts.groupBy("g").agg(F.sum("m").alias("n"), F.sum(x * m).alias("total"), F.min("x").alias("min"), F.max("x").alias("max")).withColumn("mean", F.col("total") / n)
+    off = x - F.col("mean")
+    powers = counts.join(base.select("g", "mean"), "g").groupBy("g").agg(*(F.sum(F.pow(off, F.lit(k)) * m).alias(f"s{k}") for k in (2, 3, 4)))
+    alike = F.col("min") == F.col("max")
+    s2 = F.when(~alike, F.nullif("s2", F.lit(0.0)))
+    return base.join(powers, "g").select(
+        *base.columns, F.when(n > 1, F.when(alike, 0.0).otherwise(F.sqrt(F.col("s2") / (n - 1)))).alias("std"),
+        (F.col("s3") / n / F.pow(s2 / n, F.lit(1.5))).alias("skew"), (n * F.col("s4") / (s2 * s2) - 3).alias("kurtosis"),
+    )
+
+
 def distribution(df: DataFrame, value: str, by: str | None = None, most: int = ONE_PASS) -> DataFrame:
-    """Twelve descriptive measures, per group if asked for; quantiles as in :func:`quantiles`."""
-    key = by or "_all"
-    rows = (df if by else df.withColumn(key, F.lit(0))).where(F.col(value).isNotNull() & F.col(key).isNotNull())
-    x = F.col(value).cast("double")
-    n = F.count(x)
-    moments = rows.groupBy(key).agg(
-        n.alias("n"), F.round(F.sum(x), 4).alias("total"), F.min(x).alias("min"), F.round(F.avg(x), 2).alias("mean"), F.max(x).alias("max"),
-        F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 2).alias("std"),
-        (F.round(F.coalesce(adjusted_skew(F.skewness(x), n), F.lit(0.0)), 3) + 0.0).alias("skew"),
+    """Twelve descriptive measures, per group if asked for; all from counted values."""
+    counts = value_counts(df if by else df.withColumn("_all", F.lit(0)), value, by or "_all")
+    n = F.col("n")
+    moments = _moments(counts).select(
+        "g", "n", F.round("total", 4).alias("total"), "min", F.round("mean", 2).alias("mean"), "max", F.round(F.coalesce("std", F.lit(0.0)), 2).alias("std"),
+        (F.round(F.coalesce(adjusted_skew(F.col("skew"), n), F.lit(0.0)), 3) + 0.0).alias("skew"),
     )
-    at = quantiles(rows, value, key, {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}, most)
-    out = moments.join(at, key)
+    at = counted_quantiles(counts, {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}, most)
+    out = moments.join(at, "g")
     if not by and out.isEmpty():  # no rows: one row of zeros and nulls, as an aggregate without groups gives
         out = df.sparkSession.createDataFrame([(0, 0.0, 0.0)], "n long, std double, skew double").withColumns({c: F.lit(None).cast("double") for c in ("total", "min", "mean", "max", "p25", "median", "p75", "p90", "p99")})
-    return out.select(*([by] if by else []), "n", "total", "min", "p25", "median", "mean", "p75", "p90", "p99", "max", "std", "skew")
+    return out.select(*([F.col("g").alias(by)] if by else []), "n", "total", "min", "p25", "median", "mean", "p75", "p90", "p99", "max", "std", "skew")
 
 
 def outliers(df: DataFrame, values: list[str], most: int = ONE_PASS) -> DataFrame:
-    """One row a variable: quartile fences, moments, and robust z above 3.5, in two passes.
+    """One row a variable: quartile fences, moments, and robust z above 3.5.
 
-    Both passes read all variables at once; a spread of zero gives no robust outliers.
+    The source is read once, for all variables, and all else comes from counted values; a spread of
+    zero gives no robust outliers.
     """
     long = df.select(F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in values))).alias("s")).select("s.*")
-    long = long.where("x is not null")
-    x, n = F.col("x"), F.count("x")
-    first = long.groupBy("variable").agg(
-        n.alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"),
-        F.round(adjusted_skew(F.skewness(x), n), 3).alias("skew"), F.round(adjusted_kurtosis(F.kurtosis(x), n), 3).alias("kurtosis"),
-    )
-    first = first.join(quantiles(long, "x", "variable", {"q1": 0.25, "median": 0.5, "q3": 0.75}, most), "variable")
+    counts = value_counts(long, "x", "variable")
+    x, m, n = F.col("x"), F.col("m"), F.col("n")
+    first = _moments(counts).join(counted_quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}, most), "g")
     first = first.withColumn("low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    # As many rows as variables.
-    joined = long.join(F.broadcast(first.select("variable", "median", "low", "high")), "variable")
-    second = joined.groupBy("variable").agg(F.count(F.when((x < F.col("low")) | (x > F.col("high")), 1)).alias("n_iqr"))
-    second = second.join(quantiles(joined.withColumn("off", F.abs(x - F.col("median"))), "off", "variable", {"mad": 0.5}, most), "variable")
-    scored = joined.join(F.broadcast(second), "variable").where("mad > 0").groupBy("variable").agg(
-        F.count(F.when(F.abs(0.6745 * (x - F.col("median")) / F.col("mad")) > 3.5, 1)).alias("n_robust")
-    )
-    out = first.join(second, "variable").join(scored, "variable", "left")
+    first = written(first, "fences")  # as many rows as variables
+    fenced = counts.join(F.broadcast(first.select("g", "median", "low", "high")), "g").withColumn("off", F.abs(x - F.col("median")))
+    beyond = fenced.groupBy("g").agg(F.coalesce(F.sum(F.when((x < F.col("low")) | (x > F.col("high")), m)), F.lit(0)).alias("n_iqr"))
+    spread = counted_quantiles(fenced.groupBy("g", F.col("off").alias("x")).agg(F.sum("m").alias("m")), {"mad": 0.5}, most)
+    second = written(beyond.join(spread, "g"), "spreads")
+    robust = fenced.join(F.broadcast(second), "g").where("mad > 0").groupBy("g").agg(F.sum(F.when(0.6745 * F.col("off") / F.col("mad") > 3.5, m)).alias("n_robust"))
+    out = first.join(second, "g").join(robust, "g", "left")
     return out.select(
-        "variable", "n", "min", "max", "mean", "median", "std", "skew", "kurtosis", "q1", "q3", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"),
-        "n_iqr", F.round(100 * F.col("n_iqr") / F.col("n"), 2).alias("pct_iqr"), F.round("mad", 6).alias("mad"), F.coalesce("n_robust", F.lit(0)).alias("n_robust"),
+        F.col("g").alias("variable"), "n", "min", "max", F.round("mean", 4).alias("mean"), "median", F.round("std", 4).alias("std"), F.round(adjusted_skew(F.col("skew"), n), 3).alias("skew"),
+        F.round(adjusted_kurtosis(F.col("kurtosis"), n), 3).alias("kurtosis"), "q1", "q3", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"),
+        "n_iqr", F.round(100 * F.col("n_iqr") / n, 2).alias("pct_iqr"), F.round("mad", 6).alias("mad"), F.coalesce("n_robust", F.lit(0)).alias("n_robust"),
         F.round(F.col("max") / F.nullif("median", F.lit(0.0)), 3).alias("max_to_median"),
     )
 
@@ -118,16 +136,20 @@ def cumulated(df: DataFrame, order: str, mass: str, name: str, descending: bool
 
 
 def quantiles(df: DataFrame, value: str, by: str, probs: dict[str, float], most: int = ONE_PASS) -> DataFrame:
-    """``by`` and the exact quantiles named in ``probs`` of each group, interpolated between neighbours.
+    """``by`` and the exact quantiles named in ``probs`` of each group, interpolated between neighbours."""
+    return counted_quantiles(value_counts(df, value, by), probs, most).withColumnRenamed("g", by)
 
-    Up to about ``most`` distinct values they are aggregated as such, a group's values in one task.
-    Beyond, values are counted, counts summed in order (:func:`cumulated`), and each quantile is read
-    off the two values whose places enclose it; no task holds a group.
+
+def counted_quantiles(counts: DataFrame, probs: dict[str, float], most: int = ONE_PASS) -> DataFrame:
+    """``g`` and the quantiles of ``counts(g, x, m)``, a row a value and group.
+
+    Up to ``most`` values a group's values meet in one task. Beyond, counts are summed in order
+    (:func:`cumulated`), and each quantile is read off the two values whose places enclose it; no
+    task holds a group.
     """
-    x = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("x"))
-    if x.agg(F.approx_count_distinct("x").alias("n")).first()["n"] <= most:
-        return x.groupBy(F.col("g").alias(by)).agg(*(F.percentile("x", F.lit(p)).alias(name) for name, p in probs.items()))
-    counts = x.groupBy("g", "x").agg(F.count("*").alias("m")).withColumn("k", F.struct("g", "x"))
+    if counts.count() <= most:
+        return counts.groupBy("g").agg(*(F.percentile("x", F.lit(p), F.col("m")).alias(name) for name, p in probs.items()))
+    counts = counts.withColumn("k", F.struct("g", "x"))
     run = cumulated(counts, "k", "m", "up", most=most)
     sizes = counts.groupBy("g").agg(F.sum("m").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a group
@@ -139,7 +161,7 @@ def quantiles(df: DataFrame, value: str, by: str, probs: dict[str, float], most:
         parts += [holds(F.floor(place(p))).alias(f"{name}_a"), holds(F.ceil(place(p))).alias(f"{name}_b")]
     found = run.groupBy("g", "n").agg(*parts)
     between = lambda name, p: F.col(f"{name}_a") + (F.col(f"{name}_b") - F.col(f"{name}_a")) * (place(p) - F.floor(place(p)))
-    return found.select(F.col("g").alias(by), *(between(name, p).alias(name) for name, p in probs.items()))
+    return found.select("g", *(between(name, p).alias(name) for name, p in probs.items()))
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:

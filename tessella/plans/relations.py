@@ -83,11 +83,15 @@ def coverage_bias(items: DataFrame) -> DataFrame:
     on, of = F.col("observed"), lambda c, f: f(F.when(F.col("observed"), F.col(c)))
     off = lambda f: f(F.when(~on, F.col("views")))
     sides = ranked.agg(
-        F.count(F.when(on, 1)).alias("n_observed"), F.count(F.when(~on, 1)).alias("n_unobserved"), F.round(of("views", F.median), 4).alias("median_observed"), F.round(off(F.median), 4).alias("median_unobserved"),
-        F.round(of("views", F.avg), 1).alias("mean_observed"), F.round(off(F.avg), 1).alias("mean_unobserved"), of("rank", F.min).alias("min_rank"), of("rank", F.max).alias("max_rank"), of("rank", F.median).alias("median_rank"),
+        F.count(F.when(on, 1)).alias("n_observed"), F.count(F.when(~on, 1)).alias("n_unobserved"),
+        F.round(of("views", F.avg), 1).alias("mean_observed"), F.round(off(F.avg), 1).alias("mean_unobserved"), of("rank", F.min).alias("min_rank"), of("rank", F.max).alias("max_rank"),
     )
+    middle = lambda df, c: stats.quantiles(df, c, "observed", {"m": 0.5})
+    side = lambda flag, name: F.round(F.max(F.when(F.col("observed") == flag, F.col("m"))), 4).alias(name)
+    views = middle(ranked, "views").agg(side(True, "median_observed"), side(False, "median_unobserved"))
+    ranks = middle(ranked.where(on), "rank").agg(F.max("m").alias("median_rank"))
     test = stats.mann_whitney(items, "views", ~on).select("u", "p")
-    return sides.crossJoin(test).withColumn("significant", F.coalesce(F.col("p") < ALPHA, F.lit(False)))  # two single rows
+    return sides.crossJoin(views).crossJoin(ranks).crossJoin(test).withColumn("significant", F.coalesce(F.col("p") < ALPHA, F.lit(False)))  # four single rows
 
 
 def degree_spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
