@@ -458,6 +458,19 @@ def top_words(spark: SparkSession, d: str) -> DataFrame:
     return text_stats.top_ngrams(_clean(spark, d), "doc_id", F.col("w"), 1, 60)
 
 
+#: Languages of the documents, as Spark names its stop-word lists.
+LANGUAGES = {"en": "english", "es": "spanish", "fr": "french", "de": "german"}
+
+
+@query
+def top_words_by_language(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent words of each language, without its own stop words."""
+    lists = {k: T.stopwords(spark, v) for k, v in LANGUAGES.items()}
+    words = _clean(spark, d).select("lang", F.explode(T.without_stopwords(F.col("w"), F.col("lang"), lists)).alias("term"))
+    counts = words.groupBy("lang", "term").agg(F.count("*").alias("frequency"))
+    return relational.top_k_per_group(counts, "lang", 20, F.desc("frequency"), F.col("term"))
+
+
 @query
 def top_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return text_stats.top_ngrams(_clean(spark, d), "doc_id", F.col("w"), 2, 60)
@@ -847,6 +860,12 @@ def item_communities(spark: SparkSession, d: str) -> DataFrame:
     return relations.item_communities(_ge(spark, d), _items(spark, d)[1], _by_category(spark, d), tables.catalog(spark, d))
 
 
+@query
+def community_order(spark: SparkSession, d: str) -> DataFrame:
+    """Categories of items numbered by size, as detected communities are."""
+    return relations.community_order(_by_category(spark, d))
+
+
 @query
 def community_terms(spark: SparkSession, d: str) -> DataFrame:
     """The weightiest words of the titles of each community, taken as one document."""

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 #: Suffixes of abbreviated counts and their factors (fixed values); others count once.
 MULTIPLIERS = {"k": 1_000, "mil": 1_000, "m": 1_000_000, "millon": 1_000_000, "millones": 1_000_000, "mill": 1_000_000, "b": 1_000_000_000}
 #: An abbreviated count: digits with separators, then a suffix (fixed pattern).
-COUNT = "(?i)^\\s*([0-9]+(?:[.,\\s  ][0-9]{3})*(?:[.,][0-9]+)?)\\s*(k|m|b|mil|millones|millon|mill|kk)?\\b"
+COUNT = "(?iU)^\\s*([0-9]+(?:[.,\\s  ][0-9]{3})*(?:[.,][0-9]+)?)\\s*(k|m|b|mil|millones|millon|mill|kk)?\\b"
 SPACE = r"(?U)\s+"
 
 
@@ -22,6 +22,13 @@ def _compatible(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(StringType())
+def _plain_digits(s: pd.Series) -> pd.Series:
+    """Compatibility form, with the decimal digits of any script as ASCII."""
+    plain = lambda x: "".join(str(unicodedata.decimal(c, c)) for c in unicodedata.normalize("NFKC", x))
+    return s.map(lambda x: None if x is None else plain(x))
+
+
 def nfkc(text: Column, unicode: bool = True) -> Column:
     """Compatibility form. ASCII texts are already in it; ``unicode=False`` leaves out the UDF."""
     return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_compatible(text)) if unicode else text
@@ -80,12 +87,15 @@ def normalize_handle(text: Column, unicode: bool = True) -> Column:
     return F.when(name == "", "").when(name.startswith("@"), name).otherwise(F.concat(F.lit("@"), name))
 
 
-def parse_count(text: Column) -> Column:
+def parse_count(text: Column, unicode: bool = True) -> Column:
     """A written count as a number; null, never zero, if it can't be read.
 
-    With a suffix the last separator is a decimal point; without one all separators group
+    Compatibility forms and digits of other scripts count as their plain ones; ``unicode=False``
+    leaves that out, and with it the UDF, which ASCII texts never meet. With a suffix the last separator is a decimal point; without one all separators group
     thousands, so ``1.5`` is 15. The suffix ``kk`` counts once.
     """
+    if unicode:
+        text = F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_plain_digits(text))
     digits, suffix = F.regexp_extract(text, COUNT, 1), F.lower(F.regexp_extract(text, COUNT, 2))
     bare = F.regexp_replace(digits, "[\\s  ]", "")
     grouped = F.regexp_replace(bare, "[.,]", "")

@@ -90,6 +90,14 @@ def _without(words: Column, stop: list[str]) -> Column:
     return F.filter(words, lambda x: ~x.isin(stop))
 
 
+def without_stopwords(words: Column, language: Column, lists: dict[str, list[str]]) -> Column:
+    """Words less the stop words of their text's language; languages that ``lists`` lacks keep all."""
+    out = words
+    for name, stop in lists.items():
+        out = F.when(language == name, _without(words, stop)).otherwise(out)
+    return out
+
+
 def clean_text(text: Column, stop: list[str] | None = None, lemmas: Column | None = None) -> Column:
     """A struct of the clean text and of what was taken out.
 

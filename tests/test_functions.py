@@ -23,6 +23,18 @@ def test_parse_count(spark):
     assert one(spark, ids.parse_count(F.col("s")), *COUNTS) == list(COUNTS.values())
 
 
+def test_parse_count_of_other_scripts(spark):
+    counts = {"１２，５００": 12500, "٤٢": 42, "३.५K": 3500, "1\u202f234 vues": 1234, "7\u00a0mil": 7000, "12ñ": None, "½": 1, "①②": 12, "３ｋ": 3000}
+    assert one(spark, ids.parse_count(F.col("s")), *counts) == list(counts.values())
+    assert one(spark, ids.parse_count(F.col("s"), unicode=False), "١", "9K") == [None, 9000]
+
+
+def test_stopwords_of_each_language(spark):
+    rows = spark.createDataFrame([(1, "x", ["the", "cat", "und"]), (2, "y", ["the", "cat", "und"]), (3, "z", ["the"]), (4, None, ["cat"])], "i int, lang string, w array<string>")
+    got = rows.select("i", T.without_stopwords(F.col("w"), F.col("lang"), {"x": ["the"], "y": ["und", "cat"]})).collect()
+    assert [r[1] for r in sorted(got)] == [["cat", "und"], ["the"], ["the"], ["cat"]]
+
+
 def test_ids_and_labels(spark):
     assert one(spark, ids.normalize_id(F.col("s")), None, "nan", "NaN", " Ab ") == ["", "", "", "Ab"]
     assert one(spark, ids.normalize_id(F.col("s"), unicode=True), "ﬁ①") == ["fi1"]
