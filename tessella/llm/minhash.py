@@ -113,6 +113,20 @@ def _sign(p: MinMaxParams):
     return run
 
 
+def _short_sets(p: MinMaxParams):
+    """The shingle sets of texts, each hash cut to 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for i in range(batch.num_rows):
+                short = np.unique(shingle_set(texts[i].as_py(), p.width).astype(np.uint32)).view(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array([0, short.size], pa.int32()), pa.array(short))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, 1), lists], names=["doc_id", "short"])
+
+    return run
+
+
 def _confirm(p: MinMaxParams):
     """Keep the pairs whose full shingle sets are similar enough."""
 
@@ -187,6 +201,17 @@ def _may_link(p: MinMaxParams):
     return F.when(sizes & (bits <= p.most_bits), nibbles <= p.most_nibbles).otherwise(False)
 
 
+def _can_link(p: MinMaxParams):
+    """Whether the short sets of the sides a and b leave a link possible; no link is refused.
+
+    A set may lose members where two hashes agree in 32 bits; so many at most are missing from what
+    the two short sets share.
+    """
+    missing = F.least(F.col("na") - F.size("ea"), F.col("nb") - F.size("eb"))
+    both = F.size(F.array_intersect("ea", "eb")) + missing
+    return both * p.den >= (F.col("na") + F.col("nb") - both) * p.num
+
+
 def _side(reps: DataFrame, x: str) -> DataFrame:
     return reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("nibbles").alias(f"f{x}"))
 
@@ -203,8 +228,10 @@ def _links(reps: DataFrame, texts: DataFrame, p: MinMaxParams) -> DataFrame:
 
     First each member of a bucket meets the bucket's smallest. Then, in buckets whose members
     still stand in several components, the members outside the bucket's main component meet
-    those of other components, in blocks where the bucket is large; sketches are compared inside
-    the join, and a pair comes out of its first shared band only. No pair of one component is looked at, and none across is left out.
+    those of other components, in blocks where the bucket is large; sketches, then the sets are
+    compared inside the join, and a pair comes out of its first shared band only, so what comes out
+    are links and not the square of a group that is alike but not similar enough. No pair of one
+    component is looked at, and none across is left out.
     """
     buckets = reps.select(F.posexplode("bands").alias("band", "key"), "doc_id")
     lead = buckets.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
@@ -226,11 +253,13 @@ def _links(reps: DataFrame, texts: DataFrame, p: MinMaxParams) -> DataFrame:
     shares = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1")
     mixed = written(mixed.select("key", "main"), "mixed")
-    full = reps.select("doc_id", "n_shingles", "sketch", "nibbles", "bands")
-    rest = written(placed.join(mixed, "key").join(full, "doc_id"), "rest")
+    apart = written(placed.join(mixed, "key"), "apart")
+    again = bodies.join(apart.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    full = reps.select("doc_id", "n_shingles", "sketch", "nibbles", "bands").join(again.mapInArrow(_short_sets(p), "doc_id long, short array<int>"), "doc_id")
+    rest = written(apart.join(full, "doc_id"), "rest")
     cols = lambda x: [
         F.col(old).alias(new + x)
-        for old, new in (("doc_id", ""), ("c", "c"), ("n_shingles", "n"), ("sketch", "s"), ("nibbles", "f"), ("bands", "w"), ("main", "m"))
+        for old, new in (("doc_id", ""), ("c", "c"), ("n_shingles", "n"), ("sketch", "s"), ("nibbles", "f"), ("bands", "w"), ("main", "m"), ("short", "e"))
     ]
     blocks = F.ceil(F.col("n") / p.block).cast("int")
     rest = rest.withColumn("blocks", blocks).drop("n")
@@ -239,6 +268,7 @@ def _links(reps: DataFrame, texts: DataFrame, p: MinMaxParams) -> DataFrame:
     first = F.array_position(F.zip_with("wa", "wb", lambda x, y: x == y), True) == F.col("band") + 1
     once = (F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))
     met = (minor["key"] == other["key"]) & (minor["part"] == other["part"])
-    cross = minor.join(other, met & (F.col("ca") != F.col("cb")) & once & F.when(_may_link(p), first).otherwise(False))
+    alike = F.when(_may_link(p), F.when(first, _can_link(p)).otherwise(False)).otherwise(False)
+    cross = minor.join(other, met & (F.col("ca") != F.col("cb")) & once & alike)
     cross = written(cross.select("a", "b").distinct(), "likely")
     return links.unionByName(_confirmed(cross, bodies, p))

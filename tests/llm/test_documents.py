@@ -62,6 +62,23 @@ def test_near_duplicates(docs_of):
         assert got == near_groups(rows)
 
 
+def test_near_duplicates_alike_but_apart(docs_of, monkeypatch):
+    """Copies of one text that are alike but mostly no links: only links leave the join inside buckets."""
+    rng, made, confirmed = random.Random(11), [], minhash._confirmed
+    text = prose(rng, 150).split()
+    rows = [(i, " ".join(rng.choice(VOCABULARY) if rng.random() < 0.035 else w for w in text)) for i in range(90)]
+
+    def counted(likely, bodies, p):
+        made.append((likely.count(), confirmed(likely, bodies, p)))
+        return made[-1][1]
+
+    monkeypatch.setattr(minhash, "_confirmed", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs_of(rows)).collect()}
+    assert got == near_groups(rows)
+    likely, links = made[1]
+    assert likely == links.count()
+
+
 def test_near_duplicates_odd(odd, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
