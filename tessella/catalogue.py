@@ -673,7 +673,8 @@ def meeting_latapy(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def meeting_components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components(*_customers(_me(spark, d)))
+    e = _me(spark, d)
+    return graph.components(e.select(F.col("dst").alias("node_id")).distinct(), graph.skeleton(e, "dst", "src"))
 
 
 @query

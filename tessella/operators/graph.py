@@ -77,6 +77,30 @@ def projection(edges: DataFrame, node: str, through: str) -> DataFrame:
     return x.join(y, "t").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+def skeleton(edges: DataFrame, node: str, through: str) -> DataFrame:
+    """``src, dst, weight`` with the components, cut points and bridges of :func:`projection`, in at most two edges a bipartite one.
+
+    A projection is made of cliques. In place of a clique all its members are tied to its two smallest,
+    and those to each other: from three members on that too stays joined whichever member or edge
+    is taken away, and two members have their one edge. Weights are 1; degrees are not the projection's.
+    """
+    x = edges.select(F.col(node).alias("n"), F.col(through).alias("t")).distinct()
+    first = x.groupBy("t").agg(F.min("n").alias("first"))
+    rest = x.join(first, "t").where("n > first")
+    second = rest.groupBy("t").agg(F.min("n").alias("second"))
+    ties = rest.join(second, "t").select(F.explode(F.array("first", "second")).alias("src"), F.col("n").alias("dst"))
+    return ties.where("src <> dst").distinct().withColumn("weight", F.lit(1).cast("long"))
+
+
+def projection_near(edges: DataFrame, node: str, through: str, ends: DataFrame) -> DataFrame:
+    """Of :func:`projection`, the edges that have an end in ``ends(node_id)``."""
+    x = edges.select(F.col(node).alias("n"), F.col(through).alias("t")).distinct()
+    mine = x.join(ends.select(F.col("node_id").alias("n")).distinct(), "n", "left_semi").withColumn("mine", F.lit(True))
+    x = x.join(mine, ["n", "t"], "left").select(F.col("n").alias("m"), "t", F.col("mine").isNotNull().alias("both"))
+    pairs = mine.select("n", "t").join(x, "t").where("n <> m and (not both or n < m)")
+    return pairs.groupBy(F.least("n", "m").alias("src"), F.greatest("n", "m").alias("dst")).agg(F.count("*").alias("weight"))
+
+
 def verify_projection(edges: DataFrame, projected: DataFrame, node: str, through: str) -> DataFrame:
     """``check, violations``: weights against shared neighbours, counted pair by pair, and no pair missing.
 
@@ -208,12 +232,28 @@ def core_subgraph(edges: DataFrame) -> DataFrame:
     return edges.join(active, "src", "left_semi")
 
 
+def _kind() -> Column:
+    """What a member of a small component is."""
+    return F.when(F.col("degree") == 0, "isolate").when(F.col("size") == 2, "pair").when(F.col("degree") == 1, "leaf").otherwise("member").alias("kind")
+
+
+def _outer(label: DataFrame, small: int) -> DataFrame:
+    """``component, node_id, size`` of the members of small components."""
+    sizes = label.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= small)
+    return label.join(sizes, "component")
+
+
 def peripheral(nodes: DataFrame, edges: DataFrame, small: int = 5) -> DataFrame:
     """Members of small components, with size, degree and kind: isolate, pair, leaf or member."""
-    label = components(nodes, edges)
-    sizes = label.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= small)
-    kind = F.when(F.col("degree") == 0, "isolate").when(F.col("size") == 2, "pair").when(F.col("degree") == 1, "leaf").otherwise("member")
-    return label.join(sizes, "component").join(degrees(nodes, edges), "node_id").select("node_id", "component", "size", "degree", kind.alias("kind"))
+    return _outer(components(nodes, edges), small).join(degrees(nodes, edges), "node_id").select("node_id", "component", "size", "degree", _kind())
+
+
+def peripheral_projected(edges: DataFrame, node: str, through: str, small: int = 5) -> DataFrame:
+    """:func:`peripheral` of a projection, of which only the small components are made."""
+    nodes = edges.select(F.col(node).alias("node_id")).distinct()
+    outer = written(_outer(components(nodes, skeleton(edges, node, through)), small), "outer")
+    inside = edges.join(outer.select(F.col("node_id").alias(node)), node, "left_semi")
+    return outer.join(degrees(outer, projection(inside, node, through)), "node_id").select("node_id", "component", "size", "degree", _kind())
 
 
 def _single_ties(nodes: DataFrame, firm: DataFrame, lost: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import centrality, graph
+from tessella.operators import blocks, centrality, graph
 from tessella.operators.components import connected_components
 
 
@@ -131,3 +131,20 @@ def test_pagerank_and_cores_against_plain_loops(spark):
         left -= set(low)
         k += not low
     assert {r["node_id"]: r["core"] for r in centrality.k_core(nodes, edges).collect()} == core
+
+
+def test_skeleton_keeps_parts_points_and_bridges(spark):
+    """Against the whole projection, on a random graph with cliques of all sizes; the skeleton stays linear."""
+    rng = random.Random(8)
+    for cells, people in ((45, 40),):
+        rows = {(f"A:{c:03d}", f"V:{rng.randrange(people):03d}") for c in range(cells) for _ in range(rng.choice([1, 2, 2, 2, 3, 5]))}
+        e = spark.createDataFrame([(a, v, 1) for a, v in sorted(rows)], "src string, dst string, weight long")
+        nodes, whole, thin = e.select(F.col("dst").alias("node_id")).distinct(), graph.projection(e, "dst", "src"), graph.skeleton(e, "dst", "src")
+        assert sorted(map(tuple, graph.components(nodes, thin).collect())) == sorted(map(tuple, graph.components(nodes, whole).collect()))
+        assert sorted(map(tuple, blocks.bridges(nodes, thin).collect())) == sorted(map(tuple, blocks.bridges(nodes, whole).collect()))
+        found = blocks.blocks(nodes, thin)
+        near = graph.projection_near(e, "dst", "src", blocks.cut_points(nodes, thin, found))
+        assert sorted(map(tuple, blocks.articulation_removal(nodes, near, found).collect())) == sorted(map(tuple, blocks.articulation_removal(nodes, whole).collect()))
+        assert sorted(map(tuple, graph.peripheral_projected(e, "dst", "src").collect())) == sorted(map(tuple, graph.peripheral(nodes, whole).collect()))
+    crowd = spark.createDataFrame([("A:1", f"V:{i}", 1) for i in range(500)], "src string, dst string, weight long")
+    assert graph.skeleton(crowd, "dst", "src").count() == 997
