@@ -679,7 +679,7 @@ def meeting_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def meeting_peripheral(spark: SparkSession, d: str) -> DataFrame:
-    return graph.peripheral(*_customers(_me(spark, d)))
+    return graph.peripheral_projected(_me(spark, d), "dst", "src")
 
 
 @query
