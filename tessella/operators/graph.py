@@ -70,11 +70,14 @@ def projection(edges: DataFrame, node: str, through: str) -> DataFrame:
     """One-mode edges: pairs of ``node`` values that share ``through`` values, weighted by how many.
 
     The weight counts shared neighbours and ignores how often. The output itself grows with the
-    square of a neighbour's degree; a hot neighbour is a skewed side of the join that is split.
+    square of a neighbour's degree; a hot neighbour is a skewed side of the join that is split. Few
+    bytes can make many pairs, so one side is dealt out by node and not by size.
     """
     x = edges.select(F.col(node).alias("src"), F.col(through).alias("t")).distinct()
     y = x.select(F.col("src").alias("dst"), "t")
-    return x.join(y, "t").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    spark = edges.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return x.repartition(parts, "src").join(y, "t").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def skeleton(edges: DataFrame, node: str, through: str) -> DataFrame:

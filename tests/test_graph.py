@@ -148,3 +148,11 @@ def test_skeleton_keeps_parts_points_and_bridges(spark):
         assert sorted(map(tuple, graph.peripheral_projected(e, "dst", "src").collect())) == sorted(map(tuple, graph.peripheral(nodes, whole).collect()))
     crowd = spark.createDataFrame([("A:1", f"V:{i}", 1) for i in range(500)], "src string, dst string, weight long")
     assert graph.skeleton(crowd, "dst", "src").count() == 997
+
+
+def test_projection_is_dealt_out_by_node(spark):
+    """A table of few bytes makes its pairs in many tasks."""
+    e = spark.createDataFrame([(f"A:{i}", f"V:{i % 2}", 1) for i in range(60)], "src string, dst string, weight long")
+    pairs = graph.projection(e, "src", "dst")
+    assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 2 * 30 * 29 // 2
