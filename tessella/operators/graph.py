@@ -6,10 +6,15 @@ weight)`` with ``src < dst`` in one-mode graphs and author to item in bipartite
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.components import connected_components
+from tessella.operators.sharing import Piece, over_pieces
 from tessella.operators.stats import correlation, quantiles
 from tessella.scratch import written
 
@@ -179,13 +184,23 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("node_id", "degree", F.coalesce("t", F.lit(0)).alias("triangles"), F.round(safe("t"), 6).alias("clustering"), F.round(safe("g"), 6).alias("weighted_clustering"))
 
 
+def _latapy_sums(piece: Piece) -> Iterator[pa.RecordBatch]:
+    n, d = len(piece.names), piece.degree
+    total, many = np.zeros(n), np.zeros(n, np.int64)
+    for u, v, w in piece.pairs():
+        share = w / (d[u] + d[v] - w)
+        for x in (u, v):
+            total += np.bincount(x, share, n)
+            many += np.bincount(x, minlength=n)
+    yield pa.RecordBatch.from_arrays([piece.names, pa.array(total), pa.array(many)], ["node_id", "total", "many"])
+
+
 def latapy(edges: DataFrame, node: str, through: str) -> DataFrame:
-    """``node_id, latapy``: mean over nodes two steps away of shared over united neighbours."""
-    d = edges.groupBy(F.col(node).alias("node_id")).agg(F.count_distinct(through).alias("d"))
-    p = both_ways(projection(edges, node, through))
-    x = p.join(d.toDF("src", "ds"), "src").join(d.toDF("dst", "dd"), "dst")
-    per = x.groupBy(F.col("src").alias("node_id")).agg(F.avg(F.col("weight") / (F.col("ds") + F.col("dd") - F.col("weight"))).alias("l"))
-    return d.select("node_id").join(per, "node_id", "left").select("node_id", F.round(F.coalesce("l", F.lit(0.0)), 6).alias("latapy"))
+    """``node_id, latapy``: mean over nodes two steps away of shared over united neighbours; pairs are summed where they are made."""
+    kind = edges.schema[node].dataType.simpleString()
+    sums = over_pieces(edges, node, through, _latapy_sums, f"node_id {kind}, total double, many long")
+    per = sums.groupBy("node_id").agg(F.sum("total").alias("total"), F.sum("many").alias("many"))
+    return per.select("node_id", F.round(F.coalesce(F.col("total") / F.nullif("many", F.lit(0)), F.lit(0.0)), 6).alias("latapy"))
 
 
 def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
