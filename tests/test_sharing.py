@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from tessella.operators import graph, sharing
+from tessella.operators import centrality, graph, sharing
 
 
 def some_days(seed, people=40, days=25, rows=160):
@@ -65,3 +65,14 @@ def test_latapy_in_pieces(spark, pieces, seed):
 
 def test_latapy_shuffles_no_pairs(spark):
     assert "hashpartitioning(src" not in plan(graph.latapy(bipartite(spark, some_days(3)), "dst", "src"))
+
+
+def test_pagerank_of_a_projection_without_pairs(spark, monkeypatch):
+    rows = [*some_days(4), ("A:alone", "V:alone")]
+    edges = bipartite(spark, [*rows, rows[0]])
+    nodes = edges.select("dst").distinct().toDF("node_id")
+    want = {r["node_id"]: r["pagerank"] for r in centrality.pagerank(nodes, graph.projection(edges, "dst", "src"), tolerance=1e-12).collect()}
+    monkeypatch.setattr(graph, "projection", None)
+    got = {r["node_id"]: r["pagerank"] for r in centrality.pagerank_projected(edges, "dst", "src", tolerance=1e-12).collect()}
+    assert set(got) == set(want) and all(got[v] == pytest.approx(want[v], abs=2e-6) for v in want)
+    assert centrality.pagerank_projected(edges.limit(0), "dst", "src").count() == 0
