@@ -274,33 +274,26 @@ def peripheral_projected(edges: DataFrame, node: str, through: str, small: int =
     return outer.join(degrees(outer, projection(inside, node, through)), "node_id").select("node_id", "component", "size", "degree", _kind())
 
 
-def _single_ties(nodes: DataFrame, firm: DataFrame, lost: DataFrame) -> DataFrame:
-    """``src, i, j``: ties between groups of items that hang on the one author ``src``.
-
-    Groups are the components of the ``firm`` pairs. Two groups that several authors tie together
-    stay joined too, and are merged until each pair of groups hangs on one author.
-    """
-    ties, merged = lost, components(nodes, firm.select("src", "dst", "weight"))
-    while True:
-        group = merged.toDF("node_id", "g")
-        ties = ties.join(group.toDF("i", "gi"), "i").join(group.toDF("j", "gj"), "j").where("gi <> gj")
-        ties = written(ties.select("src", F.least("gi", "gj").alias("i"), F.greatest("gi", "gj").alias("j")).distinct(), "ties")
-        shared = ties.groupBy("i", "j").agg(F.count("*").alias("n")).where("n > 1").select(F.col("i").alias("src"), F.col("j").alias("dst"))
-        if shared.isEmpty():
-            return ties
-        merged = components(ties.select(F.explode(F.array("i", "j")).alias("node_id")).distinct(), shared)
+def _held_alone(piece: Piece) -> Iterator[pa.RecordBatch]:
+    alone = np.zeros(len(piece.through), np.int64)
+    for key, by in piece.meetings():
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1], [True]))
+        alone += np.bincount(by[order[new[:-1] & new[1:]]], minlength=len(alone))
+    some = np.flatnonzero(alone)
+    yield pa.RecordBatch.from_arrays([piece.through.take(pa.array(some)), pa.array(alone[some])], ["src", "k"])
 
 
 def bridge_authors(edges: DataFrame, catalog: DataFrame, communities: DataFrame | None = None) -> DataFrame:
     """Per author: items, channels, communities touched, and what the item projection loses without them.
 
-    Only authors of several items can matter. Taking one away lowers the weight of each of their
-    item pairs by one; pairs at zero vanish. Items that stay joined whoever leaves are one node
-    from the start, so only ties that hang on a single author are left. Components are counted for
-    all authors at once: of what is left, the parts that an author's ties lie in, without those
-    ties, are labelled under (author, node).
+    Taking an author away lowers the weight of each of their item pairs by one; pairs at zero vanish,
+    and are counted where pairs are made. Components are counted for all authors at once, as parts of
+    the bipartite graph that hang together in its articulation points only.
     """
-    items = projection(edges, "dst", "src")
+    from tessella.operators import blocks  # which needs this module
+
     by = edges.select("src", "dst").join(catalog.select(item_node("item_id").alias("dst"), "channel_id"), "dst", "left")
     if communities is not None:
         by = by.join(communities.select(F.col("node_id").alias("dst"), "community"), "dst", "left")
@@ -310,24 +303,13 @@ def bridge_authors(edges: DataFrame, catalog: DataFrame, communities: DataFrame
         F.sum("weight").alias("n_rows"), F.count("*").alias("n_items"), F.count_distinct("channel_id").alias("n_channels"),
         F.count_distinct("community").alias("n_communities"), F.array_join(F.array_sort(F.collect_set("dst")), "|").alias("items"),
     )
-    own = edges.select("src", F.col("dst").alias("i"))
-    pairs = own.join(own.select("src", F.col("i").alias("j")), "src").where("i < j")
+    # Without an author, the projection is that of the bipartite graph without this node: it falls into the parts that this one does.
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    found = blocks.blocks(nodes, edges)
+    delta = blocks.articulation_points(found).join(found.names, "node").select(F.col("node_id").alias("src"), (F.col("n_blocks") - 1).alias("delta_components"))
     # An author alone holds a pair of weight one.
-    lost = pairs.join(items.where("weight = 1").select(F.col("src").alias("i"), F.col("dst").alias("j")), ["i", "j"]).select("src", "i", "j")
-    lost = written(lost, "lost")
-    ties = _single_ties(edges.select(F.col("dst").alias("node_id")).distinct(), items.where("weight > 1"), lost)
-    ends = ties.select(F.explode(F.array("i", "j")).alias("node_id")).distinct()
-    member = ties.select("i", "j").distinct()
-    comp = written(components(ends, member.select(F.col("i").alias("src"), F.col("j").alias("dst"))), "parts")
-    touched = written(ties.join(comp.toDF("i", "component"), "i").select("src", "component").distinct(), "touched")
-    member = member.join(comp.toDF("i", "component"), "i")
-    left = touched.join(member, "component").join(ties, ["src", "i", "j"], "left_anti")
-    key = lambda c: F.concat_ws(" ", "src", c)
-    everyone = touched.join(comp.toDF("node", "component"), "component").select(key("node").alias("node_id"), "src", "component")
-    after = components(everyone.select("node_id"), left.select(key("i").alias("src"), key("j").alias("dst")))
-    parts = everyone.join(after.withColumnRenamed("component", "part"), "node_id").groupBy("src", "component").agg((F.count_distinct("part") - 1).alias("more"))
-    delta = parts.groupBy("src").agg(F.sum("more").alias("delta_components"))
-    count = lost.groupBy("src").agg(F.count("*").alias("lost_edges"))
+    single = over_pieces(edges, "dst", "src", _held_alone, f"src {edges.schema['src'].dataType.simpleString()}, k long")
+    count = single.groupBy("src").agg(F.sum("k").alias("lost_edges"))
     out = base.join(delta, "src", "left").join(count, "src", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(

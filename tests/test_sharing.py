@@ -76,3 +76,23 @@ def test_pagerank_of_a_projection_without_pairs(spark, monkeypatch):
     got = {r["node_id"]: r["pagerank"] for r in centrality.pagerank_projected(edges, "dst", "src", tolerance=1e-12).collect()}
     assert set(got) == set(want) and all(got[v] == pytest.approx(want[v], abs=2e-6) for v in want)
     assert centrality.pagerank_projected(edges.limit(0), "dst", "src").count() == 0
+
+
+def test_bridge_authors_without_a_projection(spark, pieces, monkeypatch):
+    rows = some_days(5, 30, 30, 70)
+    of, want = shared(rows)
+    monkeypatch.setattr(graph, "projection", None)
+    catalog = spark.createDataFrame([(int(v[2:]), "c") for v in of], "item_id int, channel_id string")
+    got = {r["author"]: (r["delta_components"], r["lost_edges"]) for r in graph.bridge_authors(bipartite(spark, rows), catalog).collect()}
+
+    def parts(without):
+        label = {v: v for v in of}
+        for u, v in want:
+            if of[u] & of[v] - {without}:
+                old, new = label[u], label[v]
+                label = {x: new if y == old else y for x, y in label.items()}
+        return len(set(label.values()))
+
+    whole = parts(None)
+    assert got == {a: (parts(a) - whole, sum(of[u] & of[v] == {a} for u, v in want)) for a, _ in rows}
+    assert any(k for k, _ in got.values())
