@@ -697,9 +697,9 @@ def meeting_core_subgraph(spark: SparkSession, d: str) -> DataFrame:
 @query
 def meeting_modularity(spark: SparkSession, d: str) -> DataFrame:
     """Modularity of the partition by nation."""
-    nodes, edges = _customers(_me(spark, d))
+    e = _me(spark, d)
     c = tables.members(spark, d).select(graph.item_node("item_id").alias("node_id"), F.col("channel_id").alias("community"))
-    return graph.modularity(edges, nodes.join(c, "node_id"))
+    return graph.modularity_projected(e, "dst", "src", e.select(F.col("dst").alias("node_id")).distinct().join(c, "node_id"))
 
 
 @query

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.components import connected_components
-from tessella.operators.sharing import Piece, over_pieces
+from tessella.operators.sharing import Piece, encoded, over_pieces
 from tessella.operators.stats import correlation, quantiles
 from tessella.scratch import written
 
@@ -244,6 +245,36 @@ def modularity(edges: DataFrame, partition: DataFrame, resolution: float = 1.0)
     return p.agg(F.count_distinct("community").alias("communities")).crossJoin(sums)
 
 
+def _by_community(piece: Piece) -> Iterator[pa.RecordBatch]:
+    community, names = encoded(pc.binary_slice(piece.names.cast(pa.binary()), 0, 8))
+    k = len(names)
+    lw, lone, kw, many = (np.zeros(k, np.int64) for _ in range(4))
+    for u, v, w in piece.pairs():
+        a, b = community[u], community[v]
+        for c in (a, b):
+            kw += np.bincount(c, w, k).astype(np.int64)
+            many += np.bincount(c, minlength=k)
+        own = a == b
+        lw += np.bincount(a[own], w[own], k).astype(np.int64)
+        lone += np.bincount(a[own], minlength=k)
+    yield pa.RecordBatch.from_arrays([names, pa.array(lw), pa.array(lone), pa.array(kw), pa.array(many)], ["c", "lw", "l", "kw", "k"])
+
+
+def modularity_projected(edges: DataFrame, node: str, through: str, partition: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """:func:`modularity` of a projection, whose pairs are summed by community where they are made; ``partition`` holds every node."""
+    p = partition.select("node_id", "community")
+    code = lambda c: F.unhex(F.lpad(F.hex(F.xxhash64(c)), 16, "0"))
+    x = edges.select(F.col(node).alias("node_id"), F.col(through).alias("t")).join(p, "node_id")
+    x = x.select(F.concat(code("community"), code("node_id")).alias("n"), "t")
+    y = over_pieces(x, "n", "t", _by_community, "c binary, lw long, l long, kw long, k long")
+    y = y.groupBy("c").agg(*(F.sum(c).alias(c) for c in ("lw", "l", "kw", "k"))).where("k > 0")
+    y = written(y, "sums")  # as many rows as communities
+    m = y.agg((F.sum("kw") / 2).alias("mw"), (F.sum("k") / 2).alias("m"))  # one row
+    q = lambda low, k, t: F.sum(F.col(low) / F.col(t) - resolution * F.pow(F.col(k) / (2 * F.col(t)), F.lit(2)))
+    sums = y.crossJoin(F.broadcast(m)).agg(F.round(q("lw", "kw", "mw"), 5).alias("modularity"), F.round(q("l", "k", "m"), 5).alias("modularity_unweighted"))
+    return p.agg(F.count_distinct("community").alias("communities")).crossJoin(sums)
+
+
 def core_subgraph(edges: DataFrame) -> DataFrame:
     """Edges of authors with more than one item."""
     active = edges.groupBy("src").agg(F.count("*").alias("d")).where("d > 1").select("src")

@@ -23,7 +23,7 @@ MEMBERS, MEETINGS, SPREAD = 1_500_000, 20_000_000, 16
 CHUNK = 2_000_000
 
 
-def _encoded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+def encoded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Places of the values among the distinct ones, and those in ascending order."""
     d = values.dictionary_encode()
     order = pc.sort_indices(d.dictionary)
@@ -40,8 +40,8 @@ class Piece:
         lists = rows["ns"].combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         per = lists.value_lengths().to_numpy(zero_copy_only=False)
-        t, self.through = _encoded(pa.concat_arrays(rows["t"].chunks))
-        node, self.names = _encoded(lists.flatten())
+        t, self.through = encoded(pa.concat_arrays(rows["t"].chunks))
+        node, self.names = encoded(lists.flatten())
         t, k = np.repeat(t, per), np.repeat(rows["k"].to_numpy(), per)
         self.degree = np.bincount(node, minlength=len(self.names))
         self._same = first == second

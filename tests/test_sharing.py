@@ -96,3 +96,12 @@ def test_bridge_authors_without_a_projection(spark, pieces, monkeypatch):
     whole = parts(None)
     assert got == {a: (parts(a) - whole, sum(of[u] & of[v] == {a} for u, v in want)) for a, _ in rows}
     assert any(k for k, _ in got.values())
+
+
+def test_modularity_of_a_projection(spark, pieces, monkeypatch):
+    rows = some_days(9)
+    edges = bipartite(spark, rows)
+    parts = spark.createDataFrame([(v, f"c{int(v[2:]) % 3}") for v in shared(rows)[0]], "node_id string, community string")
+    want = tuple(graph.modularity(graph.projection(edges, "dst", "src"), parts).first())
+    monkeypatch.setattr(graph, "projection", None)
+    assert tuple(graph.modularity_projected(edges, "dst", "src", parts).first()) == want
