@@ -98,6 +98,14 @@ def test_bridge_authors_without_a_projection(spark, pieces, monkeypatch):
     assert any(k for k, _ in got.values())
 
 
+def test_projection_shuffles_no_pairs(spark, pieces):
+    rows = some_days(6)
+    df = graph.projection(bipartite(spark, [*rows, rows[0]]), "dst", "src")
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len({x[:2] for x in got}) and {x[:2]: x[2] for x in got} == shared(rows)[1]
+    assert "hashpartitioning(src" not in plan(df)
+
+
 def test_modularity_of_a_projection(spark, pieces, monkeypatch):
     rows = some_days(9)
     edges = bipartite(spark, rows)
