@@ -659,8 +659,7 @@ def meeting_projection(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def meeting_verification(spark: SparkSession, d: str) -> DataFrame:
-    e = _me(spark, d)
-    return graph.verify_projection(e, graph.projection(e, "dst", "src"), "dst", "src")
+    return graph.verify_made(_me(spark, d), "dst", "src")
 
 
 @query

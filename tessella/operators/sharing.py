@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 MEMBERS, MEETINGS, SPREAD = 1_500_000, 20_000_000, 16
 #: Meetings that a task holds at a time; those of one node are never parted.
 CHUNK = 2_000_000
+#: Marks, a byte each, that a lookup of shared neighbours holds at a time.
+MARKS = 50_000_000
 
 
 def encoded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -45,6 +47,8 @@ class Piece:
         t, k = np.repeat(t, per), np.repeat(rows["k"].to_numpy(), per)
         self.degree = np.bincount(node, minlength=len(self.names))
         self._same = first == second
+        self._first = np.zeros(len(self.names), bool)
+        self._first[node[k == first]] = True
         self._left, self._right = ((node[k == b], t[k == b]) for b in (first, second))
 
     def meetings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -89,6 +93,39 @@ class Piece:
             yield u, key - u * n, w
 
 
+    def shared(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """How many neighbours of ``v`` are among those of ``u``, looked up one by one; equal values of ``u`` stand together."""
+        wide = len(self.through)
+        at, start = self._right[1][np.argsort(self._right[0], kind="stable")], np.cumsum(np.bincount(self._right[0], minlength=len(self.names)))
+        mine, mine_end = self._left[1][np.argsort(self._left[0], kind="stable")], np.cumsum(np.bincount(self._left[0], minlength=len(self.names)))
+        # The smaller name may lie in either block: look up that of the first block among the other's.
+        if not self._same:
+            first = self._first[u]
+            u, v = np.where(first, u, v), np.where(first, v, u)
+        order = np.argsort(u, kind="stable")
+        out = np.empty(len(u), np.int64)
+        new = np.flatnonzero(np.concatenate(([True], u[order][1:] != u[order][:-1], [True])))
+        step = max(MARKS // max(wide, 1), 1)
+        for i in range(0, len(new) - 1, step):
+            some = new[i : i + step + 1]
+            rows = order[some[0] : some[-1]]
+            local = np.repeat(np.arange(len(some) - 1), np.diff(some))
+            marks = np.zeros((len(some) - 1) * wide, bool)
+            heads = u[order[some[:-1]]]
+            has = self.degree[heads]
+            marks[np.repeat(np.arange(len(heads)) * wide, has) + mine[_ranges(mine_end[heads] - has, has)]] = True
+            few = self.degree[v[rows]]
+            hit = marks[np.repeat(local * wide, few) + at[_ranges(start[v[rows]] - few, few)]]
+            out[rows] = np.add.reduceat(hit.astype(np.int64), np.cumsum(few) - few)
+        return out
+
+
+def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each."""
+    ends = np.cumsum(many)
+    return np.arange(ends[-1]) + np.repeat(start - (ends - many), many)
+
+
 def over_pieces(edges: DataFrame, node: str, through: str, summed: Callable[[Piece], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """What ``summed`` gives of each piece, as rows of ``schema``; every pair of ``node`` values lies in one piece."""
     known = edges.select(F.col(node).alias("n"), F.col(through).alias("t")).where("n is not null and t is not null")

@@ -106,6 +106,30 @@ def test_projection_shuffles_no_pairs(spark, pieces):
     assert "hashpartitioning(src" not in plan(df)
 
 
+def test_verification_where_pairs_are_made(spark, pieces, monkeypatch):
+    edges = bipartite(spark, some_days(7))
+    monkeypatch.setattr(graph, "projection", None)
+    assert {r["check"]: r["violations"] for r in graph.verify_made(edges, "dst", "src").collect()} == {"weights_are_intersections": 0, "cliques_complete": 0, "canonical_order": 0}
+
+
+def test_wrong_weights_are_seen(monkeypatch):
+    rows = some_days(8)
+    days = {}
+    for a, v in rows:
+        days.setdefault(a, []).append(v)
+    # Two blocks, by the parity of names.
+    lists = [(a, k, [v for v in vs if int(v[2:]) % 2 == k]) for a, vs in days.items() for k in (0, 1)]
+    table = pa.table({"g": [1] * len(lists), "k": pa.array([k for _, k, _ in lists], pa.int32()), "t": [a for a, _, _ in lists], "ns": [x for *_, x in lists]})
+    piece = sharing.Piece(table, 2)
+    for marks in (1, 200, 10**6):
+        monkeypatch.setattr(sharing, "MARKS", marks)
+        assert all((piece.shared(u, v) == w).all() for u, v, w in piece.pairs())
+    right = next(graph._checked(piece)).to_pylist()[0]
+    pairs = list(piece.pairs())
+    monkeypatch.setattr(piece, "pairs", lambda: ((u, v, w + 1) for u, v, w in pairs))
+    assert right["wrong"] == 0 and next(graph._checked(piece)).to_pylist()[0]["wrong"] == sum(len(u) for u, *_ in pairs) > 0
+
+
 def test_modularity_of_a_projection(spark, pieces, monkeypatch):
     rows = some_days(9)
     edges = bipartite(spark, rows)
