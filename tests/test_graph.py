@@ -156,3 +156,13 @@ def test_projection_is_dealt_out_by_node(spark):
     pairs = graph.projection(e, "src", "dst")
     assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
     assert pairs.count() == 2 * 30 * 29 // 2
+
+
+def test_core_numbers_take_no_round_a_level(spark, monkeypatch):
+    """Cliques of ten sizes are ten levels; their nodes' bounds are their cores from the start."""
+    rounds, kept = [], centrality.written
+    monkeypatch.setattr(centrality, "written", lambda df, tag: rounds.append(tag) or kept(df, tag))
+    rows = [(f"c{k:02}n{i:02}", f"c{k:02}n{j:02}", 1) for k in range(2, 12) for i in range(k) for j in range(i + 1, k)]
+    nodes, edges = made(spark, rows)
+    assert {r["node_id"]: r["core"] for r in centrality.k_core(nodes, edges).collect()} == {f"c{k:02}n{i:02}": k - 1 for k in range(2, 12) for i in range(k)}
+    assert len(rounds) < 10
