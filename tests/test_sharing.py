@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from tessella.operators import centrality, graph, sharing
+from tessella.operators import centrality, graph, sharing, triples
 
 
 def some_days(seed, people=40, days=25, rows=160):
@@ -137,3 +137,30 @@ def test_modularity_of_a_projection(spark, pieces, monkeypatch):
     want = tuple(graph.modularity(graph.projection(edges, "dst", "src"), parts).first())
     monkeypatch.setattr(graph, "projection", None)
     assert tuple(graph.modularity_projected(edges, "dst", "src", parts).first()) == want
+
+
+@pytest.mark.parametrize("seed", [10, 11])
+def test_clustering_and_topology_in_triples(spark, pieces, monkeypatch, seed):
+    """Blocks of a few nodes: triangles have corners in one, two and three of them, in several components."""
+    monkeypatch.setattr(triples, "SIDE", 6)
+    monkeypatch.setattr(triples, "SMALL", 4)
+    monkeypatch.setattr(triples, "WIDE", 3)
+    rows = [*some_days(seed), *((f"{a}x", f"{v}x") for a, v in some_days(seed + 1, 5, 4, 8)), ("A:alone", "V:alone")]
+    edges = bipartite(spark, [*rows, rows[0]])
+    nodes, pairs = edges.select("dst").distinct().toDF("node_id"), graph.projection(edges, "dst", "src")
+    wants = [graph.clustering(nodes, pairs).collect(), graph.topology(nodes, pairs).collect()]
+    monkeypatch.setattr(graph, "projection", None)
+    d = graph.degrees_projected(edges, "dst", "src")
+    gots = [graph.clustering_projected(edges, "dst", "src").collect(), graph.topology_projected(edges, "dst", "src", d).collect()]
+    for want, got in zip(wants, gots, strict=True):
+        key = lambda r: str(r[0])
+        for a, b in zip(sorted(want, key=key), sorted(got, key=key), strict=True):
+            assert a.asDict() == pytest.approx(b.asDict(), abs=2e-6)
+
+
+def test_sparse_parts_are_joined(spark, monkeypatch):
+    """Where products of matrices would cost more than open paths, the projection's triangles are joined."""
+    monkeypatch.setattr(graph, "PRODUCTS", 0)
+    monkeypatch.setattr(triples, "triangles", None)
+    got = {r["node_id"]: r["triangles"] for r in graph.clustering_projected(bipartite(spark, [("A:1", f"V:{i}") for i in range(4)]), "dst", "src").collect()}
+    assert got == {f"V:{i}": 3 for i in range(4)}
