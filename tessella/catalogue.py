@@ -753,7 +753,7 @@ def meeting_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def meeting_giant_paths(spark: SparkSession, d: str) -> DataFrame:
-    return distances.giant_paths(*_customers(_me(spark, d)))
+    return distances.giant_paths_projected(_me(spark, d), "dst", "src")
 
 
 @query

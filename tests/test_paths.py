@@ -132,3 +132,15 @@ def test_communities_of_nothing(spark):
     for method in community.METHODS:
         assert {tuple(r) for r in community.detect(nodes, none, method).collect()} == {("a", "C0"), ("b", "C1")}
         assert community.detect(nodes.limit(0), none, method).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "rows"), [(1, 1), (3, 10**6)])
+def test_giant_paths_of_a_projection(spark, monkeypatch, seed, rows):
+    """A long chain of days and some others, in blocks of one word and of all; two largest components in one case."""
+    rng = random.Random(seed)
+    ties = {(f"A:{i}", f"V:{14 * i + k}") for i in range(6) for k in range(15)} | {(f"A:{rng.randrange(20)}", f"V:{rng.randrange(50)}") for _ in range(20)}
+    ties |= {(f"{a}x", f"{v}x") for a, v in ties} if seed == 3 else {("A:alone", "V:alone")}
+    edges = spark.createDataFrame([(*t, 1) for t in sorted(ties)], "src string, dst string, weight long")
+    want = distances.giant_paths(edges.select("dst").distinct().toDF("node_id"), graph.projection(edges, "dst", "src")).first()
+    monkeypatch.setattr(graph, "projection", None)
+    assert distances.giant_paths_projected(edges, "dst", "src", rows).first() == want
