@@ -164,3 +164,33 @@ def test_sparse_parts_are_joined(spark, monkeypatch):
     monkeypatch.setattr(triples, "triangles", None)
     got = {r["node_id"]: r["triangles"] for r in graph.clustering_projected(bipartite(spark, [("A:1", f"V:{i}") for i in range(4)]), "dst", "src").collect()}
     assert got == {f"V:{i}": 3 for i in range(4)}
+
+
+@pytest.mark.parametrize(("dense", "heavy", "meeting"), [(0, 0, 0), (2, 0, 10**9), (0, 2, 10**9), (2, 2, 0)])
+def test_ways_to_count_closed_paths_agree(monkeypatch, dense, heavy, meeting):
+    """Bits or products, rows or products, meetings or products: one answer, against plain loops."""
+    for name, value in {"DENSE": dense, "HEAVY": heavy, "MEETING": meeting, "CHUNK": 50, "WIDE": 3}.items():
+        monkeypatch.setattr(triples, name, value)
+    rows = some_days(12, 90, 30, 400)
+    of, want = shared(rows)
+    names = sorted(of)
+    place = {v: (i % 3, i // 3) for i, v in enumerate(names)}
+    days = {}
+    for a, v in rows:
+        days.setdefault((place[v][0], int(a[2:])), []).append(place[v][1])
+    weight = lambda u, v: want.get((min(u, v), max(u, v)), 0)
+    many, roots = {v: 0 for v in names}, {v: 0.0 for v in names}
+    for t in itertools.combinations(names, 3):
+        w = weight(t[0], t[1]) * weight(t[0], t[2]) * weight(t[1], t[2])
+        for v in t:
+            many[v] += w > 0
+            roots[v] += w ** (1 / 3)
+    got = {(k, n): [0, 0.0] for k, n in place.values()}
+    for blocks in itertools.combinations_with_replacement(range(3), 3):
+        mine = {x: ns for x, ns in days.items() if x[0] in blocks}
+        table = pa.table({"k": pa.array([k for k, _ in mine], pa.int32()), "t": pa.array([t for _, t in mine], pa.int64()), "ns": pa.array(list(mine.values()), pa.list_(pa.int32()))})
+        for k, x, y in triples.Triple(table).corners(*blocks):
+            for n in range(len(x)):
+                got[k, n][0] += x[n]
+                got[k, n][1] += y[n]
+    assert {v: got[place[v]][0] for v in names} == many and all(got[place[v]][1] == pytest.approx(roots[v]) for v in names)
