@@ -6,6 +6,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from tessella import catalogue
 from tessella.operators import centrality, graph, sharing, triples
 
 
@@ -194,3 +195,10 @@ def test_ways_to_count_closed_paths_agree(monkeypatch, dense, heavy, meeting):
                 got[k, n][0] += x[n]
                 got[k, n][1] += y[n]
     assert {v: got[place[v]][0] for v in names} == many and all(got[place[v]][1] == pytest.approx(roots[v]) for v in names)
+
+
+@pytest.mark.parametrize("name", ["meeting_metrics", "network_metrics"])
+def test_metrics_make_no_projection(spark, monkeypatch, name):
+    monkeypatch.setattr(graph, "projection", None)
+    df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert df.columns == ["network", "metric", "value"]
