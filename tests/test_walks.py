@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tessella import catalogue
-from tessella.operators import graph, walks
+from tessella.operators import centrality, graph, walks
 from tests import plain_graphs as plain
 from tests.test_paths import measures
 
@@ -88,3 +88,22 @@ def test_paths_of_nothing(spark):
 def test_paths_make_no_projection(spark, monkeypatch):
     monkeypatch.setattr(graph, "projection", None)
     assert catalogue.QUERIES["meeting_paths"](spark, "/root/testdata/sf0.001").count() == 150
+
+
+def test_core_numbers_and_eigenvector_of_a_projection(spark, monkeypatch):
+    """One component without even degrees, whose nodes share days, and beside it one in which all have one degree."""
+    ties = {(f"A:{t}", f"V:{v}") for t, v in some_ties(8, 12, 10, 40)} | {("A:all", f"V:{i}") for i in (0, 5, 11)}
+    rows = sorted(ties | {(f"A:{t}", f"V:{v}") for t in "xy" for v in ("even1", "even2", "even3")})
+    both = spark.createDataFrame([(*t, 1) for t in rows], "src string, dst string, weight long")
+    one = both.where("not dst like 'V:even%'")
+    even = both.where("dst like 'V:even%'")
+    value = lambda df, c: {r["node_id"]: r[c] for r in df.collect()}
+    part = lambda e: (e.select("dst").distinct().toDF("node_id"), graph.projection(e, "dst", "src"))
+    known = lambda e: graph.components_projected(e, "dst", "src")
+    cores = value(centrality.k_core(*part(both)), "core")
+    vector = value(centrality.eigenvector(*part(one), tolerance=1e-9, most=300), "eigenvector")
+    assert value(centrality.k_core_projected(both, "dst", "src", graph.degrees_projected(both, "dst", "src"), known(both)), "core") == cores
+    got = value(centrality.eigenvector_projected(one, "dst", "src", known(one), tolerance=1e-9, most=300), "eigenvector")
+    assert got == pytest.approx(vector, abs=2e-5) and set(value(centrality.eigenvector_projected(both, "dst", "src", known(both)), "eigenvector").values()) == {None}
+    monkeypatch.setattr(centrality, "projection", None)
+    assert set(value(centrality.k_core_projected(even, "dst", "src", graph.degrees_projected(even, "dst", "src"), known(even)), "core").values()) == {2}
