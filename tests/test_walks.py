@@ -90,6 +90,16 @@ def test_paths_make_no_projection(spark, monkeypatch):
     assert catalogue.QUERIES["meeting_paths"](spark, "/root/testdata/sf0.001").count() == 150
 
 
+def test_summary_walks_no_written_pairs(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "_customers", None)
+    monkeypatch.setattr(catalogue.distances, "path_measures", None)
+    monkeypatch.setattr(catalogue, "meeting_articulation", lambda s, d: s.createDataFrame([], "network string, node_id string, delta_components long, verified boolean"))
+    bridges = "author string, n_items long, n_communities long, delta_components long, is_bridge boolean, is_recurrent boolean, is_multichannel boolean"
+    monkeypatch.setattr(catalogue, "meeting_bridge_authors", lambda s, d: s.createDataFrame([], bridges))
+    rows = catalogue.QUERIES["meeting_centrality_summary"](spark, "/root/testdata/sf0.001").where("measure = 'n_nodes'").collect()
+    assert [r["value"] for r in rows] == [150.0]
+
+
 def test_core_numbers_and_eigenvector_of_a_projection(spark, monkeypatch):
     """One component without even degrees, whose nodes share days, and beside it one in which all have one degree."""
     ties = {(f"A:{t}", f"V:{v}") for t, v in some_ties(8, 12, 10, 40)} | {("A:all", f"V:{i}") for i in (0, 5, 11)}
